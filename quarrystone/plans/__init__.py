@@ -1 +1,8 @@
-"""See the README for what lives here."""
+"""Named queries and, where SQL can say the same, the SQL: one module for each section of the inventory."""
+
+from __future__ import annotations
+
+from quarrystone.plans import flagship
+
+QUERIES = {"s0_star_rollup": flagship.nation_year_rollup}
+ORACLES = {"s0_star_rollup": flagship.SQL}
