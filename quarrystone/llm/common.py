@@ -11,6 +11,7 @@ from collections.abc import Iterable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
@@ -97,7 +98,7 @@ def count_tokens(texts: Iterable[str | None], path: str) -> list[int]:
 def n_tokens(text: Column, path: str = TOKENIZER) -> Column:
     """Exact token length as a column; only the text goes to Python and only an integer returns."""
 
-    @F.pandas_udf("int")
+    @F.pandas_udf(IntegerType())
     def length(s: pd.Series) -> pd.Series:
         return pd.Series(count_tokens(s, path), dtype="int32")
 

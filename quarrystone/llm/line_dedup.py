@@ -25,6 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quarrystone.llm.common import BROADCAST_ROWS, cut
 
@@ -84,7 +85,7 @@ def keep_positions(bitmap: str) -> list[int]:
     return out
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _bitmap(kept: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([runs(np.asarray(k, np.int64), int(m)) for k, m in zip(kept, n, strict=True)], dtype=object)
 
@@ -111,7 +112,7 @@ def line_bitmaps(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     return kept.select(F.col("doc").alias("doc_id"), "key", F.col("n").alias("n_lines"), F.size("kept").alias("n_kept"), _bitmap("kept", "n").alias("keep_bitmap"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _apply(text: pd.Series, bitmap: pd.Series) -> pd.Series:
     out = []
     for t, b in zip(text, bitmap, strict=True):
