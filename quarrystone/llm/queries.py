@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quarrystone.llm.common import table
+from quarrystone.llm.kneser_ney import classify
 from quarrystone.llm.line_dedup import line_bitmaps
 from quarrystone.llm.mixing import mix_ids
 from quarrystone.llm.packing import pack_documents
+from quarrystone.llm.toxicity import toxic_documents
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +24,17 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_ids(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op4_line_dedup, op5_mixing)}
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents called toxic."""
+    return toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that are kept, with their perplexity and their language's limit."""
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).where("keep").drop("key", "keep")
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op4_line_dedup, op5_mixing, op8_toxicity, op10_quality_classifier)}
 
 ORACLES = {
     "op4_line_dedup": r"""
