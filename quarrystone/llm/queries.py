@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarrystone.llm.common import table
 from quarrystone.llm.kneser_ney import classify
+from quarrystone.llm.licenses import scan_licenses
 from quarrystone.llm.line_dedup import line_bitmaps
 from quarrystone.llm.mixing import mix_ids
 from quarrystone.llm.packing import pack_documents
+from quarrystone.llm.quality_rules import keep_by_rules
 from quarrystone.llm.toxicity import toxic_documents
 
 
@@ -16,6 +18,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_bitmaps(table(spark, sf_dir, "documents")).drop("key")
 
@@ -24,6 +30,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_ids(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that no certified rule rejects."""
+    return keep_by_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents called toxic."""
     return toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -34,7 +45,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).where("keep").drop("key", "keep")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op4_line_dedup, op5_mixing, op8_toxicity, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_license_scan, op4_line_dedup, op5_mixing, op6_quality_rules, op8_toxicity, op10_quality_classifier)}
 
 ORACLES = {
     "op4_line_dedup": r"""
