@@ -8,6 +8,7 @@ from quarrystone.llm.common import table
 from quarrystone.llm.kneser_ney import classify
 from quarrystone.llm.licenses import scan_licenses
 from quarrystone.llm.line_dedup import line_bitmaps
+from quarrystone.llm.minhash import near_duplicates
 from quarrystone.llm.mixing import mix_ids
 from quarrystone.llm.packing import pack_documents
 from quarrystone.llm.quality_rules import keep_by_rules
@@ -40,12 +41,17 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that have near-duplicates, each with the one of its group that stays."""
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that are kept, with their perplexity and their language's limit."""
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).where("keep").drop("key", "keep")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_license_scan, op4_line_dedup, op5_mixing, op6_quality_rules, op8_toxicity, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_license_scan, op4_line_dedup, op5_mixing, op6_quality_rules, op8_toxicity, op9_minhash, op10_quality_classifier)}
 
 ORACLES = {
     "op4_line_dedup": r"""
