@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quarrystone.llm.common import table
+from quarrystone.llm.itq import near_pairs
 from quarrystone.llm.kneser_ney import classify
 from quarrystone.llm.licenses import scan_licenses
 from quarrystone.llm.line_dedup import line_bitmaps
@@ -36,6 +37,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keep_by_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_pairs(table(spark, sf_dir, "embeddings"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents called toxic."""
     return toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -51,7 +56,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).where("keep").drop("key", "keep")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_license_scan, op4_line_dedup, op5_mixing, op6_quality_rules, op8_toxicity, op9_minhash, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_license_scan, op4_line_dedup, op5_mixing, op6_quality_rules, op7_embedding_near_dedup, op8_toxicity, op9_minhash, op10_quality_classifier)}
 
 ORACLES = {
     "op4_line_dedup": r"""
