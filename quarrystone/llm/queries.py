@@ -14,6 +14,7 @@ from quarrystone.llm.mixing import mix_ids
 from quarrystone.llm.packing import pack_documents
 from quarrystone.llm.quality_rules import keep_by_rules
 from quarrystone.llm.toxicity import toxic_documents
+from quarrystone.llm.warc import write_pages
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +25,11 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of the files that hold all pages."""
+    return write_pages(spark, table(spark, sf_dir, "pages"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_bitmaps(table(spark, sf_dir, "documents")).drop("key")
 
@@ -56,7 +62,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).where("keep").drop("key", "keep")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_license_scan, op4_line_dedup, op5_mixing, op6_quality_rules, op7_embedding_near_dedup, op8_toxicity, op9_minhash, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_license_scan, op3_warc, op4_line_dedup, op5_mixing, op6_quality_rules, op7_embedding_near_dedup, op8_toxicity, op9_minhash, op10_quality_classifier)}
 
 ORACLES = {
     "op4_line_dedup": r"""
