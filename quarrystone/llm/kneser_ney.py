@@ -270,5 +270,4 @@ def classify(docs: DataFrame, labels: DataFrame, shard_rows: int = SHARD_ROWS) -
 def keep_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that aren't rejected, with all their columns."""
     rejected = cut(classify(docs, labels).where("not keep").select(F.col("key").alias("_key")).distinct())
-    names = docs.columns
-    return restrict(docs.withColumn("_key", _key()), rejected, ["_key"], "left_anti").select(*names)
+    return restrict(docs.select(F.struct("*").alias("_row"), _key().alias("_key")), rejected, ["_key"], "left_anti").select("_row.*")

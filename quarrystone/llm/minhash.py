@@ -408,14 +408,13 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataF
 
     Of rows that are alike in doc_id and text one stays.
     """
-    names = docs.columns
     g = groups(docs, threshold)
     stays = F.max("first")
     gone = cut(g.groupBy("id").agg(stays.alias("stays"), F.count(F.lit(1)).alias("k")).where("not stays or k > 1"))
     never = cut(gone.where("not stays").select(F.col("id").alias("_id")))
-    rest = restrict(docs.withColumn("_id", _id()), never, ["_id"], "left_anti")
+    rest = restrict(docs.select(F.struct("*").alias("_row"), _id().alias("_id")), never, ["_id"], "left_anti")
     repeated = cut(gone.where("stays and k > 1").select(F.col("id").alias("_id")))
     if repeated.isEmpty():
-        return rest.select(*names)
+        return rest.select("_row.*")
     once = restrict(rest, repeated, ["_id"]).dropDuplicates(["_id"])
-    return restrict(rest, repeated, ["_id"], "left_anti").unionByName(once).select(*names)
+    return restrict(rest, repeated, ["_id"], "left_anti").unionByName(once).select("_row.*")
