@@ -1,8 +1,10 @@
-"""Named queries and, where SQL can say the same, the SQL: one module for each section of the inventory."""
+"""Named queries and, where SQL can say the same, the SQL: one module for each part of the inventory."""
 
 from __future__ import annotations
 
-from quarrystone.plans import flagship
+from quarrystone.plans import flagship, relational, scalars
+from quarrystone.plans.registry import ORACLES, QUERIES, query
 
-QUERIES = {"s0_star_rollup": flagship.nation_year_rollup}
-ORACLES = {"s0_star_rollup": flagship.SQL}
+query(flagship.SQL)(flagship.nation_year_rollup)
+
+__all__ = ["ORACLES", "QUERIES", "relational", "scalars"]
