@@ -35,8 +35,9 @@ def similarity(a: Column, b: Column, metric: str = "cosine") -> Column:
 
 
 def normalize(a: Column) -> Column:
-    n = F.nullif(norm(a), F.lit(0.0))
-    return F.when(n.isNotNull(), F.transform(a, lambda x: x.cast("double") / n))
+    """The vector with length 1; NULL if it has no direction. The norm is computed once for all parts."""
+    unit = F.zip_with(a, F.array_repeat(F.nullif(norm(a), F.lit(0.0)), F.size(a)), lambda x, n: x.cast("double") / n)
+    return F.when(F.forall(unit, lambda x: x.isNotNull()), unit)
 
 
 def is_finite(a: Column) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quarrystone.plans import flagship, relational, scalars
+from quarrystone.plans import analytics, flagship, relational, scalars, vectors
 from quarrystone.plans.registry import ORACLES, QUERIES, query
 
 query(flagship.SQL)(flagship.nation_year_rollup)
 
-__all__ = ["ORACLES", "QUERIES", "relational", "scalars"]
+__all__ = ["ORACLES", "QUERIES", "analytics", "relational", "scalars", "vectors"]

@@ -1 +1 @@
-"""See the README for what lives here."""
+"""Event-time operators on Structured Streaming; each works on a batch DataFrame too."""
