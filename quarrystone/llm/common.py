@@ -1,69 +1,34 @@
-"""What the training-data operators share: tables, the shared folder, tokens, words and size-checked joins."""
+"""What the training-data operators share: tables, texts as bytes, token lengths and size-checked joins."""
 
 from __future__ import annotations
 
-import atexit
 import base64
-import tempfile
-import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
+from quarrystone.sources.shared import cut, shared_path
+
+__all__ = ["BROADCAST_ROWS", "CHUNK", "TOKENIZER", "byte_chunks", "count_tokens", "cut", "n_tokens", "restrict", "shared_path", "table", "text_bytes"]
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 #: Rows of ids that a broadcast may hold; beyond it the same join shuffles both sides.
 BROADCAST_ROWS = 2_000_000
 
+#: Bytes of text that a worker handles at once.
+CHUNK = 1 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir.
-
-    Only where it is unset and the session is a single local JVM, as in tests, a temporary folder is set instead.
-    """
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not named:
-        own = sc._jsc.sc().getCheckpointDir()
-        if own.isDefined():
-            return own.get()
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="quarrystone-")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(named)
-    return named
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder, removed when the driver's Python ends."""
-    path = f"{shared_dir(spark).rstrip('/')}/quarrystone/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session is gone; the folder's owner cleans up
-        pass
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, kept in the shared folder, without their lineage: a lost executor doesn't lose them."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def restrict(df: DataFrame, ids: DataFrame, on: list[str], how: str = "left_semi", n: int | None = None) -> DataFrame:
     """Semi or anti join with a narrow table of ids that is already kept.
 
@@ -105,10 +70,18 @@ def n_tokens(text: Column, path: str = TOKENIZER) -> Column:
     return length(text)
 
 
-def words(text: Column) -> Column:
-    """Lower-case runs of letters and digits; null gives an empty array."""
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
+def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a string column and the offsets of its values; nulls are empty."""
+    column = column.fill_null("").cast(pa.large_string())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), offsets
 
 
-def word_hashes(text: Column) -> Column:
-    return F.transform(words(text), lambda w: F.xxhash64(w))
+def byte_chunks(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of documents with about CHUNK bytes, one document at least."""
+    at, n = 0, len(offsets) - 1
+    while at < n:
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, side="right")) - 1)
+        yield at, end
+        at = end

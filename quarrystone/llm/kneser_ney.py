@@ -27,16 +27,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import cut, restrict
+from quarrystone.llm.common import byte_chunks, cut, restrict, text_bytes
 
 ORDER = 5
 
 #: Rows of one shard of the model (16 bytes each).
 SHARD_ROWS = 8_000_000
 
-#: Bytes of text that a worker turns into n-grams at once.
-CHUNK = 1 << 20
-
 #: Standard errors of its mean that a document is granted.
 Z = 3.0
 
@@ -47,23 +44,6 @@ LEAST_SPREAD = 0.02
 _MASK = (1 << 32) - 1
 
 
-def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a string column and the offsets of its values; nulls are empty."""
-    column = column.fill_null("").cast(pa.large_string())
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    data = column.buffers()[2]
-    return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), offsets
-
-
-def _chunks(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of documents with about CHUNK bytes, one document at least."""
-    at, n = 0, len(offsets) - 1
-    while at < n:
-        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, side="right")) - 1)
-        yield at, end
-        at = end
-
-
 def _codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The packed 5-gram that ends at each byte, and the document of each."""
     lengths = np.diff(offsets)
@@ -91,8 +71,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return codes[first], np.add.reduceat(counts, first)
 
     for b in batches:
-        data, offsets = _texts(b.column("text"))
-        for i, j in _chunks(offsets):
+        data, offsets = text_bytes(b.column("text"))
+        for i, j in byte_chunks(offsets):
             if offsets[j] > offsets[i]:
                 parts.append(np.unique(_codes(data, offsets[i : j + 1])[0], return_counts=True))
                 size += len(parts[-1][0])
@@ -200,10 +180,10 @@ def _score(shared, k: int, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = shared.value
         for b in batches:
-            data, offsets = _texts(b.column("text"))
+            data, offsets = text_bytes(b.column("text"))
             size = np.zeros(b.num_rows, np.int64)
             total, squares = np.zeros(b.num_rows), np.zeros(b.num_rows)
-            for i, j in _chunks(offsets):
+            for i, j in byte_chunks(offsets):
                 codes, doc = _codes(data, offsets[i : j + 1])
                 if n > 1:
                     own = ((codes >> 8) & 0xFFFF) % n == k

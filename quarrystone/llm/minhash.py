@@ -1,6 +1,7 @@
 """Near-duplicate documents: improved consistent weighted sampling over TF-IDF shingles, banded, verified.
 
-Shingles are runs of SHINGLE lower-case words (a shorter text is one shingle), hashed to 64 bits. Their document
+Shingles are runs of SHINGLE words (a shorter text is one shingle), hashed to 64 bits; words are runs of ASCII letters, digits
+and bytes beyond ASCII, ASCII letters in lower case. Their document
 frequencies are counted over all documents in a count-min sketch of fixed size (ROWS rows of WIDTH counters), so what a
 worker holds doesn't grow with the corpus: frequent shingles have their frequency, rare ones at most the sketch's noise.
 The weight of a shingle is (1 + ln tf) * (1 + ln(N / df) / ln N), between once and twice its damped count: shingles that
@@ -11,9 +12,9 @@ Gamma(2, 1) and beta ~ U(0, 1) from seeded tables that three parts of the shingl
 beta), and the shingle with the least ln c - r (t - beta + 1) is the sample (with t). Two documents have the same sample with
 the probability of their weighted Jaccard similarity.
 
-1. Rows alike in normalised words are one document: its least doc_id stands for them.
+1. Rows of equal text are one document: the one with the least doc_id stands for them.
 2. BANDS bands of HASHES / BANDS samples; within a bucket, members are linked by a breadth-first search over the estimate from
-   one byte of each sample: a pivot claims what is alike, near-certain ones leave the search, others stay open to later
+   four bits of each sample: a pivot claims what is alike, near-certain ones leave the search, others stay open to later
    pivots. Pivots come in the order of their agreement with the bucket's most frequent samples, so that the original of a
    group comes first and a bucket of n copies gives about n links, not n^2. Nothing is capped: a bucket of unlike documents
    is searched through all its pairs.
@@ -32,12 +33,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import cut, restrict
+from quarrystone.llm.common import byte_chunks, cut, restrict, text_bytes
 
 SHINGLE = 3
 
@@ -58,40 +57,73 @@ BLOCK = 1 << 13
 TABLE = 1 << 13
 
 #: Shingles that are sampled at once.
-PART = 1 << 13
+PART = 1 << 10
 
 #: How far under the threshold an estimate still makes a link to verify, and over it one that is near-certain.
 MARGIN = 0.15
 
-_word = regex.compile(r"[\p{L}\p{N}]+")
 _P = np.uint64(0x9E3779B97F4A7C15)
+#: Its inverse modulo 2^64.
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
+#: Words are runs of ASCII letters, digits and bytes beyond ASCII; ASCII letters in lower case. 0 separates.
+_LETTER = np.arange(256, dtype=np.uint8)
+_LETTER[65:91] += 32
+_LETTER[[i for i in range(128) if not chr(i).isalnum()]] = 0
+
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _power(n: int) -> list[np.ndarray]:
+    """Powers of _P and of its inverse."""
+    if len(_powers[0]) < n:
+        for i, p in enumerate((_P, _INVERSE)):
+            x = np.full(n, p, np.uint64)
+            x[0] = 1
+            _powers[i] = np.multiply.accumulate(x)
+    return _powers
 
-def shingles(text: str, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes, sorted, and how often each occurs."""
-    words = _word.findall(text.lower())
-    if not words:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    cache = _hashes
-    if len(cache) > 2_000_000:
-        cache.clear()
-    h = np.empty(len(words), np.uint64)
-    for i, w in enumerate(words):
-        x = cache.get(w)
-        if x is None:
-            x = cache[w] = xxhash.xxh64_intdigest(w)
-        h[i] = x
-    k = min(n, len(words))
-    out = h[: len(h) - k + 1].copy()
-    with np.errstate(over="ignore"):
-        for j in range(1, k):
-            out = (out ^ (out >> np.uint64(29))) * _P + h[j : len(h) - k + 1 + j]
-        out = (out ^ (out >> np.uint64(32))) * _P
-        out ^= out >> np.uint64(29)
-    return np.unique(out, return_counts=True)
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * _P
+    return x ^ (x >> np.uint64(29))
 
-_hashes: dict[str, int] = {}
+
+def shingles(texts: pa.Array, n: int = SHINGLE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of each text the distinct shingle hashes, sorted, and how often each occurs.
+
+    A word's hash is the sum of its bytes times powers of an odd number, which one pass over the bytes of many texts gives.
+    """
+    data, offsets = text_bytes(texts)
+    with np.errstate(over="ignore"):
+        for i, j in byte_chunks(offsets):
+            bounds = offsets[i : j + 1] - offsets[i]
+            x = _LETTER[data[offsets[i] : offsets[j]]]
+            begins = x != 0
+            inner = begins[1:] & ~begins[:-1]
+            edges = bounds[(bounds > 0) & (bounds < len(x))]
+            begins[1:] = inner
+            begins[edges] = x[edges] != 0
+            start = np.flatnonzero(begins)
+            if len(start):
+                power, inverse = _power(len(x))
+                h = _mix(np.add.reduceat(x * power[: len(x)], start) * inverse[start])
+                s = h
+                for k in range(1, n):
+                    s = _mix(s[: len(h) - k] * _P + h[k:]) if len(h) > k else s[:0]
+            at = np.searchsorted(start, bounds)
+            for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                if b - a >= n:
+                    own = np.sort(s[a : b - n + 1])
+                elif b > a:
+                    own = h[a : a + 1]
+                    for k in range(a + 1, b):
+                        own = _mix(own * _P + h[k : k + 1])
+                else:
+                    yield np.zeros(0, np.uint64), np.zeros(0, np.int64)
+                    continue
+                first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                yield own[first], np.diff(np.r_[first, len(own)])
 
 
 def _slots(h: np.ndarray) -> list[np.ndarray]:
@@ -105,8 +137,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     n = 0
     for b in batches:
         pending, size = [], 0
-        for t in b.column("text"):
-            h, _ = shingles(t.as_py() or "")
+        for h, _ in shingles(b.column("text")):
             n += len(h) > 0
             pending.append(h)
             size += len(h)
@@ -174,10 +205,10 @@ class Sampler:
     def __init__(self, hashes: int = HASHES, seed: int = SEED):
         g = np.random.default_rng(seed)
         self.r = g.gamma(2, 1, (TABLE, hashes)).astype(np.float32).clip(1e-3)
-        self.inverse = 1 / self.r
         self.c = np.log(g.gamma(2, 1, (TABLE, hashes)).clip(1e-9)).astype(np.float32)
         self.beta = g.random((TABLE, hashes), np.float32)
         self.hashes = hashes
+        self.scratch = [np.empty((PART, hashes), np.float32) for _ in range(4)]
 
     def sample(self, h: np.ndarray, w: np.ndarray) -> np.ndarray:
         """One 64-bit value for each hash: of the sampled shingle and its t."""
@@ -188,17 +219,18 @@ class Sampler:
         columns = np.arange(self.hashes)
         for at in range(0, len(h), PART):
             x = h[at : at + PART]
-            i, j, k = ((x >> np.uint64(s) & m).astype(np.intp) for s in (0, 13, 26))
-            r, beta = self.r[i], self.beta[j]
-            t = log_w[at : at + PART, None] * self.inverse[i]
+            r, beta, c, t = (z[: len(x)] for z in self.scratch)
+            for z, source, shift in ((r, self.r, 0), (beta, self.beta, 13), (c, self.c, 26)):
+                source.take((x >> np.uint64(shift) & m).astype(np.intp), axis=0, out=z, mode="clip")
+            np.divide(log_w[at : at + PART, None], r, out=t)
             t += beta
             np.floor(t, out=t)
-            a = t - beta
-            a += 1
-            a *= r
-            np.subtract(self.c[k], a, out=a)
-            first = a.argmin(axis=0)
-            least = a[first, columns]
+            np.subtract(t, beta, out=beta)
+            beta += 1
+            beta *= r
+            c -= beta
+            first = c.argmin(axis=0)
+            least = c[first, columns]
             better = least < best
             best = np.where(better, least, best)
             with np.errstate(over="ignore"):
@@ -211,7 +243,7 @@ _samplers: dict[int, Sampler] = {}
 
 
 def _signatures(shared, bands: int):
-    """Of each document one row per band: the band with its hash, and one byte of every sample."""
+    """Of each document one row per band: the band with its hash, and four bits of every sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, n = shared.value
@@ -219,14 +251,14 @@ def _signatures(shared, bands: int):
             _samplers[HASHES] = Sampler()
         sampler = _samplers[HASHES]
         for b in batches:
-            ids, hashes, bytes_ = [], [], []
-            for id_, t in zip(b.column("id"), b.column("text"), strict=True):
-                h, tf = shingles(t.as_py() or "")
+            ids, hashes, halves = [], [], []
+            for id_, (h, tf) in zip(b.column("id").to_pylist(), shingles(b.column("text")), strict=True):
                 if len(h):
                     s = sampler.sample(h, weights(h, tf, sketch, n))
-                    ids.append(id_.as_py())
+                    ids.append(id_)
                     hashes.append(s)
-                    bytes_.append(s.astype(np.uint8).tobytes())
+                    half = s.astype(np.uint8) & 15
+                    halves.append((half[0::2] << 4 | half[1::2]).tobytes())
             if ids:
                 s = np.stack(hashes).reshape(len(ids), bands, -1)
                 band = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (len(ids), bands)).copy()
@@ -234,20 +266,20 @@ def _signatures(shared, bands: int):
                     for k in range(s.shape[2]):
                         band = (band ^ s[:, :, k]) * _P
                         band ^= band >> np.uint64(29)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(list(band.view(np.int64)), pa.list_(pa.int64())), pa.array(bytes_, pa.binary())], names=["id", "bands", "bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(list(band.view(np.int64)), pa.list_(pa.int64())), pa.array(halves, pa.binary())], names=["id", "bands", "halves"])
 
     return run
 
 
 def link(ids: np.ndarray, s: np.ndarray, threshold: float = THRESHOLD, margin: float = MARGIN) -> list[tuple[int, int]]:
-    """Links to verify in one bucket, each (pivot, partner). s: one byte of every sample, a row per member."""
+    """Links to verify in one bucket, each (pivot, partner). s: four bits of every sample, a row per member."""
     n, hashes = s.shape
     if n == 2:
         return [(int(ids[0]), int(ids[1]))] if (s[0] == s[1]).mean() > threshold - margin else []
-    # Agreement with the byte that is most frequent at each place.
+    # Agreement with what is most frequent at each place.
     agree = np.zeros(n, np.int64)
     for k in range(hashes):
-        c = np.bincount(s[:, k], minlength=256)
+        c = np.bincount(s[:, k], minlength=16)
         agree += c[s[:, k]] == c.max()
     order = np.lexsort((ids, -agree))
     ids, s = ids[order], s[order]
@@ -262,7 +294,7 @@ def link(ids: np.ndarray, s: np.ndarray, threshold: float = THRESHOLD, margin: f
         if not len(free):
             break
         same = (s[free] == s[p]).mean(axis=1)
-        alike = (same - 1 / 256) / (1 - 1 / 256)
+        alike = (same - 1 / 16) / (1 - 1 / 16)
         near = alike >= threshold - margin
         out += [(int(ids[p]), int(ids[q])) for q in free[near]]
         sure = alike >= threshold + margin
@@ -278,14 +310,15 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def done() -> list[tuple[int, int]]:
         if sum(map(len, ids)) < 2:
             return []
-        return link(np.concatenate(ids), np.concatenate(s))
+        packed = np.concatenate(s)
+        return link(np.concatenate(ids), np.stack([packed >> 4, packed & 15], axis=2).reshape(len(packed), -1))
 
     for b in batches:
         if not b.num_rows:
             continue
         keys = b.column("band").to_numpy(zero_copy_only=False)
         own = b.column("id").to_numpy(zero_copy_only=False)
-        bytes_ = np.frombuffer(b"".join(b.column("bytes").to_pylist()), np.uint8).reshape(len(own), -1)
+        packed = np.frombuffer(b"".join(b.column("halves").to_pylist()), np.uint8).reshape(len(own), -1)
         edges = np.r_[0, np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys)]
         out = []
         for i, j in zip(edges, edges[1:], strict=False):
@@ -293,7 +326,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out += done()
                 band, ids, s = keys[i], [], []
             ids.append(own[i:j])
-            s.append(bytes_[i:j])
+            s.append(packed[i:j])
         if out:
             yield _pairs(out)
     if out := done():
@@ -321,8 +354,7 @@ def _verify(shared, threshold: float):
         pivot, own = None, None
         for b in batches:
             out = []
-            for u, v, t in zip(b.column("u").to_pylist(), b.column("v").to_pylist(), b.column("text"), strict=True):
-                h, tf = shingles(t.as_py())
+            for u, v, (h, tf) in zip(b.column("u").to_pylist(), b.column("v").to_pylist(), shingles(b.column("text")), strict=True):
                 x = h, weights(h, tf, sketch, n)
                 if v is None:
                     pivot, own = u, x
@@ -364,20 +396,19 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text"), _id().alias("id"))
-    # 1. Equal texts, by 128 bits of their words; only ids and hashes move.
-    normal = F.lower(F.trim(F.regexp_replace("text", r"[^\p{L}\p{N}]+", " ")))
-    hashed = cut(d.where("text is not null").select("doc_id", "id", F.xxhash64(normal).alias("h"), F.xxhash64(normal, F.lit(7)).alias("g"), (normal == "").alias("none")).where("not none").drop("none"))
+    # 1. Equal texts, by 128 bits of hashes; only ids and hashes move.
+    hashed = cut(d.where(F.col("text").rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]")).select("doc_id", "id", F.xxhash64("text").alias("h"), F.xxhash64("text", F.lit(7)).alias("g")))
     w = Window.partitionBy("h", "g")
     equal = cut(hashed.withColumn("n", F.count(F.lit(1)).over(w)).where("n > 1").withColumn("rep", F.first("id").over(w.orderBy("doc_id", "id"))).select("doc_id", "id", "rep"))
     copies = cut(equal.where("id <> rep").select("id").distinct())
     unique = restrict(d.select("id", "text").where("text is not null"), copies, ["id"], "left_anti")
     # 2. Frequencies over all documents, then samples of one document for each text.
     shared = spark.sparkContext.broadcast(frequencies(docs))  # ROWS * WIDTH numbers whatever the corpus is
-    signed = unique.mapInArrow(_signatures(shared, BANDS), "id bigint, bands array<bigint>, bytes binary")
-    banded = signed.select("id", "bytes", F.explode("bands").alias("band"))
+    signed = unique.mapInArrow(_signatures(shared, BANDS), "id bigint, bands array<bigint>, halves binary")
+    banded = signed.select("id", "halves", F.explode("bands").alias("band"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = banded.repartition(n, "band").sortWithinPartitions("band", "id")
-    links = cut(sorted_.select("band", "id", "bytes").mapInArrow(_links, "u bigint, v bigint").where("u <> v").distinct())
+    links = cut(sorted_.select("band", "id", "halves").mapInArrow(_links, "u bigint, v bigint").where("u <> v").distinct())
     # A pair may have come up from both sides: the pivot is the one that has more partners.
     degree = links.groupBy("u").agg(F.count(F.lit(1)).alias("k"))
     sided = links.join(degree, "u").groupBy(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).agg(F.max(F.struct("k", "u", "v")).alias("x")).select("x.u", "x.v")

@@ -29,8 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import cut
-from quarrystone.llm.kneser_ney import _chunks, _texts
+from quarrystone.llm.common import byte_chunks, cut, text_bytes
 
 ALPHA = 0.02
 
@@ -54,7 +53,7 @@ def measures(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """One row of RULES for each text, in ten-thousandths."""
     n = len(offsets) - 1
     out = np.zeros((n, len(RULES)), np.int32)
-    for i, j in _chunks(offsets):
+    for i, j in byte_chunks(offsets):
         size = np.diff(offsets[i : j + 1])
         part = data[offsets[i] : offsets[j]]
         doc = np.repeat(np.arange(j - i, dtype=np.int64), size)
@@ -87,7 +86,7 @@ def _repeats(words: list[bytes]) -> float:
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        m = measures(*_texts(b.column("text")))
+        m = measures(*text_bytes(b.column("text")))
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), *(pa.array(m[:, k]) for k in range(len(RULES)))], names=["doc_id", "lang", *RULES])
 
 
