@@ -22,7 +22,7 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 BROADCAST_ROWS = 2_000_000
 
 #: Bytes of text that a worker handles at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -34,6 +34,9 @@ ORDER = 5
 #: Rows of one shard of the model (16 bytes each).
 SHARD_ROWS = 8_000_000
 
+#: Counts that a training task gathers before it merges them.
+MERGE_ROWS = 1_000_000
+
 #: Standard errors of its mean that a document is granted.
 Z = 3.0
 
@@ -61,7 +64,7 @@ def _codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of the 5-grams of a task's texts; what has been gathered is merged whenever it has grown large."""
     parts: list[tuple[np.ndarray, np.ndarray]] = []
-    size = 0
+    size, most = 0, MERGE_ROWS
 
     def merge() -> tuple[np.ndarray, np.ndarray]:
         codes, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -76,9 +79,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if offsets[j] > offsets[i]:
                 parts.append(np.unique(_codes(data, offsets[i : j + 1])[0], return_counts=True))
                 size += len(parts[-1][0])
-                if size > 4_000_000:
+                if size > most:
                     parts = [merge()]
-                    size = 2 * len(parts[0][0]) if len(parts[0][0]) < 2_000_000 else 0
+                    size = len(parts[0][0])
+                    most = 2 * size + MERGE_ROWS
     if parts:
         codes, counts = merge()
         for i in range(0, len(codes), 500_000):
