@@ -59,7 +59,13 @@ def pack_histogram(histogram: dict[int, int], capacity: int) -> list[tuple[tuple
         left = histogram[length]
         while left > 0:
             if not rooms or -rooms[0] < length:
-                put((length,), left, capacity - length)
+                # Of the new packs each is filled before the next one is opened: it is the only one with room.
+                each = capacity // length
+                full, rest = divmod(left, each)
+                if full:
+                    put((length,) * each, full, capacity - each * length)
+                if rest:
+                    put((length,) * rest, 1, capacity - rest * length)
                 break
             room = -rooms[0]
             pattern, packs = open_[room].pop()
