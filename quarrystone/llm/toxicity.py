@@ -45,7 +45,7 @@ LEAST_SHARE = 0.01
 
 LEAST_POSTERIOR = 0.7
 
-SIGNIFICANCE = 1e-2
+SIGNIFICANCE = 1.0
 
 _word = regex.compile(r"\p{L}[\p{L}\p{M}'’]+")
 
@@ -82,7 +82,7 @@ def screen(positive: list[set[str]], unlabelled: list[set[str]], prior: float) -
 
     By Bayes prior * rate(positive) / rate(unlabelled) is the share of toxic ones among the documents that have the
     feature: it must reach LEAST_POSTERIOR. And the excess must be beyond chance for all features together: the Chernoff
-    bound of the binomial tail, times their number, is under SIGNIFICANCE.
+    bound of the binomial tail, times their number, is under SIGNIFICANCE (the false ones to expect at most).
     """
     k_p: dict[str, int] = {}
     for f in positive:
