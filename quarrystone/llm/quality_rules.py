@@ -132,7 +132,7 @@ def certify(tallies: pd.DataFrame, alpha: float = ALPHA, delta: float = DELTA, l
 
     tallies: lang, half (0 proposes, 1 certifies), quality, level (the first that rejects; `levels`: none does), n.
     """
-    groups = dict(list(tallies.groupby("lang", dropna=False)))
+    groups = {k: g for k, g in tallies.groupby("lang", dropna=False)}  # noqa: C416 (a null key has no other way)
     out = {}
     for lang, t in groups.items():
 
