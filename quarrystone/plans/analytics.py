@@ -10,7 +10,7 @@ from quarrystone.engine import Connection
 from quarrystone.operators import dml
 from quarrystone.operators.dml import ForeignKey, TableSchema
 from quarrystone.plans.registry import query, statement
-from quarrystone.sources.catalog import Catalog
+from quarrystone.sources.catalog import Catalog, ConflictError
 from quarrystone.sources.formats import chunk_text, round_trip, to_json_rows
 from quarrystone.sources.shared import shared_path
 from quarrystone.sources.tables import load
@@ -204,6 +204,26 @@ def s6_commit_log(spark: SparkSession, sf: str) -> DataFrame:
     return c.log()
 
 
+@query("SELECT * FROM (VALUES ('id', 'bigint', true), ('name', 'string', false), ('balance', 'double', false)) t(col_name, kind, is_key)")
+def s10_create_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The schema of a table as it was created."""
+    schema = _catalog(spark, sf).schema("accounts")
+    return spark.createDataFrame([(f.name, f.dataType.simpleString(), f.name == schema.primary_key) for f in schema.columns], "col_name string, kind string, is_key boolean")
+
+
+@query("SELECT count(*) AS n FROM supplier")
+def s12_persist(spark: SparkSession, sf: str) -> DataFrame:
+    """Another connection to the same folder sees what was committed."""
+    c = Connection(spark, _catalog(spark, sf))
+    c.persist()
+    return Connection.open(spark, c.catalog.root).query("SELECT count(*) AS n FROM accounts")
+
+
+@query(f"SELECT * FROM ({_ACCOUNTS}) WHERE id = 7")
+def i3_hash_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    return _catalog(spark, sf).lookup("accounts", "id", 7)
+
+
 @query("SELECT false AS there, true AS gone_quietly")
 def s11_drop_table(spark: SparkSession, sf: str) -> DataFrame:
     c = _catalog(spark, sf)
@@ -257,6 +277,30 @@ def c2_rollback(spark: SparkSession, sf: str) -> DataFrame:
     return c.table("accounts")
 
 
+@query("SELECT count(*) + 1 AS n FROM supplier")
+def c1_auto_commit(spark: SparkSession, sf: str) -> DataFrame:
+    """Each statement outside a transaction is one."""
+    c = Connection(spark, _catalog(spark, sf))
+    c.execute("INSERT INTO accounts (id, name) VALUES (-1, 'new')")
+    return c.query("SELECT count(*) AS n FROM accounts")
+
+
+@query("SELECT true AS refused, count(*) AS n FROM supplier WHERE s_acctbal >= 0")
+def c4_conflict(spark: SparkSession, sf: str) -> DataFrame:
+    """Of two transactions that change a table, the second to commit is refused."""
+    c = _catalog(spark, sf)
+    first, second = c.begin(), c.begin()
+    second.delete("accounts")
+    first.delete("accounts", F.col("balance") < 0)
+    first.commit()
+    refused = False
+    try:
+        second.commit()
+    except ConflictError:
+        refused = True
+    return c.table("accounts").agg(F.lit(refused).alias("refused"), F.count(F.lit(1)).alias("n"))
+
+
 @query(_ACCOUNTS)
 def c3_snapshot_read(spark: SparkSession, sf: str) -> DataFrame:
     """Version 2 stays readable after a later change."""
@@ -288,3 +332,23 @@ def t2_session(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT user_id, event_type FROM events GROUP BY user_id, event_type")
 def t5_distinct_events(spark: SparkSession, sf: str) -> DataFrame:
     return windows.distinct_events(load(spark, sf, "events"), ["user_id", "event_type"]).select("user_id", "event_type")
+
+
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def t3_watermark(spark: SparkSession, sf: str) -> DataFrame:
+    """With a watermark; a batch has no late rows."""
+    return windows.tumbling(load(spark, sf, "events"), "1 day", watermark="2 hours").drop("total")
+
+
+@query("SELECT user_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY user_id")
+def t4_keyed_state(spark: SparkSession, sf: str) -> DataFrame:
+    """What the stateful stream ends with: all events in one micro-batch."""
+    e = load(spark, sf, "events").select("user_id", "value")
+    root = shared_path(spark, "events")
+    e.write.parquet(f"{root}/in")
+    name = f"totals_{abs(hash(root))}"
+    stream = windows.running_totals(spark.readStream.schema(e.schema).parquet(f"{root}/in"))
+    q = stream.writeStream.outputMode("update").format("memory").queryName(name).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    t = spark.table(name).groupBy("user_id").agg(F.max(F.struct("n", "total")).alias("x"))
+    return t.select("user_id", "x.n", F.round("x.total", 4).alias("total"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrystone.engine import Connection
 from quarrystone.functions import vector as V
 from quarrystone.operators import rag
 from quarrystone.operators import vector as S
@@ -98,6 +99,23 @@ def v10_knn_dot(spark: SparkSession, sf: str) -> DataFrame:
     return S.knn_join(e, e, 5, "dot").select("src", "dst", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
+@query(f"WITH {_E} SELECT * FROM {_near(score='round(1 / (1 + list_distance(a.v, b.v)), 6)')}")
+def v11_knn_euclidean(spark: SparkSession, sf: str) -> DataFrame:
+    """The neighbours that a layered graph index looks for, exactly."""
+    e = _embeddings(spark, sf)
+    return S.knn_join(e, e, 5, "euclidean").select("src", "dst", "score", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query(f"WITH {_E}, {_CENTROIDS} SELECT id, round(list_cosine_similarity(v, (SELECT v FROM c ORDER BY id LIMIT 1)), 6) AS score FROM e ORDER BY list_cosine_similarity(v, (SELECT v FROM c ORDER BY id LIMIT 1)) DESC, id LIMIT 10")
+def v12_similarity_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The command over a table: the ten rows most like the first label's centre."""
+    c = Connection.open_in_memory(spark)
+    c.execute("CREATE TABLE items (id INTEGER PRIMARY KEY, vector VECTOR[64])")
+    c.catalog.insert("items", _embeddings(spark, sf))
+    centre = _centroids(spark, sf).orderBy("id").first()["vector"]
+    return c.similarity_search("items", "vector", centre, 10, "id").select("id", F.round("score", 6).alias("score"))
+
+
 @query(f"WITH {_E}, {_CENTROIDS} SELECT id, round(list_distance(v, (SELECT v FROM c ORDER BY id LIMIT 1)), 6) AS distance FROM e ORDER BY distance, id LIMIT 20")
 def v13_vector_distance(spark: SparkSession, sf: str) -> DataFrame:
     """The 20 vectors nearest to the first label's centre."""
