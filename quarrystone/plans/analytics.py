@@ -39,7 +39,7 @@ SELECT key, parent, level FROM tree""")
 statement("q5_funnel", """
 WITH kinds AS (SELECT DISTINCT user_id, event_type FROM events), firsts AS (SELECT user_id, event_type, min(ts) AS first_at FROM events GROUP BY user_id, event_type),
 steps AS (SELECT k.user_id, count(*) AS kinds FROM kinds k GROUP BY k.user_id)
-SELECT f.event_type, count(*) AS users, sum(CASE WHEN s.kinds >= 3 THEN 1 ELSE 0 END) AS engaged, min(f.first_at) AS earliest FROM firsts f JOIN steps s ON f.user_id = s.user_id GROUP BY f.event_type""")
+SELECT f.event_type, count(*) AS users, CAST(sum(CASE WHEN s.kinds >= 3 THEN 1 ELSE 0 END) AS BIGINT) AS engaged, min(f.first_at) AS earliest FROM firsts f JOIN steps s ON f.user_id = s.user_id GROUP BY f.event_type""")
 statement("q6_cohorts", """
 WITH firsts AS (SELECT o_custkey, CAST(date_trunc('month', min(o_orderdate)) AS DATE) AS cohort FROM orders GROUP BY o_custkey),
 months AS (SELECT DISTINCT o_custkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS month FROM orders)
@@ -60,7 +60,7 @@ SELECT r_name, o_orderpriority, o_orderstatus, count(*) AS n, round(sum(o_totalp
 GROUP BY CUBE (r_name, o_orderpriority, o_orderstatus)""")
 statement("q11_outliers", """
 SELECT c_mktsegment, count(*) AS customers, round(stddev_samp(c_acctbal), 4) AS spread, round(percentile_cont(0.9) WITHIN GROUP (ORDER BY c_acctbal), 4) AS p90,
-sum(CASE WHEN c_acctbal > (SELECT avg(c_acctbal) FROM customer) THEN 1 ELSE 0 END) AS above FROM customer GROUP BY c_mktsegment""")
+CAST(sum(CASE WHEN c_acctbal > (SELECT avg(c_acctbal) FROM customer) THEN 1 ELSE 0 END) AS BIGINT) AS above FROM customer GROUP BY c_mktsegment""")
 statement("q12_frames", f"""
 WITH {_DAILY} SELECT day, first_value(revenue) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS opening, last_value(revenue) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS closing,
 round(sum(revenue) OVER (ORDER BY day ROWS BETWEEN CURRENT ROW AND 6 FOLLOWING), 2) AS next_week, round(avg(revenue) OVER (ORDER BY day ROWS BETWEEN 11 PRECEDING AND CURRENT ROW), 4) AS dozen FROM daily""")
@@ -73,9 +73,9 @@ starts AS (SELECT * FROM changes WHERE before IS NULL OR before <> o_orderpriori
 SELECT o_custkey, o_orderpriority AS state, o_orderdate AS valid_from, lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS valid_to,
 lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) IS NULL AS is_current, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS revision FROM starts""")
 statement("q15_data_quality", """
-SELECT 'orders' AS name, count(*) AS n, count(*) - count(o_custkey) AS missing, count(*) - count(DISTINCT o_orderkey) AS repeated, sum(CASE WHEN o_totalprice < 0 THEN 1 ELSE 0 END) AS invalid FROM orders
-UNION ALL SELECT 'events', count(*), count(*) - count(value), count(*) - count(DISTINCT event_id), sum(CASE WHEN value < 0 THEN 1 ELSE 0 END) FROM events
-UNION ALL SELECT 'documents', count(*), count(*) - count(text), count(*) - count(DISTINCT text), sum(CASE WHEN n_chars <> length(text) THEN 1 ELSE 0 END) FROM documents""")
+SELECT 'orders' AS name, count(*) AS n, count(*) - count(o_custkey) AS missing, count(*) - count(DISTINCT o_orderkey) AS repeated, CAST(sum(CASE WHEN o_totalprice < 0 THEN 1 ELSE 0 END) AS BIGINT) AS invalid FROM orders
+UNION ALL SELECT 'events', count(*), count(*) - count(value), count(*) - count(DISTINCT event_id), CAST(sum(CASE WHEN value < 0 THEN 1 ELSE 0 END) AS BIGINT) FROM events
+UNION ALL SELECT 'documents', count(*), count(*) - count(text), count(*) - count(DISTINCT text), CAST(sum(CASE WHEN n_chars <> length(text) THEN 1 ELSE 0 END) AS BIGINT) FROM documents""")
 statement("q16_rfm", """
 WITH base AS (SELECT o_custkey, max(o_orderdate) AS last_at, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_custkey),
 s AS (SELECT o_custkey, ntile(5) OVER (ORDER BY last_at, o_custkey) AS r, ntile(5) OVER (ORDER BY n, o_custkey) AS f, ntile(5) OVER (ORDER BY total, o_custkey) AS m FROM base)
@@ -107,11 +107,11 @@ statement("q26_page_analytics", """
 WITH gaps AS (SELECT user_id, event_id, event_type, ts, value, CASE WHEN unix_micros(CAST(ts AS TIMESTAMP)) - unix_micros(CAST(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS TIMESTAMP)) < 1800000000 THEN 0 ELSE 1 END AS fresh FROM events),
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM gaps),
 per AS (SELECT user_id, session, count(*) AS n, sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS clicks FROM s GROUP BY user_id, session)
-SELECT n AS session_size, count(*) AS sessions, sum(clicks) AS clicks, sum(CASE WHEN n = 1 THEN 1 ELSE 0 END) AS bounces FROM per GROUP BY n""", """
+SELECT n AS session_size, count(*) AS sessions, CAST(sum(clicks) AS BIGINT) AS clicks, CAST(sum(CASE WHEN n = 1 THEN 1 ELSE 0 END) AS BIGINT) AS bounces FROM per GROUP BY n""", """
 WITH gaps AS (SELECT user_id, event_id, event_type, ts, value, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) < 1800000000 THEN 0 ELSE 1 END AS fresh FROM events),
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM gaps),
 per AS (SELECT user_id, session, count(*) AS n, sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS clicks FROM s GROUP BY user_id, session)
-SELECT n AS session_size, count(*) AS sessions, sum(clicks) AS clicks, sum(CASE WHEN n = 1 THEN 1 ELSE 0 END) AS bounces FROM per GROUP BY n""")
+SELECT n AS session_size, count(*) AS sessions, CAST(sum(clicks) AS BIGINT) AS clicks, CAST(sum(CASE WHEN n = 1 THEN 1 ELSE 0 END) AS BIGINT) AS bounces FROM per GROUP BY n""")
 statement("q27_utilisation", """
 SELECT n_name, customers, orders, round(orders / CAST(customers AS DOUBLE), 6) AS per_customer FROM nation JOIN (SELECT c_nationkey, count(*) AS customers FROM customer GROUP BY c_nationkey) c ON n_nationkey = c_nationkey
 JOIN (SELECT c_nationkey AS k, count(*) AS orders FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_nationkey) o ON n_nationkey = o.k""")

@@ -83,7 +83,7 @@ _filtered("f13_not_like", "part", ["p_partkey", "p_name"], lambda: R.predicate("
 _filtered("f16_between", "orders", _ORDER, lambda: R.predicate("o_totalprice", "between", (1000, 20000)), "o_totalprice BETWEEN 1000 AND 20000")
 
 
-@query("SELECT event_id, 'it''s' AS quoted, -1.5 AS negative, TRUE AS yes, CAST(NULL AS VARCHAR) AS nothing FROM events")
+@query("SELECT event_id, 'it''s' AS quoted, CAST(-1.5 AS DOUBLE) AS negative, TRUE AS yes, CAST(NULL AS VARCHAR) AS nothing FROM events")
 def f9_literals(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "events").select("event_id", F.lit("it's").alias("quoted"), F.lit(-1.5).alias("negative"), F.lit(True).alias("yes"), F.lit(None).cast("string").alias("nothing"))
 
