@@ -7,6 +7,17 @@ import os
 from pyspark.sql import SparkSession
 
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def reach_package(spark: SparkSession) -> None:
+    """Python workers look for the package where the driver has it, if it isn't installed for them."""
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if ROOT not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])
+
+
 def get_session(app: str = "quarrystone", cpus: int | None = None, **conf: str) -> SparkSession:
     """A local session unless the caller's environment already names a master."""
     n = cpus or int(os.environ.get("BENCH_CPUS", os.cpu_count() or 4))
@@ -28,4 +39,5 @@ def get_session(app: str = "quarrystone", cpus: int | None = None, **conf: str)
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    reach_package(spark)
     return spark
