@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 
 from quarrystone.functions import vector as V
 
+#: Rows of a block, and of a slice of it that is scored at once.
+BLOCK_ROWS = 8192
+SLICE_ROWS = 1024
+
 
 def knn(df: DataFrame, query: list[float], k: int, metric: str = "cosine", id_col: str = "vec_id", vector_col: str = "embedding", threshold: float | None = None, max_distance: float | None = None) -> DataFrame:
     """The k rows that are most like one vector: id, score, rank from 0. k = 0 gives none. Ties: the least id first.
@@ -29,41 +33,47 @@ def knn(df: DataFrame, query: list[float], k: int, metric: str = "cosine", id_co
 def knn_join(queries: DataFrame, items: DataFrame, k: int, metric: str = "cosine", blocks: int | None = None, exclude_self: bool = True) -> DataFrame:
     """(src, dst, score, rank): for every query vector its k best items, exactly. Both sides have (id, vector).
 
-    Both sides are cut into about sqrt(tasks) blocks; each pair of blocks is one matrix product in numpy, of which k rows per query
-    leave, and the best k of all blocks remain. Nothing is broadcast; a task holds two blocks. Scores are rounded to 6 digits,
-    ties go to the least id. Rows with a null vector, another dimension or (cosine) no direction don't match.
+    Both sides are cut into blocks of about BLOCK_ROWS rows (but no fewer than keep all tasks busy); each pair of blocks is matrix products in
+    numpy, of which k rows per query leave, and the best k of all blocks remain. Nothing is broadcast; a task holds two blocks
+    and SLICE_ROWS rows of scores. Scores are rounded to 6 digits, ties go to the least id. Rows with a null vector, another
+    dimension or (cosine) no direction don't match.
     """
     spark = queries.sparkSession
-    n = blocks or max(2, round(int(spark.conf.get("spark.sql.shuffle.partitions")) ** 0.5))
+    n = blocks or max(2, round(int(spark.conf.get("spark.sql.shuffle.partitions")) ** 0.5), -(-max(queries.count(), items.count()) // BLOCK_ROWS))
     q = queries.select(F.col("id").alias("id"), F.col("vector").cast("array<double>").alias("v"), F.lit(0).alias("side"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("own"))
     i = items.select(F.col("id").alias("id"), F.col("vector").cast("array<double>").alias("v"), F.lit(1).alias("side"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("own"))
     others = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("other")
     cells = q.select("id", "v", "side", F.col("own").alias("r"), others).withColumnRenamed("other", "c").unionByName(i.select("id", "v", "side", F.col("own").alias("c"), others).withColumnRenamed("other", "r")).where("v is not null")
 
+    def scores(m: np.ndarray, w: np.ndarray) -> np.ndarray:
+        if metric == "euclidean":
+            return 1 / (1 + np.sqrt(np.maximum((m * m).sum(1)[:, None] + (w * w).sum(1)[None, :] - 2 * m @ w.T, 0)))
+        s = m @ w.T
+        if metric == "cosine":
+            with np.errstate(invalid="ignore", divide="ignore"):
+                s /= np.linalg.norm(m, axis=1)[:, None] * np.linalg.norm(w, axis=1)[None, :]
+        return s
+
     def cell(p: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"src": pd.Series(dtype="int64"), "dst": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        a, b = p[p["side"] == 0], p[p["side"] == 1]
-        out = [empty]
-        for dim, x in a.groupby(a["v"].map(len)):
-            y = b[b["v"].map(len) == dim]
-            if not len(y) or dim == 0:
+        out = [pd.DataFrame({"src": pd.Series(dtype="int64"), "dst": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})]
+        size = p["v"].map(len)
+        a, b = p[p["side"] == 0], p[p["side"] == 1].sort_values("id", kind="stable")
+        for dim, x in a.groupby(size):
+            y = b[size[b.index] == dim]
+            if not len(y) or dim == 0 or k < 1:
                 continue
-            m, w = np.stack(x["v"].to_numpy()), np.stack(y["v"].to_numpy())
-            if metric == "euclidean":
-                s = 1 / (1 + np.sqrt(np.maximum((m * m).sum(1)[:, None] + (w * w).sum(1)[None, :] - 2 * m @ w.T, 0)))
-            else:
-                s = m @ w.T
-                if metric == "cosine":
-                    with np.errstate(invalid="ignore", divide="ignore"):
-                        s /= np.linalg.norm(m, axis=1)[:, None] * np.linalg.norm(w, axis=1)[None, :]
-            s = np.round(s, 6)
-            src, dst = x["id"].to_numpy(), y["id"].to_numpy()
-            if exclude_self:
-                s[src[:, None] == dst[None, :]] = np.nan
-            for row in range(len(src)):
-                order = np.lexsort((dst, -s[row]))[:k]
-                order = order[~np.isnan(s[row][order])]
-                out.append(pd.DataFrame({"src": src[row], "dst": dst[order], "score": s[row][order]}))
+            w, dst = np.stack(y["v"].to_numpy()), y["id"].to_numpy()
+            for at in range(0, len(x), SLICE_ROWS):
+                part = x.iloc[at : at + SLICE_ROWS]
+                src = part["id"].to_numpy()
+                s = np.round(scores(np.stack(part["v"].to_numpy()), w), 6)
+                if exclude_self:
+                    s[src[:, None] == dst[None, :]] = np.nan
+                # Items are in the order of their ids, so a stable sort gives ties to the least; NaN sorts last.
+                order = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                best = np.take_along_axis(s, order, axis=1)
+                hit = ~np.isnan(best)
+                out.append(pd.DataFrame({"src": np.broadcast_to(src[:, None], best.shape)[hit], "dst": dst[order][hit], "score": best[hit]}))
         return pd.concat(out)
 
     near = cells.groupBy("r", "c").applyInPandas(cell, "src long, dst long, score double")
