@@ -1,4 +1,4 @@
-"""Every query of the reference's own operators against its SQL, and brute force where there is none."""
+"""Every query of the inventory against its SQL, and brute force where there is none."""
 
 import heapq
 import zlib
