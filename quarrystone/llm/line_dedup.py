@@ -27,7 +27,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from quarrystone.llm.common import BROADCAST_ROWS, cut
+from quarrystone.llm.common import cut
+
+#: Bytes of bitmaps that may be broadcast; beyond it both sides are shuffled.
+BROADCAST_BYTES = 64 << 20
 
 ROWS = "h bigint, g bigint, doc bigint, none boolean, key bigint, pos int"
 
@@ -127,7 +130,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     n_chars, if there is such a column, follows the text. Documents that lose nothing don't visit Python.
     """
     changed = cut(line_bitmaps(docs).where("n_kept < n_lines").select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), F.col("keep_bitmap").alias("_bitmap")))
-    changed = F.broadcast(changed) if changed.count() <= BROADCAST_ROWS // 4 else changed.hint("shuffle_hash")
+    size = changed.agg(F.sum(F.length("_bitmap") + 32)).first()[0] or 0
+    changed = F.broadcast(changed) if size <= BROADCAST_BYTES else changed.hint("shuffle_hash")
     on = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_k"))
     joined = docs.select(F.struct("*").alias("_row"), "doc_id", "text").join(changed, on, "left")
     text = joined.withColumn("_text", F.when(F.col("_bitmap").isNull(), F.col("text")).otherwise(_apply(F.coalesce(F.when(F.col("_bitmap").isNotNull(), F.col("text")), F.lit("")), F.coalesce("_bitmap", F.lit("")))))
