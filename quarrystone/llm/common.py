@@ -14,13 +14,16 @@ from pyspark.sql.types import IntegerType
 
 from quarrystone.sources.shared import cut, shared_path
 
-__all__ = ["BROADCAST_ROWS", "CHUNK", "TOKENIZER", "byte_chunks", "count_tokens", "cut", "n_tokens", "restrict", "shared_path", "table", "text_bytes"]
+__all__ = ["BROADCAST_ROWS", "CHUNK", "TOKENIZER", "bounded_batches", "byte_chunks", "count_tokens", "cut", "n_tokens", "restrict", "shared_path", "table", "text_bytes"]
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 #: Rows of ids that a broadcast may hold; beyond it the same join shuffles both sides.
 BROADCAST_ROWS = 2_000_000
 
+#: Bytes of an Arrow batch: what a worker holds of its input, whatever the texts' lengths.
+BATCH_BYTES = 8 << 20
+
 #: Bytes of text that a worker handles at once.
 CHUNK = 1 << 18
 
@@ -29,6 +32,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Texts go to Python in batches of at most BATCH_BYTES: the session's setting is lowered, never raised."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def restrict(df: DataFrame, ids: DataFrame, on: list[str], how: str = "left_semi", n: int | None = None) -> DataFrame:
     """Semi or anti join with a narrow table of ids that is already kept.
 

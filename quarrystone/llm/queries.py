@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrystone.llm.common import table
+from quarrystone.llm.common import bounded_batches, table
 from quarrystone.llm.itq import near_pairs
 from quarrystone.llm.kneser_ney import classify
 from quarrystone.llm.licenses import scan_licenses
@@ -62,7 +65,16 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).where("keep").drop("key", "keep")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_license_scan, op3_warc, op4_line_dedup, op5_mixing, op6_quality_rules, op7_embedding_near_dedup, op8_toxicity, op9_minhash, op10_quality_classifier)}
+def _bounded(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @functools.wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bounded_batches(spark)
+        return f(spark, sf_dir)
+
+    return run
+
+
+QUERIES = {f.__name__: _bounded(f) for f in (op1_packing, op2_license_scan, op3_warc, op4_line_dedup, op5_mixing, op6_quality_rules, op7_embedding_near_dedup, op8_toxicity, op9_minhash, op10_quality_classifier)}
 
 ORACLES = {
     "op4_line_dedup": r"""
