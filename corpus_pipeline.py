@@ -11,31 +11,36 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quarrystone.llm import kneser_ney, line_dedup, minhash, mixing, packing
-from quarrystone.llm.common import shared_path, table
+from quarrystone.llm.common import bounded_batches, shared_path, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity is within their language's limit."""
+    bounded_batches(spark)
     return kneser_ney.keep_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that occurred before; those that had no others go."""
+    bounded_batches(spark)
     return line_dedup.dedup_lines(docs)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, and all others."""
+    bounded_batches(spark)
     return minhash.drop_near_duplicates(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose tokens fill each source's share of the budget."""
+    bounded_batches(spark)
     return mixing.mix_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of every piece of every document in the training sequences."""
+    bounded_batches(spark)
     return packing.pack_documents(docs)
 
 
