@@ -124,6 +124,11 @@ def _apply(text: pd.Series, bitmap: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
+#: Evaluated once for each row: a deterministic UDF would be evaluated again below the filter on its result, with a second
+#: Python worker for each task.
+_apply_once = _apply.asNondeterministic()
+
+
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """The documents without their repeated lines; a document of which no text is left goes, as does a null text.
 
@@ -134,6 +139,6 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     changed = F.broadcast(changed) if size <= BROADCAST_BYTES else changed.hint("shuffle_hash")
     on = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_k"))
     joined = docs.select(F.struct("*").alias("_row"), "doc_id", "text").join(changed, on, "left")
-    text = joined.withColumn("_text", F.when(F.col("_bitmap").isNull(), F.col("text")).otherwise(_apply(F.coalesce(F.when(F.col("_bitmap").isNotNull(), F.col("text")), F.lit("")), F.coalesce("_bitmap", F.lit("")))))
+    text = joined.withColumn("_text", F.when(F.col("_bitmap").isNull(), F.col("text")).otherwise(_apply_once(F.coalesce(F.when(F.col("_bitmap").isNotNull(), F.col("text")), F.lit("")), F.coalesce("_bitmap", F.lit("")))))
     named = {"text": F.col("_text")} | ({"n_chars": F.length("_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return text.where(r"_text rlike '\\S'").select(*[named.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns])
