@@ -9,8 +9,11 @@ before the predicted one, so that all a prediction needs lies in one shard. Each
 with the n-grams of every document; the partial sums of a document are added. With one shard nothing of it shuffles.
 
 A document is rejected if its perplexity is above its language's limit even after allowing for its length: log
-perplexity minus Z standard errors over q75 + FENCE * max(q75 - q25, LEAST_SPREAD), quartiles of log perplexity over all
-documents of the language.
+perplexity minus Z standard errors over q75 + FENCE * max(q75 - q25, LEAST_SPREAD), quartiles of log perplexity over the
+language's trusted documents. So that these read like unseen text, each is scored by a model of the other folds of the
+trusted documents only (FOLDS of them, by a hash of the text, so that equal texts share one); all models are trained and
+used in the same jobs. What else is in the table doesn't move the limit, however much of it is junk; only a language with fewer than LEAST_HELD trusted documents
+with text takes the quartiles of all its documents.
 
 Defined results: a null or empty text has perplexity null and is rejected, as there is nothing to train on; a null
 language is a language of its own; without any trusted text every document with text is kept, with null perplexity. Rows
@@ -44,6 +47,15 @@ FENCE = 3.0
 
 LEAST_SPREAD = 0.02
 
+#: Parts of the trusted documents that are held out of the counts in turn, for the limits.
+FOLDS = 2
+
+#: A language has a limit of its own trusted documents from so many on; fewer give no quartiles.
+LEAST_HELD = 8
+
+#: Number of the model of all trusted documents; model k < FOLDS is the one without fold k.
+WHOLE = FOLDS
+
 _MASK = (1 << 32) - 1
 
 
@@ -62,7 +74,7 @@ def _codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of the 5-grams of a task's texts; what has been gathered is merged whenever it has grown large."""
+    """Counts of the 5-grams of a task's texts, with the text's fold above their five bytes; what has been gathered is merged whenever it has grown large."""
     parts: list[tuple[np.ndarray, np.ndarray]] = []
     size, most = 0, MERGE_ROWS
 
@@ -75,9 +87,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         data, offsets = text_bytes(b.column("text"))
+        fold = b.column("fold").to_numpy().astype(np.int64) << 8 * ORDER
         for i, j in byte_chunks(offsets):
             if offsets[j] > offsets[i]:
-                parts.append(np.unique(_codes(data, offsets[i : j + 1])[0], return_counts=True))
+                codes, doc = _codes(data, offsets[i : j + 1])
+                parts.append(np.unique(codes | fold[i:j][doc], return_counts=True))
                 size += len(parts[-1][0])
                 if size > most:
                     parts = [merge()]
@@ -99,46 +113,56 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
     return tuple(d if 0 < d < k else k / 2 for k, d in zip((1, 2, 3), out, strict=True))
 
 
-def _discount(c: Column, d: tuple[float, float, float]) -> Column:
-    return F.when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2])
+def _discount(c: Column, d: dict[int, tuple[float, float, float]]) -> Column:
+    """By the model's three discounts."""
+    out = F.lit(None).cast("double")
+    for m, x in d.items():
+        out = F.when(F.col("model") == m, F.when(c == 1, x[0]).when(c == 2, x[1]).otherwise(x[2])).otherwise(out)
+    return out
+
+
+def count(trusted: DataFrame) -> DataFrame:
+    """Kept counts (model, code, c) of the 5-grams of a table (text, fold): every model counts all folds but its own."""
+    folds = cut(trusted.select("text", "fold").mapInArrow(_count, "code bigint, c bigint").groupBy("code").agg(F.sum("c").alias("c")))
+    fold = F.shiftright("code", 8 * ORDER)
+    models = F.explode(F.filter(F.sequence(F.lit(0), F.lit(WHOLE)), lambda m: m != fold)).alias("model")
+    return cut(folds.select(models, F.col("code").bitwiseAND((1 << 8 * ORDER) - 1).alias("code"), "c").groupBy("model", "code").agg(F.sum("c").alias("c")))
 
 
-def train(trusted: DataFrame) -> DataFrame | None:
-    """The model as kept rows (kind, code, value): kind n is the log probability of an n-gram, 10 + n the log weight that
-    a context of n bytes gives to the next lower order. None without any text."""
-    counts = {ORDER: cut(trusted.select("text").mapInArrow(_count, "code bigint, c bigint").groupBy("code").agg(F.sum("c").alias("c")))}
+def train(highest: DataFrame) -> tuple[DataFrame, list[int]]:
+    """The models of counts (model, code, c) as kept rows (model, kind, code, value): kind n is the log probability of an
+    n-gram, 10 + n the log weight that a context of n bytes gives to the next lower order. And the models that have any text."""
+    counts = {ORDER: highest}
     for n in range(ORDER - 1, 0, -1):
-        counts[n] = counts[n + 1].groupBy(F.col("code").bitwiseAND((1 << 8 * n) - 1).alias("code")).agg(F.count(F.lit(1)).alias("c"))
+        counts[n] = counts[n + 1].groupBy("model", F.col("code").bitwiseAND((1 << 8 * n) - 1).alias("code")).agg(F.count(F.lit(1)).alias("c"))
         if n == ORDER - 1:
             counts[n] = cut(counts[n])
-    spectrum = {n: [0, 0, 0, 0] for n in counts}
-    tallies = [t.where("c <= 4").groupBy(F.lit(n).alias("n"), "c").agg(F.count(F.lit(1)).alias("k")) for n, t in counts.items()]
+    tallies = [t.groupBy("model", F.lit(n).alias("n"), F.least("c", F.lit(5)).alias("c")).agg(F.count(F.lit(1)).alias("k")) for n, t in counts.items()]
     union = tallies[0]
     for t in tallies[1:]:
         union = union.unionByName(t)
-    for r in union.collect():  # 20 rows at most
-        spectrum[r["n"]][r["c"] - 1] = r["k"]
-    if not any(spectrum[1]) and counts[1].isEmpty():
-        return None
+    spectrum: dict[int, dict[int, list[int]]] = {}
+    for r in union.collect():  # 25 rows a model at most
+        spectrum.setdefault(r["model"], {n: [0] * 5 for n in counts})[r["n"]][r["c"] - 1] = r["k"]
     out, lower = None, None
     for n in range(1, ORDER + 1):
-        d = discounts(spectrum[n])
-        t = counts[n].select("code", "c", F.shiftright("code", 8).alias("ctx"))
-        context = t.groupBy("ctx").agg(F.sum("c").alias("total"), F.sum(_discount(F.col("c"), d)).alias("held")).select("ctx", "total", (F.col("held") / F.col("total")).alias("weight"))
-        t = t.join(context, "ctx")
+        d = {m: discounts(x[n][:4]) for m, x in sorted(spectrum.items())}
+        t = counts[n].select("model", "code", "c", F.shiftright("code", 8).alias("ctx"))
+        context = t.groupBy("model", "ctx").agg(F.sum("c").alias("total"), F.sum(_discount(F.col("c"), d)).alias("held")).select("model", "ctx", "total", (F.col("held") / F.col("total")).alias("weight"))
+        t = t.join(context, ["model", "ctx"])
         if lower is None:
             t = t.withColumn("q", F.lit(1 / 256))
         else:
-            t = t.withColumn("suffix", F.col("code").bitwiseAND((1 << 8 * (n - 1)) - 1)).join(lower.select(F.col("code").alias("suffix"), F.col("p").alias("q")), "suffix")
-        p = t.select("code", ((F.col("c") - _discount(F.col("c"), d)) / F.col("total") + F.col("weight") * F.col("q")).alias("p"))
+            t = t.withColumn("suffix", F.col("code").bitwiseAND((1 << 8 * (n - 1)) - 1)).join(lower.select("model", F.col("code").alias("suffix"), F.col("p").alias("q")), ["model", "suffix"])
+        p = t.select("model", "code", ((F.col("c") - _discount(F.col("c"), d)) / F.col("total") + F.col("weight") * F.col("q")).alias("p"))
         lower = cut(p) if n in (3, 4) else p
-        rows = lower.select(F.lit(n).alias("kind"), "code", F.log("p").alias("value")).unionByName(context.select(F.lit(9 + n).alias("kind"), F.col("ctx").alias("code"), F.log("weight").alias("value")))
+        rows = lower.select("model", F.lit(n).alias("kind"), "code", F.log("p").alias("value")).unionByName(context.select("model", F.lit(9 + n).alias("kind"), F.col("ctx").alias("code"), F.log("weight").alias("value")))
         out = rows if out is None else out.unionByName(rows)
-    return cut(out)
+    return cut(out), sorted(spectrum)
 
 
-def _shards(model: DataFrame, shard_rows: int) -> Iterator[tuple[int, int, dict[int, tuple[np.ndarray, np.ndarray]]]]:
-    """(shard, number of shards, tables by kind with sorted codes), one after the other."""
+def _shards(model: DataFrame, shard_rows: int) -> Iterator[tuple[int, int, dict[int, dict[int, tuple[np.ndarray, np.ndarray]]]]]:
+    """(shard, number of shards, tables by model and kind with sorted codes), one after the other."""
     n = max(1, -(-model.count() // shard_rows))
     # The two bytes before the predicted byte; a context ends in them. Rows that hold fewer go into every shard.
     pair = F.when(F.col("kind") < 10, F.shiftright("code", 8)).otherwise(F.col("code")).bitwiseAND(0xFFFF)
@@ -146,12 +170,13 @@ def _shards(model: DataFrame, shard_rows: int) -> Iterator[tuple[int, int, dict[
     for k in range(n):
         own = model if n == 1 else model.where(everywhere | (pair % n == k))
         t = own.toArrow()
-        kinds, codes, values = (t.column(c).to_numpy() for c in ("kind", "code", "value"))
-        tables = {}
-        for kind in np.unique(kinds):
-            at = np.flatnonzero(kinds == kind)
-            at = at[np.argsort(codes[at], kind="stable")]
-            tables[int(kind)] = (codes[at], values[at].astype(np.float64))
+        models, kinds, codes, values = (t.column(c).to_numpy() for c in ("model", "kind", "code", "value"))
+        tables: dict[int, dict[int, tuple[np.ndarray, np.ndarray]]] = {}
+        for m in np.unique(models):
+            for kind in np.unique(kinds):
+                at = np.flatnonzero((models == m) & (kinds == kind))
+                at = at[np.argsort(codes[at], kind="stable")]
+                tables.setdefault(int(m), {})[int(kind)] = (codes[at], values[at].astype(np.float64))
         yield k, n, tables
 
 
@@ -185,6 +210,7 @@ def _score(shared, k: int, n: int):
         tables = shared.value
         for b in batches:
             data, offsets = text_bytes(b.column("text"))
+            model = b.column("model").to_numpy()
             size = np.zeros(b.num_rows, np.int64)
             total, squares = np.zeros(b.num_rows), np.zeros(b.num_rows)
             for i, j in byte_chunks(offsets):
@@ -193,12 +219,15 @@ def _score(shared, k: int, n: int):
                     own = ((codes >> 8) & 0xFFFF) % n == k
                     codes, doc = codes[own], doc[own]
                 if len(codes):
-                    distinct, at = np.unique(codes, return_inverse=True)
-                    x = -log_probabilities(tables, distinct)[at]
+                    x, each = np.zeros(len(codes)), model[i:j][doc]
+                    for m in np.unique(model[i:j]):
+                        of = each == m
+                        distinct, at = np.unique(codes[of], return_inverse=True)
+                        x[of] = -log_probabilities(tables.get(int(m), {}), distinct)[at]
                     size[i:j] = np.bincount(doc, minlength=j - i)
                     total[i:j] = np.bincount(doc, x, j - i)
                     squares[i:j] = np.bincount(doc, x * x, j - i)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "lang", "key")), pa.array(size), pa.array(total), pa.array(squares)], names=["doc_id", "lang", "key", "size", "total", "squares"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("model", "doc_id", "lang", "key")), pa.array(size), pa.array(total), pa.array(squares)], names=["model", "doc_id", "lang", "key", "size", "total", "squares"])
 
     return run
 
@@ -208,44 +237,59 @@ def _key() -> Column:
 
 
 def trusted_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of a table with a bigint doc_id that labels mark as good."""
     good = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min("quality").alias("q"), F.max("quality").alias("r")).where("q = 1 and r = 1").select("doc_id")
-    return restrict(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text")), cut(good), ["doc_id"])
+    return restrict(docs, cut(good), ["doc_id"])
+
 
+def perplexities(docs: DataFrame, labels: DataFrame, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, DataFrame | None]:
+    """One kept row per document: doc_id, lang, key, size in bytes, mean and deviation of -log p over its bytes.
 
-def perplexities(docs: DataFrame, labels: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """One kept row per document: doc_id, lang, key, size in bytes, mean and deviation of -log p over its bytes."""
+    And the same of the trusted documents, each by the model without its fold; None without any trusted text.
+    """
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), _key().alias("key"), F.col("text").alias("text"))
-    model = train(trusted_documents(docs, labels))
-    if model is None:
-        return cut(d.select("doc_id", "lang", "key", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("size"), F.lit(None).cast("double").alias("mean"), F.lit(None).cast("double").alias("deviation")))
-    schema = "doc_id bigint, lang string, key bigint, size bigint, total double, squares double"
+    trusted = trusted_documents(d, labels).withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int"))
+    rows, models = train(count(trusted))
+    if not models:
+        return cut(d.select("doc_id", "lang", "key", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("size"), F.lit(None).cast("double").alias("mean"), F.lit(None).cast("double").alias("deviation"))), None
+    jobs = d.withColumn("model", F.lit(WHOLE)).unionByName(trusted.where(F.col("fold").isin(models)).withColumnRenamed("fold", "model"))
+    schema = "model int, doc_id bigint, lang string, key bigint, size bigint, total double, squares double"
     parts, n = [], 1
-    for k, n, tables in _shards(model, shard_rows):
+    for k, n, tables in _shards(rows, shard_rows):
         shared = spark.sparkContext.broadcast(tables)
-        parts.append(cut(d.mapInArrow(_score(shared, k, n), schema)))
+        parts.append(cut(jobs.mapInArrow(_score(shared, k, n), schema)))
         shared.destroy()
     if n > 1:
         union = parts[0]
         for p in parts[1:]:
             union = union.unionByName(p)
-        parts = [union.groupBy("doc_id", "lang", "key").agg(*(F.sum(c).alias(c) for c in ("size", "total", "squares")))]
+        parts = [union.groupBy("model", "doc_id", "lang", "key").agg(*(F.sum(c).alias(c) for c in ("size", "total", "squares")))]
     mean = F.when(F.col("size") > 0, F.col("total") / F.col("size"))
     deviation = F.sqrt(F.greatest(F.col("squares") / F.col("size") - F.col("mean") * F.col("mean"), F.lit(0.0)))
-    out = parts[0].withColumn("mean", mean).select("doc_id", "lang", "key", "size", "mean", F.when(F.col("size") > 0, deviation).alias("deviation"))
-    return cut(out) if n > 1 else out
+    out = parts[0].withColumn("mean", mean).select("model", "doc_id", "lang", "key", "size", "mean", F.when(F.col("size") > 0, deviation).alias("deviation"))
+    out = cut(out) if n > 1 else out
+    return out.where(F.col("model") == WHOLE).drop("model"), out.where(F.col("model") < WHOLE).drop("model")
+
+
+def limits(scores: DataFrame, held: DataFrame | None = None, fence: float = FENCE) -> DataFrame:
+    """lang and limit: the highest log perplexity that is kept; of the held-out trusted documents where a language has
+    LEAST_HELD of them, else of all."""
 
+    def quartiles(t: DataFrame) -> DataFrame:
+        return t.where("mean is not null").groupBy("lang").agg(F.percentile_approx("mean", [0.25, 0.75], 10_000).alias("q"), F.count(F.lit(1)).alias("n"))
 
-def limits(scores: DataFrame, fence: float = FENCE) -> DataFrame:
-    """lang and limit: the highest log perplexity that is kept."""
-    q = scores.where("mean is not null").groupBy("lang").agg(F.percentile_approx("mean", [0.25, 0.75], 10_000).alias("q"))
+    q = quartiles(scores)
+    if held is not None:
+        own = quartiles(held).where(F.col("n") >= LEAST_HELD).select(F.col("lang").alias("_lang"), F.col("q").alias("_q"))
+        q = q.join(F.broadcast(own), q["lang"].eqNullSafe(own["_lang"]), "left").select("lang", F.coalesce("_q", "q").alias("q"))  # one row per language
     return q.select("lang", (F.col("q")[1] + fence * F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(LEAST_SPREAD))).alias("limit"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """doc_id, lang, key, perplexity, limit and keep of every document."""
-    scores = perplexities(docs, labels, shard_rows)
-    top = F.broadcast(limits(scores).withColumnRenamed("lang", "_lang"))  # one row per language
+    scores, held = perplexities(docs, labels, shard_rows)
+    top = F.broadcast(limits(scores, held).withColumnRenamed("lang", "_lang"))  # one row per language
     joined = scores.join(top, F.col("lang").eqNullSafe(F.col("_lang")), "left")
     over = F.col("mean") - Z * F.col("deviation") / F.sqrt("size") > F.col("limit")
     return joined.select("doc_id", "lang", "key", F.exp("mean").alias("perplexity"), F.exp("limit").alias("limit"), ((F.col("size") > 0) & ~F.coalesce(over, F.lit(False))).alias("keep"))

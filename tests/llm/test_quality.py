@@ -155,6 +155,20 @@ def test_held_out_documents_are_kept(spark):
     assert np.mean(held) >= 0.98
 
 
+def test_junk_share_does_not_move_the_limit(spark):
+    """With as many junk documents as others in every language, none of them labelled, they are rejected all the same."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    good = labels.where("quality = 1")
+    junk = docs.join(labels.where("quality = 0"), "doc_id", "left_semi").select("doc_id", "text", "lang")
+    clean = docs.join(good, "doc_id", "left_semi").select("doc_id", "text", "lang")
+    copies = -(-clean.count() // junk.count())
+    many = junk.crossJoin(spark.range(1, copies + 1)).selectExpr("doc_id + id * 1000000000 AS doc_id", "text", "lang")
+    kept = {r["doc_id"]: r["keep"] for r in K.classify(clean.unionByName(many), good).collect()}
+    assert np.mean([v for d, v in kept.items() if d < 1_000_000_000]) >= 0.99
+    assert np.mean([v for d, v in kept.items() if d >= 1_000_000_000]) <= 0.2
+
+
 def test_classifier_on_odd_rows(odd, labels, empty):
     rows = K.classify(odd, labels).collect()
     assert len(rows) == odd.count()
