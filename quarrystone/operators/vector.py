@@ -85,6 +85,12 @@ def planes(tables: int, hashes: int, dim: int, seed: int = 42) -> np.ndarray:
     return np.random.default_rng(seed).uniform(-1, 1, (tables, hashes, dim))
 
 
+def lsh_tables(cosine: float, hashes: int, recall: float) -> int:
+    """Tables of so many signs in which a pair of this cosine meets with a chance of recall: one sign agrees with 1 - angle / pi."""
+    meet = (1 - np.arccos(cosine) / np.pi) ** hashes
+    return int(np.ceil(np.log(1 - recall) / np.log(1 - meet)))
+
+
 def lsh_index(df: DataFrame, dim: int, tables: int = 4, hashes: int = 10, seed: int = 42) -> DataFrame:
     """(id, vector, keys): the signs of seeded projections, one bucket key for each table."""
     p = planes(tables, hashes, dim, seed).reshape(-1, dim)
@@ -103,10 +109,12 @@ def lsh_index(df: DataFrame, dim: int, tables: int = 4, hashes: int = 10, seed:
 def lsh_join(index: DataFrame, k: int, threshold: float = 0.0) -> DataFrame:
     """(src, dst, score, rank): of the vectors that share a bucket in any table, the k most alike by cosine."""
     each = index.select("id", F.posexplode("keys").alias("t", "key"))
-    pairs = each.alias("a").join(each.alias("b"), ["t", "key"]).where("a.id <> b.id").select(F.col("a.id").alias("src"), F.col("b.id").alias("dst")).distinct()
+    pairs = each.alias("a").join(each.alias("b"), ["t", "key"]).where("a.id < b.id").select(F.col("a.id").alias("src"), F.col("b.id").alias("dst")).distinct()
     a = index.select(F.col("id").alias("src"), F.col("vector").alias("va"))
     b = index.select(F.col("id").alias("dst"), F.col("vector").alias("vb"))
     scored = pairs.join(a, "src").join(b, "dst").select("src", "dst", F.round(V.cosine(F.col("va"), F.col("vb")), 6).alias("score")).where(F.col("score") >= threshold)
+    ends = F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+    scored = scored.select(ends.alias("e"), "score").select("e.src", "e.dst", "score")
     w = Window.partitionBy("src").orderBy(F.desc("score"), "dst")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -3,6 +3,7 @@
 import heapq
 import zlib
 
+import numpy as np
 import pytest
 
 from quarrystone.plans import ORACLES, QUERIES
@@ -138,6 +139,22 @@ def test_lsh_recall(spark):
     assert len(found) >= 0.9 * len(exact)
 
 
+def test_lsh_recall_near_the_threshold(spark, tmp_path):
+    """Pairs of a cosine just above 0.5 are found, and all others of v7 too."""
+    rng = np.random.default_rng(5)
+    a, b = rng.standard_normal((2, 300, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    cosine = np.linspace(0.5, 0.55, 300)[:, None]
+    x = np.vstack([a, cosine * a + np.sqrt(1 - cosine**2) * b])
+    spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    exact = {(r["src"], r["dst"]): r["score"] for r in QUERIES["v7_linear_search"](spark, str(tmp_path)).collect()}
+    found = {(r["src"], r["dst"]): r["score"] for r in QUERIES["v8_lsh_search"](spark, str(tmp_path)).collect()}
+    assert len(exact) >= 590 and found.keys() <= exact.keys()
+    assert len(found) >= 0.9 * len(exact)
+
+
 def test_semantic_features_have_length_one(spark):
     for r in QUERIES["r2_semantic"](spark, SF).collect():
         assert len(r["features"]) == 32
