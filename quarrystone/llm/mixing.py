@@ -1,9 +1,11 @@
 """Mixing sources to target weights: subset-sum budget fitting over exact token lengths.
 
 Documents are counted by (source, token length). Each source gets its share of the token budget; what a source can't
-fill is shared out among the others by their weights. Within a source every length first gives the same share of its
-documents; what is then left of the budget is filled exactly, if any choice of the documents left can fill it, by a
-bounded-knapsack table over counts (each length as often as documents of it are left, split in powers of two). Which
+fill is shared out among the others by their weights. Within a source every length gives the same share of its
+documents, rounded down or up by one seeded systematic draw over the lengths in order, so that lengths that occur once
+get their share too; about the longest document's tokens are then left. These are filled by a bounded-knapsack table
+over counts (each length as often as documents of it are left, split in powers of two, in a seeded order). If that
+doesn't fill the budget exactly and what the shares rounded down leave fits the table, the table fills that instead. Which
 documents of a length go in is the order of a seeded hash, so the choice is reproducible and independent of layout.
 
 Defined results: a null source is a source of its own. A null or empty text has length 0 and costs nothing: it is never
@@ -28,7 +30,7 @@ BUDGET_SHARE = 0.5
 
 SEED = 17
 
-#: The knapsack table covers at most so many tokens beside the longest document; the rest is filled proportionally.
+#: The knapsack table covers at most so many tokens beside the longest document; if more is left, documents of lengths in a seeded order go in first.
 TABLE_TOKENS = 1 << 16
 
 
@@ -60,10 +62,31 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, table: int
         return counts.copy()
     if budget <= 0:
         return np.zeros_like(counts)
-    take = (counts * (budget / total)).astype(np.int64)
+    rng = np.random.default_rng(SEED)
+    exact = counts * (budget / total)
+    floor = exact.astype(np.int64)
+    order = np.argsort(lengths, kind="stable")
+    edges = np.floor(np.r_[0.0, np.cumsum((exact - floor)[order])] + rng.random())
+    more = np.zeros_like(floor)
+    more[order] = np.minimum(np.diff(edges).astype(np.int64), (counts - floor)[order])
+    # The draw may be over by about one document: the shortest that makes up for it goes, or the longest.
+    while (over := int((lengths * (floor + more)).sum()) - budget) > 0:
+        up = np.flatnonzero(more)
+        enough = up[lengths[up] >= over]
+        more[enough[np.argmin(lengths[enough])] if len(enough) else up[np.argmax(lengths[up])]] -= 1
+    order = rng.permutation(len(lengths))
+    best = _fill(lengths, counts, budget, floor + more, order, table)
+    left = budget - int((lengths * floor).sum())
+    if int((lengths * best).sum()) < budget and left <= table:
+        return _fill(lengths, counts, budget, floor, order, table)
+    return best
+
+
+def _fill(lengths: np.ndarray, counts: np.ndarray, budget: int, take: np.ndarray, order: np.ndarray, table: int) -> np.ndarray:
+    """take and what the knapsack adds of the lengths in this order."""
+    take = take.copy()
     rest = budget - int((lengths * take).sum())
-    # Proportional shares leave less than one document of each length; the longest go in until the table can do the rest.
-    for i in np.argsort(-lengths, kind="stable"):
+    for i in order:
         if rest <= table:
             break
         more = min(int(counts[i] - take[i]), max(0, (rest - table) // int(lengths[i]) + 1), rest // int(lengths[i]))
@@ -74,7 +97,7 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, table: int
     reached = np.zeros(rest + 1, bool)
     reached[0] = True
     items: list[tuple[int, int]] = []
-    for i in np.argsort(lengths, kind="stable"):
+    for i in order:
         n, left = int(lengths[i]), int(min(counts[i] - take[i], rest // int(lengths[i])))
         k = 1
         while left > 0 and not reached[rest]:

@@ -93,6 +93,16 @@ def test_budget_is_filled_as_well_as_possible_after_the_shares(pairs, budget):
     assert used == best
 
 
+def test_every_length_gets_its_share():
+    """Lengths that occur once, of 100 to 20,000 tokens: each tenth of them, short to long, gives about half of its documents."""
+    lengths = np.unique(np.geomspace(100, 20_000, 1000).astype(int))
+    counts = np.ones_like(lengths)
+    budget = int(lengths.sum()) // 2
+    take = mixing.fit_counts(lengths, counts, budget)
+    assert (take >= 0).all() and (take <= counts).all() and int((take * lengths).sum()) == budget
+    assert all(0.35 <= part.mean() <= 0.65 for part in np.array_split(take, 10))
+
+
 def test_budgets_by_source():
     assert mixing.source_budgets({"a": 100, "b": 1000}, None, 600) == {"a": 100, "b": 500}
     assert mixing.source_budgets({"a": 100, None: 100}, {"a": 3, None: 1}, 100) == {"a": 75, None: 25}
