@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quarrystone.llm.common import bounded_batches, table
-from quarrystone.llm.itq import near_pairs
+from quarrystone.llm.itq import near_duplicates as near_vectors
 from quarrystone.llm.kneser_ney import classify
 from quarrystone.llm.licenses import scan_licenses
 from quarrystone.llm.line_dedup import line_bitmaps
@@ -47,7 +47,8 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_pairs(table(spark, sf_dir, "embeddings"))
+    """The vectors that have near-duplicates, each with its class and its number of links."""
+    return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,64 +8,110 @@ import pytest
 from quarrystone.llm import itq, queries, toxicity
 
 
-def vectors(spark, seed=0, n=400, dim=32, copies=150):
+def vectors(seed=0, n=400, dim=64, copies=150, shift=0.0):
+    """Rows of which some are planted at cosine 0.9501 to 0.97 of others, equal rows and multiples; shift: what all have in common."""
     rng = np.random.default_rng(seed)
-    base = rng.standard_normal((n, dim))
-    near = base[rng.integers(0, n, copies)] + 0.08 * rng.standard_normal((copies, dim))
-    x = np.vstack([base, near, base[:3], base[:3] * 2])
-    return x, spark.createDataFrame([(i, v.tolist(), 1, "x", 2) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int, key string, id int")
+    base = rng.standard_normal((n, dim)) / np.sqrt(dim)
+    base[:, 0] += shift
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    source = base[rng.integers(0, n, copies)]
+    away = rng.standard_normal(source.shape)
+    away -= (away * source).sum(axis=1, keepdims=True) * source
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    c = rng.uniform(itq.COSINE + 1e-4, 0.97, (copies, 1))
+    return np.vstack([base, c * source + np.sqrt(1 - c * c) * away, base[:3], base[:3] * 2])
 
 
-def all_pairs(ids, x, cosine):
-    x = x / np.linalg.norm(x, axis=1, keepdims=True)
-    s = x @ x.T
-    return {(min(ids[a], ids[b]), max(ids[a], ids[b])) for a, b in zip(*np.nonzero(s >= cosine), strict=True) if ids[a] != ids[b]}
-
-
-def test_recall_against_all_pairs(spark):
-    x, df = vectors(spark)
-    got = {(r["a"], r["b"]): r["cosine"] for r in itq.near_pairs(df).collect()}
-    want = all_pairs(list(range(len(x))), x, itq.COSINE)
-    assert set(got) <= want
-    assert len(got) >= 0.9 * len(want)
-    assert all(v >= itq.COSINE for v in got.values())
+def frame(spark, x):
+    return spark.createDataFrame([(i, v.tolist(), 1, "x", 2) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int, key string, x int")
 
 
-@pytest.mark.parametrize(("n", "bits"), [(2, 64), (1000, 64), (60_000, 64), (10**9, 64), (500, 3)])
-def test_tables_cover_the_code(n, bits):
-    parts = itq.tables(n, bits)
-    assert sum(w for _, w in parts) == bits
-    assert [s for s, _ in parts] == [sum(w for _, w in parts[:i]) for i in range(len(parts))]
-
-
-def test_search_is_complete_within_the_radius(spark):
-    """All pairs of codes within RADIUS bits meet: with a reach of RADIUS and no cosine limit the result is exact."""
-    x, df = vectors(spark, 1, 120, 24, 60)
-    kept = itq.valid_vectors(df)
-    unique = {tuple(v / np.linalg.norm(v)): i for i, v in reversed(list(enumerate(x)))}
-    got = {(r["a"], r["b"]) for r in itq.near_pairs(df, cosine=-1.0, reach=itq.RADIUS).collect()}
-    searched = kept.where(f"vec_id in ({','.join(map(str, unique.values()))})")
-    mean, p = itq.learn(searched.union(kept.join(searched, "vec_id", "left_anti")), 24, len(x))
-    assert got
-    assert p.shape == (24, 24) and np.allclose(p.T @ p, np.eye(24), atol=1e-6)
+def brute(x, cosine=itq.COSINE):
+    """Whether two rows are linked, and the class of each: the least row that is connected."""
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = x @ x.T >= cosine
+    np.fill_diagonal(linked, False)
+    root = np.arange(len(x))
+    while True:
+        after = np.where(linked.any(axis=1), np.minimum(root, np.where(linked, root[None, :], len(x)).min(axis=1)), root)
+        if (after == root).all():
+            return linked, root
+        root = after
+
+
+@pytest.mark.parametrize("shift", [0.0, 1.0, 1.5])
+def test_recall_against_all_pairs(spark, shift):
+    """Also where all vectors share a mean, which widens the angles between codes."""
+    x = vectors(n=3000, copies=1000, shift=shift)
+    linked, root = brute(x)
+    got = {r["vec_id"]: r for r in itq.near_duplicates(frame(spark, x)).collect()}
+    want = linked.sum(axis=1)
+    assert want.sum() > 2000
+    assert all(0 < r["links"] <= want[i] for i, r in got.items())
+    assert sum(r["links"] for r in got.values()) >= 0.95 * want.sum()
+    assert np.mean([got[i]["class_id"] == root[i] if i in got else False for i in np.flatnonzero(want)]) >= 0.95
+
+
+def test_rows_for_each_vector_do_not_follow_their_number():
+    """The layout comes from the geometry of a bounded sample: as many tables for a hundred times the vectors."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((100_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    sizes = []
+    for n in (1_000, 20_000, 100_000):
+        fitted = x[:n][: itq.FIT]
+        tables, reach = itq.layout(fitted, *itq.learn(fitted))
+        assert sum(len(t) for t in tables) % 64 == 0
+        sizes.append((len(tables), reach))
+    assert max(t for t, _ in sizes) <= min(t for t, _ in sizes) + 3
+
+
+def test_every_pair_within_the_turns_is_a_candidate_once(spark):
+    """With no cosine limit the result is exactly the pairs of codes that differ by two bits at most in some table, within reach."""
+    x = vectors(1, 150, 24, 60)
+    unique = spark.createDataFrame([(i, v.tolist(), hash(tuple(v))) for i, v in enumerate(np.unique(x, axis=0))], "x long, v array<double>, h long").coalesce(3)
+    rows = sorted(unique.collect(), key=lambda r: (r["h"], r["x"]))
+    m = np.array([r["v"] for r in rows])
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    mean, p = itq.learn(m)
+    assert np.allclose(p.T @ p, np.eye(24), atol=1e-6)
+    tables, reach = itq.layout(m, mean, p, -1.0, 0.0)
+    signs = {r["x"]: (m[i] - mean) @ p >= 0 for i, r in enumerate(rows)}
+    want = {(a, b) for a in signs for b in signs if a < b and (signs[a] != signs[b]).sum() <= reach and any((signs[a] != signs[b])[t].sum() <= itq.TURNS for t in tables)}
+    got = [(r["x"], r["y"]) for r in itq.links(unique, 24, cosine=-1.0, target=0.0).collect()]
+    assert len(got) == len(set(got))
+    assert len(set(got) ^ want) <= 0.01 * len(want)  # a sign at 0 may fall to either side
 
 
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [0.0, 0.0]), (7, [1.0]), (8, []), (None, [1.0, 0.0]), (9, [1.0, None]), (10, [0.0, 1.0]), (2, [0.0, 1.0]), (11, [0.999, 0.01])]
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [0.0, 0.0]), (7, [1.0]), (8, []), (None, [1.0, 0.0]), (9, [1.0, None]), (10, [0.0, 1.0]), (2, [0.0, 1.0]), (11, [0.999, 0.01]), (12, [-1.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = {(r["a"], r["b"]) for r in itq.near_pairs(df).collect()}
-    assert got == {(1, 2), (2, 10), (1, 11), (2, 11)}
-    assert itq.near_pairs(df.limit(0)).count() == 0
-    assert itq.near_pairs(df.where("vec_id = 3")).count() == 0
-
-
-def test_embedding_query(spark):
-    sf = "/root/testdata/sf0.1"
-    e = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
-    want = all_pairs([r["vec_id"] for r in e], np.array([r["embedding"] for r in e], float), itq.COSINE)
-    got = {(r["a"], r["b"]) for r in queries.QUERIES["op7_embedding_near_dedup"](spark, sf).collect()}
-    assert got <= want and len(got) >= 0.9 * len(want)
+    got = sorted(tuple(r) for r in itq.near_duplicates(df).collect())
+    assert got == [(1, 1, 2), (2, 1, 2), (2, 2, 1), (10, 2, 1), (11, 1, 2)]
+    assert itq.near_duplicates(df.limit(0)).count() == 0
+    assert itq.near_duplicates(df.where("vec_id = 3")).count() == 0
+    assert itq.near_duplicates(df.where("vec_id = 1")).count() == 0
+
+
+def test_ties_of_dimension_go_to_the_larger(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [1.0, 0.0, 0.0]), (4, [1.0, 0.0, 0.0])], "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in itq.near_duplicates(df).collect()) == [(3, 3, 1), (4, 3, 1)]
+
+
+def test_embedding_query(spark, tmp_path):
+    """Over the whole table, with near vectors planted since the given small tables have none."""
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = e.collect()
+    x = np.array([r["embedding"] for r in rows], float)
+    more = itq.partners(x[:300] / np.linalg.norm(x[:300], axis=1, keepdims=True), 0.955)
+    planted = spark.createDataFrame([(10_000 + i, v.tolist(), 0) for i, v in enumerate(more)], "vec_id long, embedding array<double>, label int")
+    e.select("vec_id", "embedding", "label").unionByName(planted.selectExpr("vec_id", "cast(embedding as array<float>) embedding", "label")).write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = brute(np.vstack([x, more.astype(np.float32)]))[0].sum(axis=1)
+    ids = [*(r["vec_id"] for r in rows), *range(10_000, 10_300)]
+    got = {r["vec_id"]: r["links"] for r in queries.QUERIES["op7_embedding_near_dedup"](spark, str(tmp_path)).collect()}
+    assert set(got) <= {i for i, k in zip(ids, want, strict=True) if k}
+    assert sum(got.values()) >= 0.9 * want.sum() and want.sum() >= 600
 
 
 @pytest.mark.parametrize(("name", "recall", "wrong"), [("check_s", 0.98, 0.003), ("sf0.1", 0.8, 0.015)])
