@@ -7,8 +7,9 @@ very many documents is thinned before the shuffle: of equal hashes in one Arrow
 occurrence. What returns is one compressed bitmap per document, not text: the run lengths of kept and dropped lines,
 beginning with kept ("12,1,3": 12 kept, 1 dropped, 3 kept; "0,2": 2 dropped).
 
-Lines are compared without surrounding white space. Lines without any other character always stay: they are structure,
-not content. The first occurrence is the one with the least (doc_id, text hash, position), nulls first.
+Lines are compared without surrounding white space, which is SPACE: blank, tab, line feed, vertical tab, form feed and carriage return.
+Lines without any other character always stay: they are structure, not content. Other separators (U+0085, U+2028) are
+content: they neither end a line nor make it blank. The first occurrence is the one with the least (doc_id, text hash, position), nulls first.
 
 Defined results: a null text has no lines (n_lines 0, bitmap ""); an empty text has one empty line ("1"). Rows alike in
 doc_id and text are one document: one bitmap, which holds for each of them. Rows that share a doc_id but not the text,
@@ -32,6 +33,8 @@ from quarrystone.llm.common import cut
 #: Bytes of bitmaps that may be broadcast; beyond it both sides are shuffled.
 BROADCAST_BYTES = 64 << 20
 
+SPACE = r"[ \t\n\x0B\f\r]"
+
 ROWS = "h bigint, g bigint, doc bigint, none boolean, key bigint, pos int"
 
 
@@ -39,6 +42,11 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
+def _trimmed(line: Column) -> Column:
+    """What is compared; a line is blank if nothing of it is left."""
+    return F.regexp_replace(line, rf"\A{SPACE}+|{SPACE}+\z", "")
+
+
 def _columns(b: pa.RecordBatch) -> list[np.ndarray]:
     out = [b.column(c).to_numpy(zero_copy_only=False) for c in ("h", "g")]
     doc = b.column("doc")
@@ -98,8 +106,7 @@ def line_bitmaps(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc"), F.xxhash64("text").alias("key"), F.col("text").alias("text"))
-    line = F.trim(F.regexp_replace(F.col("line"), r"^\s+|\s+$", ""))
-    each = d.select("doc", "key", F.posexplode(_lines(F.col("text"))).alias("pos", "line")).select("doc", "key", "pos", line.alias("line"))
+    each = d.select("doc", "key", F.posexplode(_lines(F.col("text"))).alias("pos", "line")).select("doc", "key", "pos", _trimmed(F.col("line")).alias("line"))
     hashed = each.where("line <> ''").select(F.xxhash64("line").alias("h"), F.xxhash64("line", F.lit(7)).alias("g"), "doc", "key", "pos")
     # Ranges of equal width over the signed 64-bit hashes: bounds that need no pass over the data.
     at = F.floor((F.shiftright("h", 32).cast("double") + 2147483648.0) / 4294967296.0 * n).cast("int")
@@ -107,7 +114,7 @@ def line_bitmaps(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     sorted_ = ranged.repartitionById(n, F.col("range")).sortWithinPartitions("h", "g", "doc", "key", "pos")
     firsts = sorted_.drop("range").mapInArrow(_stream_firsts, "doc bigint, key bigint, pos int")
     # Lines that always stay come straight from the documents, as does the number of lines of each document.
-    blank = F.filter(F.transform(_lines(F.col("text")), lambda x, i: F.when(x.rlike(r"^\s*$"), i)), lambda i: i.isNotNull())
+    blank = F.filter(F.transform(_lines(F.col("text")), lambda x, i: F.when(_trimmed(x) == "", i)), lambda i: i.isNotNull())
     own = d.select("doc", "key", F.greatest(F.size(_lines(F.col("text"))), F.lit(0)).alias("n"), F.coalesce(blank, F.array().cast("array<int>")).alias("blank"))
     rows = own.select("doc", "key", "n", "blank", F.lit(None).cast("int").alias("pos")).unionByName(firsts.select("doc", "key", F.lit(None).cast("int").alias("n"), F.lit(None).cast("array<int>").alias("blank"), "pos"))
     grouped = rows.groupBy("doc", "key").agg(F.max("n").alias("n"), F.first("blank", ignorenulls=True).alias("blank"), F.collect_list("pos").alias("kept"))

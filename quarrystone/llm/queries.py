@@ -83,7 +83,7 @@ WITH lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents
 ), marked AS (
   SELECT doc_id, pos, trimmed = '' OR row_number() OVER (PARTITION BY trimmed ORDER BY doc_id, pos) = 1 AS keep
-  FROM (SELECT doc_id, pos, regexp_replace(line, '^\s+|\s+$', '', 'g') AS trimmed FROM lines)
+  FROM (SELECT doc_id, pos, regexp_replace(line, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g') AS trimmed FROM lines)
 ), edges AS (
   SELECT *, CASE WHEN keep = lag(keep, 1, true) OVER (PARTITION BY doc_id ORDER BY pos) THEN 0 ELSE 1 END AS edge FROM marked
 ), runs AS (
