@@ -8,7 +8,7 @@ takes the i-th place that the patterns have for it.
 Defined results: a document longer than `capacity` is cut into full pieces and a rest (piece 0, 1, ...), so no token is
 lost. A null or empty text has no tokens: one row with n_tokens 0 and null pack_id, slot and pack_offset. Rows that
 repeat are packed as often as they occur; rows with a null doc_id are packed like any other. Documents of one length are
-ranked by (hash bucket,) doc_id, piece. An empty table gives no rows. Columns other than the two named are ignored.
+ranked by a hash of doc_id, text and piece, whatever their number; equal hashes by doc_id and piece. An empty table gives no rows. Columns other than the two named are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from quarrystone.llm.common import TOKENIZER, cut, n_tokens
 
 CAPACITY = 4096
 
-#: Rows that one window partition ranks; a length with more documents is ranked in hash buckets.
+#: Rows that one window partition ranks; a length with more documents is ranked in ranges of the hash, which gives the same ranks.
 RANK_ROWS = 1_000_000
 
 #: Segments that go to the workers as a table to search; beyond it they are joined.
@@ -121,30 +121,27 @@ def _place(places: np.ndarray):
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, rank_rows: int = RANK_ROWS, search_rows: int = SEARCH_ROWS) -> DataFrame:
     """One row per piece: doc_id, piece, n_tokens, pack_id, slot in the pack and offset of its first token."""
     spark = docs.sparkSession
-    lengths = cut(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), n_tokens(F.col("text"), tokenizer).alias("n")))
+    lengths = cut(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("t"), n_tokens(F.col("text"), tokenizer).alias("n")))
     full = F.floor(F.col("n") / capacity).cast("int")
     pieces = lengths.where("n > 0").select(
-        "doc_id", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / capacity).cast("int"))).alias("piece"), "n"
-    ).select("doc_id", "piece", F.when(F.col("piece") < full, capacity).otherwise(F.col("n") % capacity).cast("int").alias("n_tokens"))
+        "doc_id", "t", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / capacity).cast("int"))).alias("piece"), "n"
+    ).select("doc_id", "piece", F.when(F.col("piece") < full, capacity).otherwise(F.col("n") % capacity).cast("int").alias("n_tokens"), F.xxhash64("doc_id", "t", "piece").alias("h"))
     histogram = {r["n_tokens"]: r["count"] for r in pieces.groupBy("n_tokens").count().collect()}  # capacity rows at most
     places = segments(pack_histogram(histogram, capacity))
-    # Ranks: a length with many documents is split into hash buckets, whose first ranks come from their counts.
-    buckets = {n: -(-c // rank_rows) for n, c in histogram.items() if c > rank_rows}
-    if buckets:
-        many = F.create_map(*[F.lit(x) for kv in buckets.items() for x in kv])
-        k = F.coalesce(F.element_at(many, F.col("n_tokens")), F.lit(1))
-        pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), k).cast("int"))
-        starts = pieces.where(F.col("n_tokens").isin(list(buckets))).groupBy("n_tokens", "bucket").count().collect()
-        first: dict[tuple[int, int], int] = {}
-        sums: dict[int, int] = {}
-        for r in sorted(starts, key=lambda r: (r["n_tokens"], r["bucket"])):
-            first[r["n_tokens"], r["bucket"]] = sums.get(r["n_tokens"], 0)
-            sums[r["n_tokens"]] = sums.get(r["n_tokens"], 0) + r["count"]
-        base = spark.createDataFrame([(n, b, s) for (n, b), s in first.items()], "n_tokens int, bucket int, base bigint")
-        pieces = pieces.join(F.broadcast(base), ["n_tokens", "bucket"], "left").withColumn("base", F.coalesce("base", F.lit(0)))
+    # Ranks: the hashes of a length with many documents are cut into equal ranges, whose first ranks come from their counts.
+    ranges = [(n, -(-c // rank_rows)) for n, c in histogram.items() if c > rank_rows]
+    if ranges:
+        many = F.broadcast(spark.createDataFrame(ranges, "n_tokens int, k int"))  # capacity rows at most
+        share = (F.shiftright("h", 32).cast("double") + 2147483648.0) / 4294967296.0
+        pieces = pieces.join(many, "n_tokens", "left").withColumn("bucket", F.coalesce(F.floor(share * F.col("k")).cast("int"), F.lit(0)))
+        counts = cut(pieces.where("k is not null").groupBy("n_tokens", "bucket").count())
+        before = F.sum("count").over(Window.partitionBy("n_tokens").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+        base = counts.select("n_tokens", "bucket", F.coalesce(before, F.lit(0)).alias("base"))
+        small = len(histogram) + sum(histogram.values()) // rank_rows <= search_rows
+        pieces = pieces.join(F.broadcast(base) if small else base, ["n_tokens", "bucket"], "left").withColumn("base", F.coalesce("base", F.lit(0)))
     else:
         pieces = pieces.withColumn("bucket", F.lit(0)).withColumn("base", F.lit(0).cast("bigint"))
-    w = Window.partitionBy("n_tokens", "bucket").orderBy("doc_id", "piece")
+    w = Window.partitionBy("n_tokens", "bucket").orderBy("h", "doc_id", "piece")
     ranked = pieces.select("doc_id", "piece", "n_tokens", (F.row_number().over(w) - 1 + F.col("base")).cast("bigint").alias("rank"))
     if len(places) <= search_rows:
         placed = ranked.mapInArrow(_place(places), SCHEMA)
