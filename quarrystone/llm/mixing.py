@@ -3,10 +3,12 @@
 Documents are counted by (source, token length). Each source gets its share of the token budget; what a source can't
 fill is shared out among the others by their weights. Within a source every length gives the same share of its
 documents, rounded down or up by one seeded systematic draw over the lengths in order, so that lengths that occur once
-get their share too; about the longest document's tokens are then left. These are filled by a bounded-knapsack table
-over counts (each length as often as documents of it are left, split in powers of two, in a seeded order). If that
-doesn't fill the budget exactly and what the shares rounded down leave fits the table, the table fills that instead. Which
-documents of a length go in is the order of a seeded hash, so the choice is reproducible and independent of layout.
+get their share too; at most about the longest document's tokens are then left. These are filled by a bounded-knapsack table
+over counts (each length as often as documents of it are left, split in powers of two, in a seeded order), whatever their
+number is. If that doesn't fill the budget exactly, documents that were rounded up are taken back, in a seeded order, as long
+as all that is left is within SPAN longest documents, and the table fills that. Which documents of a length go in is the order
+of a seeded hash, so the choice is reproducible and independent of layout; a frequent length is cut into ranges of the
+hash, of which only the one at the border is ranked.
 
 Defined results: a null source is a source of its own. A null or empty text has length 0 and costs nothing: it is never
 selected. Rows that are alike in doc_id, source and text stay or go together: they count as one document whose length is
@@ -30,13 +32,21 @@ BUDGET_SHARE = 0.5
 
 SEED = 17
 
-#: The knapsack table covers at most so many tokens beside the longest document; if more is left, documents of lengths in a seeded order go in first.
-TABLE_TOKENS = 1 << 16
+#: Target weights of the query and the pipeline: sources of which more is wanted. All others weigh OTHER.
+WEIGHTS = {"src1": 2.0, "src2": 2.0, "src3": 3.0}
 
+OTHER = 1.0
 
-def source_budgets(tokens: Mapping[str | None, int], weights: Mapping[str | None, float] | None, budget: int) -> dict[str | None, int]:
-    """Tokens by source. weights None: all sources weigh the same. A source never gets more than it has."""
-    w = {s: (1.0 if weights is None else float(weights.get(s, 0.0))) for s in tokens}
+#: Tokens that the second knapsack covers, in longest documents of the source.
+SPAN = 64
+
+#: Documents of a source and length that are ranked at once.
+RANK_ROWS = 1_000_000
+
+
+def source_budgets(tokens: Mapping[str | None, int], weights: Mapping[str | None, float] | None, budget: int, other: float = 0.0) -> dict[str | None, int]:
+    """Tokens by source. weights None: all sources weigh the same; a source that isn't in weights weighs other. A source never gets more than it has."""
+    w = {s: (1.0 if weights is None else float(weights.get(s, other))) for s in tokens}
     out = {s: 0 for s in tokens}
     free = sorted((s for s in tokens if w[s] > 0 and tokens[s] > 0), key=lambda s: (s is not None, s))
     left = budget
@@ -54,7 +64,7 @@ def source_budgets(tokens: Mapping[str | None, int], weights: Mapping[str | None
     return out
 
 
-def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, table: int = TABLE_TOKENS) -> np.ndarray:
+def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length to take, so that their tokens are as near below the budget as the table can."""
     lengths, counts = np.asarray(lengths, np.int64), np.asarray(counts, np.int64)
     total = int((lengths * counts).sum())
@@ -75,25 +85,26 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, table: int
         enough = up[lengths[up] >= over]
         more[enough[np.argmin(lengths[enough])] if len(enough) else up[np.argmax(lengths[up])]] -= 1
     order = rng.permutation(len(lengths))
-    best = _fill(lengths, counts, budget, floor + more, order, table)
-    left = budget - int((lengths * floor).sum())
-    if int((lengths * best).sum()) < budget and left <= table:
-        return _fill(lengths, counts, budget, floor, order, table)
-    return best
+    best = _fill(lengths, counts, budget, floor + more, order)
+    left = budget - int((lengths * best).sum())
+    if left == 0:
+        return best
+    rest, span = budget - int((lengths * (floor + more)).sum()), SPAN * int(lengths.max())
+    for i in order:
+        back = min(int(more[i]), (span - rest) // int(lengths[i]))
+        if back > 0:
+            more[i] -= back
+            rest += back * int(lengths[i])
+    again = _fill(lengths, counts, budget, floor + more, order)
+    return again if budget - int((lengths * again).sum()) < left else best
 
 
-def _fill(lengths: np.ndarray, counts: np.ndarray, budget: int, take: np.ndarray, order: np.ndarray, table: int) -> np.ndarray:
+def _fill(lengths: np.ndarray, counts: np.ndarray, budget: int, take: np.ndarray, order: np.ndarray) -> np.ndarray:
     """take and what the knapsack adds of the lengths in this order."""
     take = take.copy()
     rest = budget - int((lengths * take).sum())
-    for i in order:
-        if rest <= table:
-            break
-        more = min(int(counts[i] - take[i]), max(0, (rest - table) // int(lengths[i]) + 1), rest // int(lengths[i]))
-        take[i] += more
-        rest -= more * int(lengths[i])
     # first[s]: the item by which the sum s was first reached. An item is 2^k documents of one length.
-    first = np.full(rest + 1, -1, np.int64)
+    first = np.full(rest + 1, -1, np.int32)
     reached = np.zeros(rest + 1, bool)
     reached[0] = True
     items: list[tuple[int, int]] = []
@@ -103,13 +114,12 @@ def _fill(lengths: np.ndarray, counts: np.ndarray, budget: int, take: np.ndarray
         while left > 0 and not reached[rest]:
             k_now = min(k, left)
             size = k_now * n
-            if size <= rest:
-                new = np.zeros(rest + 1, bool)
-                new[size:] = reached[: rest + 1 - size]
-                new &= ~reached
-                first[new] = len(items)
-                reached |= new
-                items.append((i, k_now))
+            new = np.zeros(rest + 1, bool)
+            new[size:] = reached[: rest + 1 - size]
+            new &= ~reached
+            first[new] = len(items)
+            reached |= new
+            items.append((i, k_now))
             left -= k_now
             k *= 2
         if reached[rest]:
@@ -122,12 +132,12 @@ def _fill(lengths: np.ndarray, counts: np.ndarray, budget: int, take: np.ndarray
     return take
 
 
-def choose(lengths: DataFrame, weights: Mapping[str | None, float] | None = None, budget_share: float = BUDGET_SHARE, budget: int | None = None) -> DataFrame:
-    """(source, n, take) from a kept table of (doc_id, source, n): one row per source and length of which some go in."""
+def choose(lengths: DataFrame, weights: Mapping[str | None, float] | None = WEIGHTS, budget_share: float = BUDGET_SHARE, budget: int | None = None, other: float = OTHER) -> DataFrame:
+    """(source, n, count, take) from a kept table of (doc_id, source, n): one row per source and length of which some go in."""
     spark = lengths.sparkSession
     histogram = cut(lengths.where("n > 0").groupBy("source", "n").agg(F.count(F.lit(1)).alias("count")))
     tokens = {r["source"]: int(r["t"]) for r in histogram.groupBy("source").agg(F.sum(F.col("n").cast("bigint") * F.col("count")).alias("t")).collect()}
-    shares = source_budgets(tokens, weights, int(sum(tokens.values()) * budget_share) if budget is None else budget)
+    shares = source_budgets(tokens, weights, int(sum(tokens.values()) * budget_share) if budget is None else budget, other)
     budgets = spark.createDataFrame([(s, b) for s, b in shares.items()], "source string, budget bigint")
 
     def fit(p: pd.DataFrame) -> pd.DataFrame:
@@ -135,18 +145,35 @@ def choose(lengths: DataFrame, weights: Mapping[str | None, float] | None = None
         p["take"] = fit_counts(p["n"].to_numpy(), p["count"].to_numpy(), int(p["budget"].iloc[0]))
         return p.loc[p["take"] > 0, ["source", "n", "count", "take"]]
 
-    with_budget = histogram.join(F.broadcast(budgets), histogram["source"].eqNullSafe(budgets["source"])).select(histogram["source"], "n", "count", "budget")
+    small = F.broadcast(budgets) if len(shares) <= BROADCAST_ROWS else budgets
+    with_budget = histogram.join(small, histogram["source"].eqNullSafe(budgets["source"])).select(histogram["source"], "n", "count", "budget")
     return with_budget.groupBy("source").applyInPandas(fit, "source string, n int, count bigint, take bigint")
 
 
-def select_lengths(lengths: DataFrame, seed: int = SEED, **how) -> DataFrame:
-    """The selected rows (doc_id, source, n_tokens, key) of a kept table (doc_id, source, n, key)."""
+def select_lengths(lengths: DataFrame, seed: int = SEED, rank_rows: int = RANK_ROWS, **how) -> DataFrame:
+    """The selected rows (doc_id, source, n_tokens, key) of a kept table (doc_id, source, n, key).
+
+    Of a source and length those with the least hashes go in. Where they are many, the hashes are cut into equal ranges that are
+    counted: those before the border go in whole, and only the range at the border is ranked.
+    """
     take = cut(choose(lengths, **how)).select(F.col("source").alias("_s"), F.col("n").alias("_n"), "count", "take")
-    w = Window.partitionBy("source", "n").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "key")
     joined = lengths.join(take, F.col("source").eqNullSafe(F.col("_s")) & (F.col("n") == F.col("_n")))
-    # Where all documents of a length go in, they needn't be ordered.
-    ranked = joined.where("take < count").withColumn("rank", F.row_number().over(w)).where("rank <= take").drop("rank")
-    return joined.where("take = count").unionByName(ranked).select("doc_id", "source", F.col("n").alias("n_tokens"), "key")
+    h = F.xxhash64(F.lit(seed), "doc_id", "key")
+    part = joined.where("take < count").withColumn("h", h).withColumn("bucket", F.floor((F.shiftright(h, 32).cast("double") + 2147483648.0) / 4294967296.0 * F.ceil(F.col("count") / rank_rows)).cast("int"))
+    many = part.where(F.col("count") > rank_rows)
+    if take.where((F.col("count") > rank_rows) & (F.col("take") < F.col("count"))).isEmpty():
+        placed = part.withColumn("before", F.lit(0).cast("bigint")).withColumn("own", F.col("count"))
+    else:
+        before = F.sum("own").over(Window.partitionBy("_s", "_n").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+        sizes = many.groupBy("_s", "_n", "bucket").agg(F.count(F.lit(1)).alias("own")).withColumn("before", F.coalesce(before, F.lit(0)))
+        sizes = sizes.select(F.col("_s").alias("_s2"), F.col("_n").alias("_n2"), F.col("bucket").alias("_b2"), "own", "before")
+        on = F.col("_s").eqNullSafe(F.col("_s2")) & (F.col("_n") == F.col("_n2")) & (F.col("bucket") == F.col("_b2"))
+        placed = part.join(sizes, on, "left").withColumn("before", F.coalesce("before", F.lit(0))).withColumn("own", F.coalesce("own", "count"))
+    whole = placed.where("before + own <= take")
+    w = Window.partitionBy("source", "n", "bucket").orderBy("h", "doc_id", "key")
+    border = placed.where("before < take and before + own > take").withColumn("rank", F.row_number().over(w)).where("before + rank <= take")
+    columns = ["doc_id", "source", F.col("n").alias("n_tokens"), "key"]
+    return joined.where("take = count").select(columns).unionByName(whole.select(columns)).unionByName(border.select(columns))
 
 
 def measure(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:

@@ -72,6 +72,13 @@ def test_packing_query(spark, sf):
     assert sorted(sum(n for _, _, n in p) for p in packs.values()) == brute(lengths, packing.CAPACITY)
 
 
+def test_ranks_do_not_depend_on_the_ranges(spark):
+    """The same documents share packs however many ranges a frequent length is cut into."""
+    d = spark.range(300).selectExpr("id as doc_id", "repeat('word ', cast(1 + id % 3 as int)) as text")
+    got = [sorted(map(tuple, packing.pack_documents(d.repartition(k), 16, rank_rows=r).collect())) for k, r in ((1, 1_000_000), (4, 7), (2, 50))]
+    assert got[0] == got[1] == got[2]
+
+
 def test_packing_of_nothing(empty):
     assert packing.pack_documents(empty).count() == 0
 
@@ -108,6 +115,14 @@ def test_budgets_by_source():
     assert mixing.source_budgets({"a": 100, None: 100}, {"a": 3, None: 1}, 100) == {"a": 75, None: 25}
     assert mixing.source_budgets({"a": 100}, {"b": 1}, 50) == {"a": 0}
     assert mixing.source_budgets({}, None, 5) == {}
+    assert mixing.source_budgets({"a": 100, "c": 100}, {"b": 1, "a": 3}, 100, 1.0) == {"a": 75, "c": 25}
+
+
+def test_selection_does_not_depend_on_the_ranges(spark):
+    """The least hashes of a frequent length go in, in however many ranges they are ranked."""
+    d = spark.range(500).selectExpr("id as doc_id", "concat('word ', id % 7) as text", "if(id % 3 = 0, 'a', null) as source")
+    got = [sorted(map(str, mixing.mix_ids(d.repartition(k), rank_rows=r).collect())) for k, r in ((1, 1_000_000), (3, 5), (2, 60))]
+    assert got[0] == got[1] == got[2] and got[0]
 
 
 def test_mixing_of_odd_rows(odd):
@@ -134,7 +149,7 @@ def test_mixing_query(spark, sf):
     have = defaultdict(int)
     for i, d in docs.items():
         have[d["source"]] += n[i]
-    budgets = mixing.source_budgets(have, None, int(sum(have.values()) * mixing.BUDGET_SHARE))
+    budgets = mixing.source_budgets(have, mixing.WEIGHTS, int(sum(have.values()) * mixing.BUDGET_SHARE), mixing.OTHER)
     used = defaultdict(int)
     for r in rows:
         assert r["n_tokens"] == n[r["doc_id"]] and r["source"] == docs[r["doc_id"]]["source"]
