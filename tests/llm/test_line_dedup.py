@@ -55,6 +55,21 @@ def test_hot_line_over_batches(spark):
     assert [r["doc_id"] for r in rows] == [0]
 
 
+def test_one_definition_of_blank(spark, tmp_path):
+    """Separators beyond ASCII and lines of odd white space, against the SQL."""
+    texts = ["same\n\u0085", "same\n\u0085", "\u2028\nsame", "a \u0085\na\u0085", "\x0b\nsame \x0b", "\x0b\n\t\r\n\f", "\u00a0same\nsame\u2028", "x\r\nx\n\u2029", ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/d")
+    import glob
+    import os
+
+    os.rename(glob.glob(f"{tmp_path}/d/*.parquet")[0], f"{tmp_path}/documents.parquet")
+    assert_same(queries.QUERIES["op4_line_dedup"](spark, str(tmp_path)), connect(str(tmp_path)), queries.ORACLES["op4_line_dedup"])
+    got = {r["doc_id"]: (r["n_lines"], r["n_kept"]) for r in line_dedup.line_bitmaps(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect()}
+    assert got[0] == (2, 2) and got[1] == (2, 0) and all(k <= n for n, k in got.values())
+    rest = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect()}
+    assert rest[0] == "same\n\u0085" and 1 not in rest
+
+
 def test_nothing(empty):
     assert line_dedup.line_bitmaps(empty).count() == 0
     assert line_dedup.dedup_lines(empty).count() == 0
