@@ -1,7 +1,8 @@
 """Quality rules whose cutoffs carry a guarantee: few good documents are rejected, per language, with high confidence.
 
-Every document gets a few measures of its bytes (RULES). Labelled documents are split by a seeded hash into a half that
-proposes and a holdout that certifies. In the proposing half the cutoff of a rule at level k is the GRID[k] upper quantile
+Every document gets a few measures of its bytes (RULES). Labelled texts, each counted once in its language however many rows
+have it, are split by a seeded hash of the text into a half that proposes and a holdout that certifies: copies are one
+trial of the binomial bound and lie in the same half. In the proposing half the cutoff of a rule at level k is the GRID[k] upper quantile
 of the good documents of the language; a rule takes part in a language from the level on at which most of what it rejects
 there is labelled bad. One level stands for the cutoffs of all rules of its language, and the sets that levels reject grow with the
 level, so the levels are tested in order: for each the exact binomial (Clopper-Pearson) upper bound of the rate at which the
@@ -11,11 +12,12 @@ documents of the proposing half as the last one. With probability 1 - DELTA no l
 documents. A language that nothing certifies keeps all its documents.
 
 The measures are whole numbers (ten-thousandths), so quantiles come from histograms with at most 10,001 bins per rule and
-language, counted over all labelled documents.
+language, counted over all labelled documents; a task sees the histogram of one rule and language. Cutoffs are a table with a
+row per language that is joined to the documents.
 
 Defined results: a null or empty text has all measures 0 and is kept unless a cutoff is below 0, which can't be. A null
-language is a language of its own. Repeated labels count once with the least quality; labels without doc_id or quality are ignored.
-Rows that repeat are judged alike. A language without labels keeps all. An empty table gives no rows. Extra columns are ignored.
+language is a language of its own. Repeated labels, and labels of equal texts, count once with the least quality; labels
+without doc_id or quality are ignored. Rows that repeat are judged alike and count once in the bound. A language without labels keeps all. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,10 +28,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import byte_chunks, cut, text_bytes
+from quarrystone.llm.common import BROADCAST_ROWS, byte_chunks, cut, text_bytes
 
 ALPHA = 0.02
 
@@ -87,7 +89,7 @@ def _repeats(words: list[bytes]) -> float:
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         m = measures(*text_bytes(b.column("text")))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), *(pa.array(m[:, k]) for k in range(len(RULES)))], names=["doc_id", "lang", *RULES])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), b.column("h"), *(pa.array(m[:, k]) for k in range(len(RULES)))], names=["doc_id", "lang", "h", *RULES])
 
 
 def upper_bound(rejected: int, n: int, delta: float) -> float:
@@ -127,8 +129,8 @@ def propose(histogram: pd.DataFrame, grid: tuple[float, ...] = GRID) -> dict[tup
     return out
 
 
-def certify(tallies: pd.DataFrame, alpha: float = ALPHA, delta: float = DELTA, levels: int = len(GRID)) -> dict[str | None, int]:
-    """The level of each language that has a certified one.
+def certify(tallies: pd.DataFrame, alpha: float = ALPHA, delta: float = DELTA, levels: int = len(GRID), languages: int | None = None) -> dict[str | None, int]:
+    """The level of each language that has a certified one. languages: how many share delta; None: those of tallies.
 
     tallies: lang, half (0 proposes, 1 certifies), quality, level (the first that rejects; `levels`: none does), n.
     """
@@ -142,7 +144,7 @@ def certify(tallies: pd.DataFrame, alpha: float = ALPHA, delta: float = DELTA, l
 
         good, n = rejected(1, 1)
         last = -1
-        while last + 1 < levels and upper_bound(good[last + 1], n, delta / len(groups)) <= alpha:
+        while last + 1 < levels and upper_bound(good[last + 1], n, delta / (languages or len(groups))) <= alpha:
             last += 1
         if last >= 0:
             bad, m = rejected(0, 0)
@@ -150,33 +152,50 @@ def certify(tallies: pd.DataFrame, alpha: float = ALPHA, delta: float = DELTA, l
     return out
 
 
-def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> tuple[DataFrame, pd.DataFrame]:
+def _by_language(docs: DataFrame, table: DataFrame) -> DataFrame:
+    """docs with a kept table of one row per language, null matching null."""
+    named = table.withColumnRenamed("lang", "_lang")
+    small = table.count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(named) if small else named, F.col("lang").eqNullSafe(F.col("_lang")), "left").drop("_lang")
+
+
+def _level(levels: int) -> Column:
+    """The first level that rejects a document; levels: none does. What levels reject grows, so it is told by their number."""
+    over = lambda value: lambda c: value > c
+    rejecting = [F.coalesce(F.size(F.filter(F.col("cutoffs")[r], over(F.col(r)))), F.lit(0)) for r in RULES]
+    return F.lit(levels) - F.greatest(*[F.when(n < 0, 0).otherwise(n) for n in rejecting])
+
+
+def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> tuple[DataFrame, DataFrame]:
     """All documents with their measures and keep; and the cutoffs in force (lang, rule, cutoff)."""
-    spark = docs.sparkSession
-    d = docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(lang as string) as lang", "text")
-    schema = "doc_id bigint, lang string, " + ", ".join(f"{r} int" for r in RULES)
+    d = docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(lang as string) as lang", "xxhash64(text) as h", "text")
+    schema = "doc_id bigint, lang string, h bigint, " + ", ".join(f"{r} int" for r in RULES)
     all_ = cut(d.mapInArrow(_measure, schema))
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
-    half = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(2)).cast("int").alias("half")
-    labelled = cut(all_.join(known, "doc_id").select("*", half))
+    half = F.pmod(F.xxhash64("h", F.lit(SEED)), F.lit(2)).cast("int").alias("half")
+    labelled = cut(all_.join(known, "doc_id").groupBy("lang", "h", *RULES).agg(F.min("quality").alias("quality")).select("lang", *RULES, "quality", half))
     long = labelled.where("half = 0").select("lang", "quality", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("value")) for r in RULES])).alias("x"))
-    histogram = long.groupBy("lang", "quality", "x.rule", "x.value").agg(F.count(F.lit(1)).alias("n")).toPandas()
-    cutoffs = propose(histogram)
+    histogram = long.groupBy("lang", "quality", "x.rule", "x.value").agg(F.count(F.lit(1)).alias("n"))
+
+    def cutoffs_of(p: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(lang, rule, c) for (lang, rule), c in propose(p).items()], columns=["lang", "rule", "c"])
+
+    proposed = histogram.groupBy("lang", "rule").applyInPandas(cutoffs_of, "lang string, rule string, c array<int>")
+    cutoffs = cut(proposed.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("rule", "c"))).alias("cutoffs")))  # a row per language, an entry per rule
     levels = len(GRID)
-    first = F.lit(levels)
-    for (lang, rule), c in cutoffs.items():
-        own = F.lit(levels)
-        for k in range(levels - 1, -1, -1):
-            if c[k] is not None:
-                own = F.when(F.col(rule) > c[k], k).otherwise(own)
-        first = F.least(first, F.when(F.col("lang").eqNullSafe(F.lit(lang)), own).otherwise(levels))
-    tallies = labelled.select("lang", "half", "quality", first.alias("level")).groupBy("lang", "half", "quality", "level").agg(F.count(F.lit(1)).alias("n")).toPandas()
-    level = certify(tallies, alpha, delta)
-    force = pd.DataFrame([(lang, rule, c[level[lang]]) for (lang, rule), c in cutoffs.items() if lang in level and c[level[lang]] is not None], columns=["lang", "rule", "cutoff"])
+    tallies = _by_language(labelled, cutoffs).select("lang", "half", "quality", _level(levels).alias("level")).groupBy("lang", "half", "quality", "level").agg(F.count(F.lit(1)).alias("n"))
+    languages = labelled.select("lang").distinct().count()
+
+    def certified(p: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(list(certify(p, alpha, delta, levels, languages).items()), columns=["lang", "level"])
+
+    level = tallies.groupBy("lang").applyInPandas(certified, "lang string, level int")
+    force = cut(_by_language(cut(level), cutoffs).select("lang", F.transform_values("cutoffs", lambda r, c: F.get(c, F.col("level"))).alias("limits")))
     reject = F.lit(False)
-    for x in force.itertuples():
-        reject = reject | (F.col("lang").eqNullSafe(F.lit(x.lang)) & (F.col(x.rule) > int(x.cutoff)))
-    return all_.withColumn("keep", ~reject), force
+    for r in RULES:
+        reject = reject | F.coalesce(F.col(r) > F.col("limits")[r], F.lit(False))
+    judged = _by_language(all_, force).withColumn("keep", ~reject).drop("h", "limits")
+    return judged, force.select("lang", F.explode("limits").alias("rule", "cutoff")).where("cutoff is not null")
 
 
 def keep_by_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
