@@ -1,16 +1,20 @@
 """License scan: an Aho-Corasick automaton finds identifier tags and notice phrases, a shunting-yard parser evaluates.
 
-A tag is "SPDX-License-Identifier:" with the expression that follows on its line. A phrase is a notice in words, matched
-in lower case with white space collapsed, at word boundaries, the longest where phrases overlap. Phrases that only "or"
-or "and/or" separates are joined by OR, all other findings by AND. The expression of ids, AND, OR, WITH and parentheses
-is read into postfix order (WITH binds closest, then AND, then OR) and evaluated: OR may take the freer side, AND must
-obey the stricter one, WITH an exception loosens a copyleft licence by one step.
+A tag is "SPDX-License-Identifier:" with the longest valid expression that follows on its line: what comes after it, comment
+ends, prose, a full stop, isn't read. A phrase is a notice in words, matched in lower case with white space collapsed, at
+word boundaries, the longest where phrases overlap. Phrases that only "or" or "and/or" separates are joined by OR; every
+tag and every such group is a finding. The expression of ids, AND, OR, WITH and parentheses is read into postfix order
+(WITH binds closest, then AND, then OR) and evaluated: OR may take the freer side, AND must obey the stricter one, WITH
+a listed exception (EXCEPTIONS) loosens a copyleft licence by one step; one that isn't listed changes nothing. Findings
+are evaluated one by one, and the document has the strictest of their classes: its expression joins them by AND.
 
 Classes, from free to strict: permissive, weak copyleft, copyleft, noncommercial, proprietary, unknown (an id that isn't
-listed). An expression that doesn't parse has the class invalid.
+listed). A tag without a valid expression is no licence; a document with nothing else has the class invalid, the expression
+NOASSERTION and no ids.
 
 Defined results: only documents with a finding are returned. A null or empty text has none. Rows that repeat are returned
-each. A null doc_id stays null. An empty table gives no rows. Extra columns are ignored. Texts are read whole.
+each. A null doc_id stays null. An empty table gives no rows. Extra columns are ignored. Texts are read whole, in one pass of
+the automaton.
 """
 
 from __future__ import annotations
@@ -54,9 +58,26 @@ PHRASES = {p: re.sub(r"-(\d\.\d) international.*", r"-\1", i) for p, i in PHRASE
 
 TAG = "spdx-license-identifier:"
 
+#: Exceptions that loosen, in lower case as they follow WITH, by their names.
+EXCEPTIONS = {
+    x.lower(): x
+    for x in (
+        "389-exception Autoconf-exception-2.0 Autoconf-exception-3.0 Bison-exception-2.2 Classpath-exception-2.0 cryptsetup-OpenSSL-exception eCos-exception-2.0 Font-exception-2.0 "
+        "freertos-exception-2.0 GCC-exception-2.0 GCC-exception-3.1 GPL-3.0-linking-exception GPL-3.0-linking-source-exception GPL-CC-1.0 LGPL-3.0-linking-exception Libtool-exception "
+        "Linux-syscall-note LLVM-exception mif-exception OCaml-LGPL-linking-exception OpenJDK-assembly-exception-1.0 Qt-GPL-exception-1.0 Qt-LGPL-exception-1.1 Swift-exception "
+        "u-boot-exception-2.0 Universal-FOSS-exception-1.0 WxWindows-exception-3.1"
+    ).split()
+}
+
+#: Exceptions as notices say them, after the licence.
+_SAID = {"classpath": "Classpath-exception-2.0", "gcc runtime library": "GCC-exception-3.1", "linux syscall": "Linux-syscall-note", "autoconf": "Autoconf-exception-3.0", "bison": "Bison-exception-2.2", "font": "Font-exception-2.0", "libtool": "Libtool-exception"}
+
 #: Words between two phrases that make the first an alternative to the second.
 _OR = re.compile(r"[\s,]*(?:and/or|or)(?: under)?(?: the)?(?: terms of)?(?: the)?\s*")
 _LATER = re.compile(r"[\s,;(]{0,3}(?:or \(at your option\) any later version|or any later version|or later|and later)")
+_WITH = re.compile(rf"[\s,;(]{{0,3}}with (?:the )?({'|'.join(_SAID)})(?: linking)? exception")
+_END = re.compile(r"\*/|-->|\*\)|#\}|\n")
+_NAME = re.compile(r"[a-z0-9][a-z0-9.+:-]*")
 _TOKEN = re.compile(r"[()]|[^\s()]+")
 _PRECEDENCE = {"OR": 1, "AND": 2, "WITH": 3}
 
@@ -115,7 +136,8 @@ def evaluate(expression: str) -> tuple[str, list[str]]:
         if t == "WITH":
             if len(left) != 1 or len(right) != 1:
                 return "invalid", []
-            stack.append((a - 1 if CLASSES[a] in ("copyleft", "weak copyleft") else a, left))
+            loosens = right[0].lower() in EXCEPTIONS and CLASSES[a] in ("copyleft", "weak copyleft")
+            stack.append((a - loosens, left))
         else:
             stack.append((min(a, b) if t == "OR" else max(a, b), left + right))
     return CLASSES[stack[0][0]], sorted(set(stack[0][1]))
@@ -127,6 +149,7 @@ def automaton():
     a = ahocorasick.Automaton()
     for p, i in PHRASES.items():
         a.add_word(p, (len(p), i))
+    a.add_word(TAG, (len(TAG), TAG))
     a.make_automaton()
     return a
 
@@ -136,11 +159,11 @@ def _word(c: str) -> bool:
 
 
 def _phrases(a, s: str) -> list[tuple[int, int, str]]:
-    """Start, end and id of the phrases that lie in no longer one, at word boundaries."""
+    """Start, end and id of the tags and phrases that lie in no longer one, at word boundaries."""
     found = []
     for last, (n, i) in a.iter(s):
         start, end = last - n + 1, last + 1
-        if (start == 0 or not _word(s[start - 1])) and (end == len(s) or not _word(s[end])):
+        if (start == 0 or not _word(s[start - 1])) and (i == TAG or end == len(s) or not _word(s[end])):
             found.append((start, end, i))
     found.sort(key=lambda x: (x[0], -x[1]))
     out: list[tuple[int, int, str]] = []
@@ -150,36 +173,90 @@ def _phrases(a, s: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def scan(a, text: str) -> str | None:
-    """The licence expression of a text; None if nothing is found."""
-    low = text.lower()
-    parts = []
-    at = low.find(TAG)
-    while at >= 0:
-        line = low[at + len(TAG) : (low + "\n").index("\n", at)]
-        line = re.sub(r"(\*/|-->|\*\)|#}).*$", "", line).strip()
-        tokens = [t.upper() if t.upper() in _PRECEDENCE else LICENSES.get(t, (t,))[0] for t in _TOKEN.findall(line)]
-        if tokens:
-            parts.append("(" + " ".join(tokens) + ")")
-        at = low.find(TAG, at + len(TAG))
-    s = low.replace("\n", " ").replace("\t", " ").replace("\r", " ")
-    if "  " in s:
-        s = re.sub(r" {2,}", " ", s)
+def longest_expression(line: str) -> str | None:
+    """The longest valid expression with which a line (in lower case) begins; None if there is none.
+
+    An id is listed, or looks like one: it has a hyphen, a digit, a colon or a plus sign. So prose ends the expression.
+    """
+    tokens: list[str] = []
+    valid, depth, operand = 0, 0, True
+    for t in _TOKEN.findall(line):
+        op = t.upper() if t.upper() in _PRECEDENCE else None
+        if t == "(" and operand:
+            depth += 1
+        elif t == ")" and not operand and depth:
+            depth -= 1
+        elif op and not operand and not (op == "WITH" and (tokens[-1] == ")" or tokens[-2:-1] == ["WITH"])):
+            t, operand = op, True
+        elif t not in "()" and operand and not op:
+            bare = t if t in LICENSES else t.rstrip(".,;:!?\"'")
+            if not _NAME.fullmatch(bare):
+                break
+            if tokens and tokens[-1] == "WITH":
+                if bare not in EXCEPTIONS and not bare.endswith("exception") and "exception-" not in bare:
+                    break
+                name = EXCEPTIONS.get(bare, bare)
+            elif bare in LICENSES:
+                name = LICENSES[bare][0]
+            elif any(c in "-:+" or c.isdigit() for c in bare):
+                name = bare
+            else:
+                break
+            tokens.append(name)
+            operand = False
+            if depth == 0:
+                valid = len(tokens)
+            if bare != t:  # what followed the id ends the expression
+                break
+            continue
+        else:
+            break
+        tokens.append(t)
+        if t == ")" and depth == 0:
+            valid = len(tokens)
+    return " ".join(tokens[:valid]) or None
+
+
+def scan(a, text: str) -> tuple[str, list[str], str] | None:
+    """The licence expression of a text, its ids and its class; None if nothing is found."""
+    # Lines stay told apart by their breaks, and in s each break is a blank, so that phrases may go over lines.
+    lines = text.lower().replace("\t", " ").replace("\r", " ")
+    if "  " in lines:
+        lines = re.sub(r" {2,}", " ", lines)
+    if "\n\n" in lines or " \n" in lines or "\n " in lines:
+        lines = re.sub(r" ?\n[ \n]*", "\n", lines)
+    s = lines.replace("\n", " ")
     groups: list[list[str]] = []
-    previous = None
+    previous, over, invalid = None, 0, False
     for start, end, i in _phrases(a, s):
+        if start < over:  # within the expression of a tag
+            continue
+        if i == TAG:
+            stop = _END.search(lines, end)
+            over = stop.start() if stop else len(lines)
+            if expression := longest_expression(lines[end:over]):
+                groups.append([expression])
+            else:
+                invalid, over = True, end
+            previous = None
+            continue
         if i.startswith(("GPL", "LGPL", "AGPL")):
             later = _LATER.match(s, end)
             i, end = (i + "-or-later", later.end()) if later else (i + "-only", end)
+        if "GPL" in i and (said := _WITH.match(s, end)):
+            i, end = f"{i} WITH {_SAID[said[1]]}", said.end()
         if previous is not None and start > previous and _OR.fullmatch(s, previous, start):
             groups[-1].append(i)
         else:
             groups.append([i])
         previous = end
-    for g in groups:
-        ids = list(dict.fromkeys(g))
-        parts.append(ids[0] if len(ids) == 1 else "(" + " OR ".join(ids) + ")")
-    return " AND ".join(dict.fromkeys(parts)) or None
+    findings = list(dict.fromkeys(" OR ".join(dict.fromkeys(g)) for g in groups))
+    if not findings:
+        return ("NOASSERTION", [], "invalid") if invalid else None
+    judged = [evaluate(f) for f in findings]
+    strictest = max(CLASSES.index(kind) for kind, _ in judged)
+    whole = findings[0] if len(findings) == 1 else " AND ".join(f"({f})" if " OR " in f else f for f in findings)
+    return whole, sorted({x for _, ids in judged for x in ids}), CLASSES[strictest]
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,9 +264,8 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
         for doc, t in zip(b.column("doc_id"), b.column("text"), strict=True):
-            if (t := t.as_py()) and (expression := scan(a, t)):
-                kind, ids = evaluate(expression)
-                rows.append((doc.as_py(), expression, ids, kind))
+            if (t := t.as_py()) and (found := scan(a, t)):
+                rows.append((doc.as_py(), *found))
         if rows:
             doc, expression, ids, kind = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(expression, pa.string()), pa.array(ids, pa.list_(pa.string())), pa.array(kind, pa.string())], names=["doc_id", "expression", "licenses", "class"])
