@@ -158,12 +158,13 @@ def links(unique: DataFrame, dim: int, cosine: float = COSINE, fit: int = FIT, t
     mean, p = learn(x)
     tables, reach = layout(x, mean, p, cosine, target)
     keyed = unique.select("x", "v").mapInArrow(_encode(mean, p, tables), "x bigint, code bigint, key bigint, turned int")
-    a = keyed.select("key", "x", F.col("code").alias("cx"), F.col("turned").alias("tx"))
-    b = keyed.select("key", F.col("x").alias("y"), F.col("code").alias("cy"), F.col("turned").alias("ty"))
-    differ = F.col("cx").bitwiseXOR(F.col("cy"))
+    # The same table on both sides: it is shuffled once.
+    a, b = keyed.alias("a"), keyed.alias("b")
+    tx, ty = F.col("a.turned"), F.col("b.turned")
+    differ = F.col("a.code").bitwiseXOR(F.col("b.code"))
     first = F.coalesce(*[F.when(F.bit_count(differ.bitwiseAND(F.lit(_mask(part)))) <= TURNS, t) for t, part in enumerate(tables)])
-    once = (F.col("ty") == 0) | ((F.col("tx") > 0) & (F.col("tx") < F.col("ty")))
-    met = a.join(b, "key").where((F.col("x") < F.col("y")) & once & (F.bit_count(differ) <= reach) & (first == F.shiftright("key", 33))).select("x", "y")
+    once = (ty == 0) | ((tx > 0) & (tx < ty))
+    met = a.join(b, F.col("a.key") == F.col("b.key")).where((F.col("a.x") < F.col("b.x")) & once & (F.bit_count(differ) <= reach) & (first == F.shiftright("a.key", 33))).select(F.col("a.x").alias("x"), F.col("b.x").alias("y"))
     dot = F.aggregate(F.zip_with("vx", "vy", lambda s, t: s * t), F.lit(0.0), lambda s, t: s + t)
     norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, t: s + t * t))
     left = unique.select("x", F.col("v").alias("vx"), norm("v").alias("nx"))
