@@ -1,15 +1,18 @@
 """Deterministic sharded WARC writer.
 
-Records are sorted by (url, page_id) and cut into ranges whose bounds depend on the records alone, never on their layout: a
-sample by hash of the sort key, about SAMPLE keys for each shard, is sorted and cut evenly. Within a range files roll before their compressed
-size would pass FILE_BYTES; each record is a gzip member of its own, so a record can be read at its offset. Headers are
+Records are sorted by (url, page_id) and cut into ranges of about SHARD_BYTES, at most MAX_SHARDS of them, whose bounds depend on the
+records alone, never on their layout: a sample by hash of the sort key, about SAMPLE_KEYS keys (all of a small table), is sorted and cut
+into equal bytes. So what reaches the driver is bounded, and larger tables have longer ranges. Within a range files roll before
+their compressed size would pass FILE_BYTES; each record is a gzip member of its own, so a record can be read at its offset. Headers are
 made anew from the record: the date is a parameter, the record id comes from a hash of url, page_id and payload, the digests are SHA-1 of
 the payload and of the block. The same records give the same bytes in the same files.
 
 Commit: a task writes files under temporary names of its attempt, with a row per record. The rows that Spark accepted are
-written as the manifest; a task that ran twice left files that no row names. Then the files that the manifest names are renamed to
-their final names, by tasks again, a rename whose work is already done being none; then the marker _COMMITTED is written and
-the temporary folder removed. A reader trusts only files named in the manifest of a folder with the marker.
+written as the manifest, still below the temporary folder; a task that ran twice left files that no row names. Then the files that
+this manifest names are renamed to their final names, by tasks again, a rename whose work is already done being none; then the
+manifest gets its final name, the marker _COMMITTED is written and the temporary folder removed. So whatever a crash leaves is
+explained by a manifest in the temporary folder, or not visible at all. A reader trusts only files named in the manifest
+of a folder with the marker. A target that holds anything, but for the temporary folder of an attempt that failed, is refused.
 
 Defined results: a null html is an empty payload, a null url is written as "urn:page:" with the page_id, a null page_id as "null"; nulls
 come first. Line breaks and other control characters in a url are percent-escaped in the header. Rows that repeat are written each, with the same
@@ -39,7 +42,11 @@ FILE_BYTES = 64 << 20
 #: Uncompressed bytes that a range has, about.
 SHARD_BYTES = 64 << 20
 
-SAMPLE = 64
+#: Ranges at most; beyond it they grow, and roll more files.
+MAX_SHARDS = 10_000
+
+#: Sort keys that the driver sorts, about.
+SAMPLE_KEYS = 1 << 18
 
 DATE = "2024-01-01T00:00:00Z"
 
@@ -148,14 +155,21 @@ def _rename(path: str):
     return run
 
 
-def _bounds(pages: DataFrame, shards: int, n: int) -> list[tuple]:
-    """Sort keys that cut the records into ranges, from a sample that the keys' own hashes choose."""
+def _bounds(pages: DataFrame, shards: int, n: int, sample_keys: int = SAMPLE_KEYS) -> list[tuple]:
+    """Sort keys that cut the records into ranges of about equal bytes, from a sample that the keys' own hashes choose."""
     if shards < 2:
         return []
-    every = max(1, n // (SAMPLE * shards))
-    keys = pages.where(F.pmod(F.xxhash64("url", "page_id"), F.lit(every)) == 0).select("url", "page_id").collect()
-    keys = sorted({(r["url"] is not None, r["url"] or "", r["page_id"] is not None, r["page_id"] or 0) for r in keys}, key=lambda k: (k[0], k[1].encode(), k[2], k[3]))
-    return [keys[len(keys) * i // shards] for i in range(1, shards)] if keys else []
+    every = max(1, n // sample_keys)
+    chosen = pages.where(F.pmod(F.xxhash64("url", "page_id"), F.lit(every)) == 0)
+    # Records of one key are one row, however many they are.
+    keys = chosen.groupBy("url", "page_id").agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)) + 400).alias("size")).toArrow()
+    rows = sorted(((u is not None, (u or "").encode(), p is not None, p or 0, n) for u, p, n in zip(*(keys.column(c).to_pylist() for c in ("url", "page_id", "size")), strict=True)))
+    total, at, out = sum(r[4] for r in rows), 0, []
+    for r in rows:
+        if at >= total * (len(out) + 1) / shards and len(out) < shards - 1 and at:
+            out.append((r[0], r[1].decode(), r[2], r[3]))
+        at += r[4]
+    return out
 
 
 def _assign(bounds: list[tuple]):
@@ -174,22 +188,27 @@ def _assign(bounds: list[tuple]):
     return run
 
 
-def write_warc(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES, shard_bytes: int = SHARD_BYTES, date: str = DATE) -> DataFrame:
-    """Writes the pages below path, a new or empty folder, and returns the manifest: one row per record, read from the committed folder."""
+def write_warc(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES, shard_bytes: int = SHARD_BYTES, date: str = DATE, sample_keys: int = SAMPLE_KEYS) -> DataFrame:
+    """Writes the pages below path, a new or empty folder (else FileExistsError), and returns the manifest: one row per record, read from the committed folder."""
     spark = pages.sparkSession
     p = pages.selectExpr("cast(page_id as bigint) as page_id", "cast(url as string) as url", "cast(html as string) as html")
     size = p.agg(F.count(F.lit(1)), F.sum(F.octet_length("html"))).first()
-    shards = max(1, -(-(size[1] or 0) // shard_bytes))
+    shards = min(MAX_SHARDS, max(1, -(-(size[1] or 0) // shard_bytes)))
     files, root = _open(path)
     files.create_dir(root, recursive=True)
-    placed = p.mapInArrow(_assign(_bounds(p, shards, size[0])), "page_id bigint, url string, html string, shard int")
+    for x in files.get_file_info(fs.FileSelector(root)):
+        if x.base_name != "_temporary":
+            raise FileExistsError(f"{path} isn't empty: {x.base_name}")
+    if files.get_file_info(f"{root}/_temporary").type == fs.FileType.Directory:  # of an attempt that failed
+        files.delete_dir(f"{root}/_temporary")
+    placed = p.mapInArrow(_assign(_bounds(p, shards, size[0], sample_keys)), "page_id bigint, url string, html string, shard int")
     parts = max(shards, 1)
     sorted_ = placed.repartitionById(parts, F.col("shard")).sortWithinPartitions("shard", F.col("url").asc_nulls_first(), F.col("page_id").asc_nulls_first(), F.xxhash64("html"), "html")
     rows = cut(sorted_.mapInArrow(_write(path, file_bytes, date), SCHEMA))
-    named = rows.select("attempt", "file").distinct()
-    moved = named.mapInArrow(_rename(path), "file string").count()
-    manifest = rows.drop("attempt")
-    manifest.write.mode("overwrite").parquet(f"{path}/_manifest")
+    rows.write.parquet(f"{path}/_temporary/_manifest")
+    named = spark.read.schema(rows.schema).parquet(f"{path}/_temporary/_manifest")
+    moved = named.select("attempt", "file").distinct().mapInArrow(_rename(path), "file string").count()
+    files.move(f"{root}/_temporary/_manifest", f"{root}/_manifest")
     with files.open_output_stream(f"{root}/_COMMITTED", compression=None) as f:
         f.write(f"{moved} files, {size[0]} records\n".encode())
     if files.get_file_info(f"{root}/_temporary").type == fs.FileType.Directory:
@@ -201,7 +220,7 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     files, root = _open(path)
     if files.get_file_info(f"{root}/_COMMITTED").type != fs.FileType.File:
         raise FileNotFoundError(f"{path} isn't committed")
-    return spark.read.parquet(f"{path}/_manifest")
+    return spark.read.schema(SCHEMA).parquet(f"{path}/_manifest").drop("attempt")
 
 
 def read_records(path: str, file: str) -> list[tuple[dict[str, str], bytes]]:
