@@ -14,7 +14,7 @@ from pyspark.sql.types import IntegerType
 
 from quarrystone.sources.shared import cut, shared_path
 
-__all__ = ["BROADCAST_ROWS", "CHUNK", "TOKENIZER", "bounded_batches", "byte_chunks", "count_tokens", "cut", "n_tokens", "restrict", "shared_path", "table", "text_bytes"]
+__all__ = ["BROADCAST_ROWS", "CHUNK", "TOKENIZER", "bounded_batches", "byte_chunks", "count_tokens", "cut", "kept", "n_tokens", "restrict", "shared_path", "table", "text_bytes"]
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
@@ -28,6 +28,15 @@ BATCH_BYTES = 8 << 20
 CHUNK = 1 << 18
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, written to a table in the shared folder. For loops: its size is that of its files, where a checkpoint
+    carries the estimate of the plan it came from, which joins multiply from round to round."""
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

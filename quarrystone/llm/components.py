@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import cut
+from quarrystone.llm.common import kept
 
 
 def _print(edges: DataFrame) -> tuple[int, int]:
@@ -21,17 +21,17 @@ def components(links: DataFrame) -> DataFrame:
     sent for it is one row from each task, and the join may be split. A link of an id with itself, a repeated link and an
     empty table give nothing of their own.
     """
-    edges = cut(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+    edges = kept(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
     before = _print(edges)
     while True:
         # Large star: neighbours above a node go to its least neighbour. Small star: those below do, and the node too.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
-        large = cut(large)
+        large = kept(large, "edges")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = cut(small)
+        edges = kept(small, "edges")
         after = _print(edges)
         if after == before:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("root"))

@@ -1,11 +1,16 @@
 """Near-duplicate documents: improved consistent weighted sampling over TF-IDF shingles, banded, verified.
 
 Shingles are runs of SHINGLE words (a shorter text is one shingle), hashed to 64 bits; words are runs of ASCII letters, digits
-and bytes beyond ASCII, ASCII letters in lower case. Their document
-frequencies are counted over all documents in a count-min sketch of fixed size (ROWS rows of WIDTH counters), so what a
-worker holds doesn't grow with the corpus: frequent shingles have their frequency, rare ones at most the sketch's noise.
-The weight of a shingle is (1 + ln tf) * (1 + ln(N / df) / ln N), between once and twice its damped count: shingles that
-are everywhere count half, and a group of a thousand copies is still alike among themselves.
+and bytes beyond ASCII, ASCII letters in lower case. The weight of a shingle is (1 + ln tf) * (1 + idf), where idf = ln(N / df) /
+ln(1 / rare), at most 1: shingles that are everywhere count half of those in fewer than one in 1 / rare documents, which
+count alike. So a weight depends on the share of documents that have the shingle, not on how many documents there are,
+and a group of a thousand copies is still alike among themselves. rare is RARE, or more where documents are so long that
+more than HEAVY_ROWS shingles could be that frequent.
+
+Document frequencies are exact. A count-min sketch over all documents (ROWS rows of WIDTH counters, whatever the corpus is)
+never underestimates, so it tells which shingles may occur in a share rare of the documents; these are counted exactly in a second pass,
+and those that do are the only ones whose frequency matters: at most HEAVY_ROWS, by the definition of rare. Sketch noise costs
+rows in that count, never a wrong weight.
 
 Improved consistent weighted sampling (Ioffe) draws HASHES samples of each document: for every shingle and hash r, c ~
 Gamma(2, 1) and beta ~ U(0, 1) from seeded tables that three parts of the shingle's hash index, t = floor(ln w / r +
@@ -13,13 +18,15 @@ beta), and the shingle with the least ln c - r (t - beta + 1) is the sample (wit
 the probability of their weighted Jaccard similarity.
 
 1. Rows of equal text are one document: the one with the least doc_id stands for them.
-2. BANDS bands of HASHES / BANDS samples; within a bucket, members are linked by a breadth-first search over the estimate from
-   four bits of each sample: a pivot claims what is alike, near-certain ones leave the search, others stay open to later
-   pivots. Pivots come in the order of their agreement with the bucket's most frequent samples, so that the original of a
-   group comes first and a bucket of n copies gives about n links, not n^2. Nothing is capped: a bucket of unlike documents
-   is searched through all its pairs.
+2. BANDS bands of HASHES / BANDS samples. Buckets are counted; only members of buckets with several get the four bits of
+   each sample that tell an estimate. Within a bucket members are linked by a breadth-first search over the estimate:
+   a pivot claims what is alike, near-certain ones leave the search, others stay open to later pivots. Pivots come in the
+   order of their agreement with the bucket's most frequent samples, so that the original of a group comes first and a
+   bucket of n copies gives about n links, not n^2. Nothing is capped: a bucket of unlike documents is searched through all
+   its pairs. A bucket of more than PIECE members is searched in pieces, by other tasks; then the leaders of what the pieces
+   found are searched; what isn't connected with the largest of these groups meets every piece again (`_hot_links`).
 3. A link counts if the weighted Jaccard similarity of the two whole texts reaches THRESHOLD. The pivot's text meets
-   those of its partners in one sorted stream.
+   those of its partners in sorted streams of about PARTNERS partners.
 4. Groups are the connected components of the links that count (alternating large and small stars, cut by checkpoints).
 
 Defined results: a null text, and a text without words, is no document's duplicate. Rows that repeat, or that share a doc_id
@@ -29,14 +36,16 @@ in its group. An empty table gives no rows. Extra columns are ignored, and kept
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import byte_chunks, cut, restrict, text_bytes
+from quarrystone.llm.common import byte_chunks, cut, kept, restrict, text_bytes
+from quarrystone.llm.components import components
 
 SHINGLE = 3
 
@@ -48,7 +57,19 @@ THRESHOLD = 0.55
 
 SEED = 5
 
-ROWS, WIDTH = 2, 1 << 20
+#: Share of the documents below which shingles count alike.
+RARE = 1e-3
+
+#: Shingles at most whose frequency is told to the workers.
+HEAVY_ROWS = 4_000_000
+
+ROWS, WIDTH = 2, 1 << 21
+
+#: Members of a bucket that one task searches at once.
+PIECE = 100_000
+
+#: Partners of a pivot in one stream.
+PARTNERS = 512
 
 #: Counters in a row of the sketch's exchange.
 BLOCK = 1 << 13
@@ -181,22 +202,67 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([x.tobytes() if block < 0 else _narrow(x)], pa.binary())], names=["block", "counts"])
 
 
-def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """The sketch over all documents and their number."""
+def sketch(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """The sketch over all documents and the number of those with words."""
     parts = docs.select("text").mapInArrow(_sketch, "block int, counts binary")
     rows = parts.repartition(F.col("block")).mapInArrow(_add, "block int, counts binary").toArrow()
-    sketch, n = np.zeros(ROWS * WIDTH, np.uint32), 0
+    out, n = np.zeros(ROWS * WIDTH, np.uint32), 0
     for block, c in zip(rows.column("block").to_pylist(), rows.column("counts").to_pylist(), strict=True):
         if block < 0:
             n = int(np.frombuffer(c, np.int64)[0])
         else:
-            sketch[block * BLOCK : (block + 1) * BLOCK] = np.minimum(_wide(c), 0xFFFFFFFF)
-    return sketch.reshape(ROWS, WIDTH), n
+            out[block * BLOCK : (block + 1) * BLOCK] = np.minimum(_wide(c), 0xFFFFFFFF)
+    return out.reshape(ROWS, WIDTH), n
+
 
+def _heavy(shared):
+    """Counts of a task's documents by shingle, of shingles that the sketch lets be frequent."""
 
-def weights(h: np.ndarray, tf: np.ndarray, sketch: np.ndarray, n: int) -> np.ndarray:
-    df = np.minimum.reduce([sketch[i][s] for i, s in enumerate(_slots(h))]).clip(1, max(n, 1))
-    return (1 + np.log(tf)) * (1 + np.log(n / df) / max(np.log(n), 1e-9) if n > 1 else 1.0)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = shared.value
+        pending: list[np.ndarray] = []
+        size = 0
+
+        def counted() -> pa.RecordBatch:
+            h, c = np.unique(np.concatenate(pending), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], names=["h", "c"])
+
+        for b in batches:
+            for h, _ in shingles(b.column("text")):
+                if len(h):
+                    maybe = np.logical_and.reduce([marks[i][s] for i, s in enumerate(_slots(h))])
+                    pending.append(h[maybe])
+                    size += len(pending[-1])
+            if size > 1 << 20:
+                yield counted()
+                pending, size = [], 0
+        if size:
+            yield counted()
+
+    return run
+
+
+def frequencies(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The frequent shingles, sorted, and 1 + idf of each; what isn't among them has 2."""
+    counts, n = sketch(docs)
+    occurrences = int(counts[0].sum(dtype=np.int64))
+    rare = min(1.0, max(RARE, occurrences / max(n, 1) / HEAVY_ROWS))
+    least = max(1, int(np.ceil(rare * n)))
+    shared = docs.sparkSession.sparkContext.broadcast(counts >= min(least, 0xFFFFFFFF))  # ROWS * WIDTH booleans
+    found = docs.select("text").mapInArrow(_heavy(shared), "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= least).toArrow()
+    h = found.column("h").to_numpy().view(np.uint64)
+    order = np.argsort(h)
+    idf = np.log(n / found.column("c").to_numpy()[order]) / np.log(1 / rare) if rare < 1 else np.zeros(len(h))
+    return h[order], 1 + np.minimum(idf, 1.0)
+
+
+def weights(h: np.ndarray, tf: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    w = 1 + np.log(tf)
+    hashes, idf = frequent
+    if not len(hashes):
+        return 2 * w
+    at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+    return w * np.where(hashes[at] == h, idf[at], 2.0)
 
 
 class Sampler:
@@ -246,7 +312,7 @@ def _signatures(shared, bands: int):
     """Of each document one row per band: the band with its hash, and four bits of every sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, n = shared.value
+        frequent = shared.value
         if HASHES not in _samplers:
             _samplers[HASHES] = Sampler()
         sampler = _samplers[HASHES]
@@ -254,7 +320,7 @@ def _signatures(shared, bands: int):
             ids, hashes, halves = [], [], []
             for id_, (h, tf) in zip(b.column("id").to_pylist(), shingles(b.column("text")), strict=True):
                 if len(h):
-                    s = sampler.sample(h, weights(h, tf, sketch, n))
+                    s = sampler.sample(h, weights(h, tf, frequent))
                     ids.append(id_)
                     hashes.append(s)
                     half = s.astype(np.uint8) & 15
@@ -303,34 +369,130 @@ def link(ids: np.ndarray, s: np.ndarray, threshold: float = THRESHOLD, margin: f
     return out
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of the buckets in a stream that is sorted by band; a bucket may go over batches."""
-    band, ids, s = None, [], []
+def leaders(ids: np.ndarray, links: list[tuple[int, int]]) -> dict[int, int]:
+    """Of each member the leader of those that are connected with it: the first pivot that reached them, or itself."""
+    root = {int(i): int(i) for i in ids}
 
-    def done() -> list[tuple[int, int]]:
-        if sum(map(len, ids)) < 2:
-            return []
-        packed = np.concatenate(s)
-        return link(np.concatenate(ids), np.stack([packed >> 4, packed & 15], axis=2).reshape(len(packed), -1))
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
 
-    for b in batches:
-        if not b.num_rows:
-            continue
-        keys = b.column("band").to_numpy(zero_copy_only=False)
-        own = b.column("id").to_numpy(zero_copy_only=False)
-        packed = np.frombuffer(b"".join(b.column("halves").to_pylist()), np.uint8).reshape(len(own), -1)
-        edges = np.r_[0, np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys)]
-        out = []
-        for i, j in zip(edges, edges[1:], strict=False):
-            if keys[i] != band:
-                out += done()
-                band, ids, s = keys[i], [], []
-            ids.append(own[i:j])
-            s.append(packed[i:j])
-        if out:
-            yield _pairs(out)
-    if out := done():
-        yield _pairs(out)
+    for u, v in links:
+        u, v = find(u), find(v)
+        if u != v:
+            root[v] = u
+    return {i: find(i) for i in root}
+
+
+def _buckets(tell: bool):
+    """Links of the buckets in a stream that is sorted by band and piece; a bucket may go over batches.
+
+    tell: rows (u, v) are followed by the members of every bucket with their leaders, as (member, leader) with the band.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, s = None, [], []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if not ids:
+                return
+            own, packed = np.concatenate(ids), np.concatenate(s)
+            out = link(own, np.stack([packed >> 4, packed & 15], axis=2).reshape(len(packed), -1)) if len(own) > 1 else []
+            if out:
+                u, v = np.array(out, np.int64).T
+                yield _rows(u, v, np.full(len(u), np.nan))
+            if tell:
+                led = leaders(own, out)
+                yield _rows(np.array(list(led), np.int64), np.array(list(led.values()), np.int64), np.full(len(led), key[0], np.int64))
+
+        def _rows(u: np.ndarray, v: np.ndarray, band: np.ndarray) -> pa.RecordBatch:
+            bands = pa.nulls(len(u), pa.int64()) if band.dtype.kind == "f" else pa.array(band)
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), bands], names=["u", "v", "band"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            bands, pieces = (b.column(c).to_numpy(zero_copy_only=False) for c in ("band", "piece"))
+            own = b.column("id").to_numpy(zero_copy_only=False)
+            packed = np.frombuffer(b"".join(b.column("halves").to_pylist()), np.uint8).reshape(len(own), -1)
+            edges = np.r_[0, np.flatnonzero((bands[1:] != bands[:-1]) | (pieces[1:] != pieces[:-1])) + 1, len(bands)]
+            for i, j in zip(edges, edges[1:], strict=False):
+                if (bands[i], pieces[i]) != key:
+                    yield from done()
+                    key, ids, s = (bands[i], pieces[i]), [], []
+                ids.append(own[i:j])
+                s.append(packed[i:j])
+        yield from done()
+
+    return run
+
+
+_LINKS = "u bigint, v bigint, band bigint"
+
+
+def _search(members: DataFrame, signed: DataFrame, tell: bool, partitions: int) -> DataFrame:
+    """Links (u, v, band) of members (band, piece, id), with the samples of a kept table (id, halves)."""
+    rows = members.join(signed.select("id", "halves"), "id")
+    sorted_ = rows.repartition(partitions, "band", "piece").sortWithinPartitions("band", "piece", "id")
+    return sorted_.select("band", "piece", "id", "halves").mapInArrow(_buckets(tell), _LINKS)
+
+
+def _hot_links(hot: DataFrame, signed: DataFrame, piece_rows: int, partitions: int) -> DataFrame:
+    """Links (u, v) of the members (band, id, n) of buckets with n > piece_rows members each.
+
+    Pieces are searched by themselves; what each piece connects has a leader. The leaders of a band are searched, in pieces as long as they
+    are many. Members of the largest group of a band are connected with each other; every other member meets every piece,
+    so that no pair of the bucket is left out. Where a bucket is one group of copies, nothing is left to meet.
+    """
+    pieces = F.ceil(F.col("n") / piece_rows).cast("int")
+    members = cut(hot.select("band", "id", "n", F.pmod(F.xxhash64("id"), pieces).cast("int").alias("piece")))
+    found = cut(_search(members.select("band", "piece", "id"), signed, True, partitions))
+    out = found.where("band is null").select("u", "v")
+    led = cut(found.where("band is not null").select("band", F.col("u").alias("id"), F.col("v").alias("leader")))
+    before = None
+    for k in itertools.count():
+        tops = kept(led.select("band", F.col("leader").alias("id")).distinct(), "leaders")
+        sizes = tops.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        several = kept(tops.join(sizes, "band").select("band", "id", F.pmod(F.xxhash64("id", F.lit(k)), F.ceil(F.col("n") / piece_rows)).cast("int").alias("piece"), "n"), "leaders")
+        many = several.where(F.col("n") > piece_rows).count()
+        if several.isEmpty() or before is not None and many > before / 2:  # leaders of unlike groups don't get fewer
+            break
+        found = kept(_search(several.select("band", "piece", "id"), signed, True, partitions), "links")
+        out = out.unionByName(found.where("band is null").select("u", "v"))
+        up = found.where("band is not null").select("band", F.col("u").alias("leader"), F.col("v").alias("top"))
+        led = kept(led.join(up, ["band", "leader"], "left").select("band", "id", F.coalesce("top", "leader").alias("leader")), "leaders")
+        if not many:
+            break
+        before = many
+    groups = cut(led.groupBy("band", "leader").agg(F.count(F.lit(1)).alias("k")))
+    largest = groups.groupBy("band").agg(F.max(F.struct("k", "leader")).alias("m")).select("band", F.col("m.leader").alias("leader"))
+    rest = cut(led.join(largest, ["band", "leader"], "left_anti").select("band", "id"))
+    left = rest.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / piece_rows).cast("int").alias("parts"))
+    if rest.isEmpty():
+        return out
+    # Cells: a part of the rest with a piece of all.
+    part = F.pmod(F.xxhash64("id", F.lit(5)), F.col("parts")).cast("int")
+    counts = members.groupBy("band").agg(F.max("n").alias("n")).select("band", pieces.alias("pieces"))
+    cell = F.xxhash64("part", "piece")
+    a = rest.join(left, "band").join(counts, "band").select("band", "id", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
+    b = members.join(left, "band").select("band", "id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "piece")
+    cells = a.unionByName(b).distinct().select("band", cell.alias("piece"), "id")
+    return out.unionByName(_search(cells, signed, False, partitions).select("u", "v"))
+
+
+def candidate_links(signed: DataFrame, partitions: int, piece_rows: int = PIECE) -> DataFrame:
+    """Links (u, v) to verify of a kept table (id, bands, halves)."""
+    banded = signed.select("id", F.explode("bands").alias("band"))
+    sizes = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = cut(banded.join(sizes, "band"))
+    usual = members.where(F.col("n") <= piece_rows).select("band", F.lit(0).alias("piece"), "id")
+    links = _search(usual, signed, False, partitions).select("u", "v")
+    hot = members.where(F.col("n") > piece_rows)
+    if not hot.isEmpty():
+        links = links.unionByName(_hot_links(hot, signed, piece_rows, partitions))
+    return links.where("u <> v").distinct()
 
 
 def _pairs(x: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -347,18 +509,18 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def _verify(shared, threshold: float):
-    """Links that hold, from a stream sorted by pivot in which the pivot's own text comes first."""
+    """Links that hold, from a stream sorted by pivot and chunk in which the pivot's own text comes first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, n = shared.value
+        frequent = shared.value
         pivot, own = None, None
         for b in batches:
             out = []
-            for u, v, (h, tf) in zip(b.column("u").to_pylist(), b.column("v").to_pylist(), shingles(b.column("text")), strict=True):
-                x = h, weights(h, tf, sketch, n)
+            for u, chunk, v, (h, tf) in zip(b.column("u").to_pylist(), b.column("chunk").to_pylist(), b.column("v").to_pylist(), shingles(b.column("text")), strict=True):
+                x = h, weights(h, tf, frequent)
                 if v is None:
-                    pivot, own = u, x
-                elif u == pivot and similarity(own, x) >= threshold:
+                    pivot, own = (u, chunk), x
+                elif (u, chunk) == pivot and similarity(own, x) >= threshold:
                     out.append((u, v))
             if out:
                 yield _pairs(out)
@@ -366,67 +528,46 @@ def _verify(shared, threshold: float):
     return run
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(id, root): the least id that is connected with each id. Alternating large and small stars."""
-    edges = cut(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
-    while True:
-        # Large star: neighbours above a node go to its least neighbour. Small star: those below do, and the node too.
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        w = Window.partitionBy("u")
-        large = both.withColumn("m", F.least(F.min("v").over(w), F.col("u"))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        m = large.withColumn("m", F.min("v").over(w))
-        small = m.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(m.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        after = cut(small)
-        same = after.join(edges, ["u", "v"], "left_anti").isEmpty() and edges.join(after, ["u", "v"], "left_anti").isEmpty()
-        edges = after
-        if same:
-            break
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
-
-
 def _id() -> Column:
     """A number for each row's doc_id and text."""
     return F.xxhash64(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)), F.col("doc_id").isNull(), "text")
 
 
-def groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """A kept row (doc_id, id, group, first) for each document that has a near-duplicate.
+def groups(docs: DataFrame, threshold: float = THRESHOLD, piece_rows: int = PIECE, partners: int = PARTNERS) -> DataFrame:
+    """A kept row (doc_id, id, g, group, first) for each document that has a near-duplicate.
 
-    id: of doc_id and text. group: the least doc_id of the group (nulls come first). first: this document stays.
+    id: a hash of doc_id and text, g: another of the text. group: the least doc_id of the group (nulls come first). first: this
+    document stays, and so do its repetitions.
     """
     spark = docs.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text"), _id().alias("id"))
-    # 1. Equal texts, by 128 bits of hashes; only ids and hashes move.
+    # 1. Equal texts, by 128 bits of hashes; only ids and hashes move, and of a group of copies one row from each task.
     hashed = cut(d.where(F.col("text").rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]")).select("doc_id", "id", F.xxhash64("text").alias("h"), F.xxhash64("text", F.lit(7)).alias("g")))
-    w = Window.partitionBy("h", "g")
-    equal = cut(hashed.withColumn("n", F.count(F.lit(1)).over(w)).where("n > 1").withColumn("rep", F.first("id").over(w.orderBy("doc_id", "id"))).select("doc_id", "id", "rep"))
+    sets = hashed.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "id")).alias("m")).where("n > 1")
+    equal = cut(hashed.join(sets.select("h", "g", F.col("m.id").alias("rep")), ["h", "g"]).select("doc_id", "id", "rep"))
     copies = cut(equal.where("id <> rep").select("id").distinct())
     unique = restrict(d.select("id", "text").where("text is not null"), copies, ["id"], "left_anti")
     # 2. Frequencies over all documents, then samples of one document for each text.
-    shared = spark.sparkContext.broadcast(frequencies(docs))  # ROWS * WIDTH numbers whatever the corpus is
-    signed = unique.mapInArrow(_signatures(shared, BANDS), "id bigint, bands array<bigint>, halves binary")
-    banded = signed.select("id", "halves", F.explode("bands").alias("band"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = banded.repartition(n, "band").sortWithinPartitions("band", "id")
-    links = cut(sorted_.select("band", "id", "halves").mapInArrow(_links, "u bigint, v bigint").where("u <> v").distinct())
+    shared = spark.sparkContext.broadcast(frequencies(docs))  # HEAVY_ROWS rows at most
+    signed = cut(unique.mapInArrow(_signatures(shared, BANDS), "id bigint, bands array<bigint>, halves binary").dropDuplicates(["id"]))
+    links = cut(candidate_links(signed, n, piece_rows))
     # A pair may have come up from both sides: the pivot is the one that has more partners.
     degree = links.groupBy("u").agg(F.count(F.lit(1)).alias("k"))
-    sided = links.join(degree, "u").groupBy(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).agg(F.max(F.struct("k", "u", "v")).alias("x")).select("x.u", "x.v")
-    sided = cut(sided)
-    # 3. Texts of the linked documents only: one for each partner, one for each pivot.
-    wanted = sided.select("u", "v").unionByName(sided.select("u", F.lit(None).cast("bigint").alias("v")).distinct()).withColumn("id", F.coalesce("v", "u"))
-    wanted = cut(wanted)
+    sided = cut(links.join(degree, "u").groupBy(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).agg(F.max(F.struct("k", "u", "v")).alias("x")).select("x.k", "x.u", "x.v"))
+    # 3. Texts of the linked documents only: one for each partner, one for each chunk of a pivot's partners.
+    chunked = sided.select("u", F.pmod(F.xxhash64("v"), F.ceil(F.col("k") / partners)).cast("int").alias("chunk"), "v")
+    wanted = cut(chunked.unionByName(chunked.select("u", "chunk", F.lit(None).cast("bigint").alias("v")).distinct()).withColumn("id", F.coalesce("v", "u")))
     texts = restrict(unique, cut(wanted.select("id").distinct()), ["id"]).dropDuplicates(["id"])
-    stream = wanted.join(texts, "id").select("u", "v", "text").repartition(n, "u").sortWithinPartitions("u", F.col("v").asc_nulls_first())
+    stream = wanted.join(texts, "id").select("u", "chunk", "v", "text").repartition(n, "u", "chunk").sortWithinPartitions("u", "chunk", F.col("v").asc_nulls_first())
     held = stream.mapInArrow(_verify(shared, threshold), "u bigint, v bigint")
     # 4. Components over near and equal ones.
     root = components(held.unionByName(equal.select(F.col("id").alias("u"), F.col("rep").alias("v"))))
     member = root.unionByName(root.select(F.col("root").alias("id"), "root").distinct())
-    ids = hashed.select("doc_id", "id")
     alone = equal.select(F.col("rep").alias("id"), F.col("rep").alias("root")).distinct().join(member, "id", "left_anti")  # whole rows that repeat
-    rows = ids.join(member.unionByName(alone), "id")
-    g = Window.partitionBy("root")
-    return cut(rows.withColumn("group", F.first("doc_id").over(g.orderBy("doc_id", "id"))).withColumn("rank", F.row_number().over(g.orderBy("doc_id", "id"))).select("doc_id", "id", "group", (F.col("rank") == 1).alias("first")))
+    rows = cut(hashed.select("doc_id", "id", "g").join(member.unionByName(alone), "id"))
+    least = rows.groupBy("root").agg(F.min(F.struct("doc_id", "id")).alias("m"))
+    return cut(rows.join(least, "root").select("doc_id", "id", "g", F.col("m.doc_id").alias("group"), (F.col("id") == F.col("m.id")).alias("first")))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -437,15 +578,15 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One document of each group, and all that have no near-duplicate, with all columns.
 
-    Of rows that are alike in doc_id and text one stays.
+    Of rows that are alike in doc_id and text one stays. What goes is told by two hashes, of 128 bits together.
     """
     g = groups(docs, threshold)
-    stays = F.max("first")
-    gone = cut(g.groupBy("id").agg(stays.alias("stays"), F.count(F.lit(1)).alias("k")).where("not stays or k > 1"))
-    never = cut(gone.where("not stays").select(F.col("id").alias("_id")))
-    rest = restrict(docs.select(F.struct("*").alias("_row"), _id().alias("_id")), never, ["_id"], "left_anti")
-    repeated = cut(gone.where("stays and k > 1").select(F.col("id").alias("_id")))
+    gone = cut(g.groupBy("id", "g").agg(F.max("first").alias("stays"), F.count(F.lit(1)).alias("k")).where("not stays or k > 1"))
+    keys = F.col("id").alias("_id"), F.col("g").alias("_g")
+    never = cut(gone.where("not stays").select(*keys))
+    rest = restrict(docs.select(F.struct("*").alias("_row"), _id().alias("_id"), F.xxhash64("text", F.lit(7)).alias("_g")), never, ["_id", "_g"], "left_anti")
+    repeated = cut(gone.where("stays and k > 1").select(*keys))
     if repeated.isEmpty():
         return rest.select("_row.*")
-    once = restrict(rest, repeated, ["_id"]).dropDuplicates(["_id"])
-    return restrict(rest, repeated, ["_id"], "left_anti").unionByName(once).select("_row.*")
+    once = restrict(rest, repeated, ["_id", "_g"]).dropDuplicates(["_id", "_g"])
+    return restrict(rest, repeated, ["_id", "_g"], "left_anti").unionByName(once).select("_row.*")

@@ -26,17 +26,34 @@ def groups_of(pairs):
     return {x: find(x) for x in list(root)}
 
 
+def shingle_sets(texts):
+    """Counts of runs of words, from strings; a shorter text is one run."""
+    out = []
+    for t in texts:
+        w = re.findall(rb"[0-9a-z\x80-\xff]+", (t or "").encode().lower())
+        n = min(M.SHINGLE, len(w))
+        out.append(Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if w else Counter())
+    return out
+
+
 def brute(df):
-    sketch, n = M.frequencies(df)
+    """Pairs over the threshold, with exact document frequencies, without a hash or a sketch."""
     rows = df.collect()
-    sets = [(h, M.weights(h, tf, sketch, n)) for h, tf in M.shingles(pa.array([r["text"] for r in rows], pa.string()))]
-    pairs, where = [], {}
-    for i, (h, _) in enumerate(sets):
-        for x in h.tolist():
+    sets = shingle_sets([r["text"] for r in rows])
+    n = sum(bool(s) for s in sets)
+    df_ = Counter(x for s in sets for x in s)
+    rare = min(1.0, max(M.RARE, sum(map(len, sets)) / max(n, 1) / M.HEAVY_ROWS))
+    weighed = [{x: (1 + np.log(k)) * (1 + min(1.0, np.log(n / df_[x]) / np.log(1 / rare))) for x, k in s.items()} for s in sets]
+    total = [sum(w.values()) for w in weighed]
+    where = {}
+    for i, s in enumerate(sets):
+        for x in s:
             where.setdefault(x, []).append(i)
     near = Counter((a, b) for ids in where.values() for k, a in enumerate(ids) for b in ids[k + 1 :])
+    pairs = []
     for a, b in near:
-        if (j := M.similarity(sets[a], sets[b])) >= M.THRESHOLD:
+        both = sum(min(w, weighed[b][x]) for x, w in weighed[a].items() if x in weighed[b])
+        if (j := both / (total[a] + total[b] - both)) >= M.THRESHOLD:
             pairs.append((rows[a]["doc_id"], rows[b]["doc_id"], j))
     return pairs
 
@@ -102,6 +119,63 @@ def test_large_group_of_near_copies(spark):
     assert 0 in kept and len(kept & set(range(700))) <= 7 and set(range(1000, 1200)) <= kept
 
 
+def test_frequencies_are_exact(spark):
+    """Every shingle in a share RARE of the documents is known with its frequency, and no other; noise of the sketch doesn't show."""
+    rng = np.random.default_rng(9)
+    texts = [" ".join(["common start here"] * (i % 2) + ["less common words"] * (i % 500 == 0) + [f"u{x}" for x in rng.integers(0, 10**9, 40)]) for i in range(3000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    hashes, idf = M.frequencies(df)
+    sets = [h.tolist() for h, _ in M.shingles(pa.array(texts))]
+    count = Counter(x for s in sets for x in s)
+    want = {h: 1 + min(1.0, np.log(3000 / c) / np.log(1 / M.RARE)) for h, c in count.items() if c >= 3}
+    assert dict(zip(hashes.tolist(), idf.tolist(), strict=True)) == pytest.approx(want)
+    assert len(want) == 2
+    w = M.weights(np.array(sorted(count), np.uint64), np.ones(len(count)), (hashes, idf))
+    assert w.max() == 2 and w.min() == pytest.approx(1 + np.log(2) / np.log(1 / M.RARE), abs=1e-3)
+
+
+def test_weights_do_not_depend_on_the_number_of_documents(spark):
+    """A shingle that half of the documents have weighs the same among a thousand and among eight thousand."""
+    got = []
+    for n in (1000, 8000):
+        df = spark.range(n).selectExpr("id as doc_id", "concat(if(id % 2 = 0, 'shared three words ', ''), 'a', id, ' b', id, ' c', id) as text")
+        got.append(M.weights(next(M.shingles(pa.array(["shared three words"])))[0], np.ones(1), M.frequencies(df))[0])
+    assert got[0] == got[1]
+
+
+def test_buckets_in_pieces_connect_the_same(spark):
+    """A hot bucket of one group, and one of several groups and of loners, searched in pieces of a few members."""
+    rng = np.random.default_rng(10)
+    base = rng.integers(0, 16, (4, 96)).astype(np.uint8)
+    rows = []
+    for i in range(260):
+        if i < 120:
+            s = base[0].copy()
+        elif i < 200:
+            s = base[1 + i % 3].copy()
+        else:
+            s = rng.integers(0, 16, 96).astype(np.uint8)
+        edit = rng.integers(0, 96, 9)
+        s[edit] = rng.integers(0, 16, 9)
+        rows.append((i * 7 - 300, [1] if i < 100 else [2, 1000 + i], bytes(s[0::2] << 4 | s[1::2])))
+    signed = spark.createDataFrame(rows, "id long, bands array<long>, halves binary").repartition(3)
+    whole = groups_of((r["u"], r["v"]) for r in M.candidate_links(signed, 4).collect())
+    for piece in (7, 40):
+        links = [(r["u"], r["v"]) for r in M.candidate_links(signed, 4, piece).collect()]
+        assert groups_of(links) == whole
+    assert len(links) < 120 * 119 / 2
+
+
+def test_chunks_of_a_pivots_partners(spark):
+    """As many streams as its partners need, and the same groups."""
+    rng = np.random.default_rng(11)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 200)]
+    rows = [(i, " ".join(f"e{i}x{k}" if rng.random() < 0.03 else w for k, w in enumerate(base))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [sorted((r["doc_id"], r["group"]) for r in M.groups(df, piece_rows=p, partners=k).collect()) for p, k in ((100_000, 512), (11, 4))]
+    assert got[0] == got[1] and len(got[0]) == 60
+
+
 def test_links_of_a_bucket():
     rng = np.random.default_rng(5)
     a, b = rng.integers(0, 16, (2, 96)).astype(np.uint8)
