@@ -1,24 +1,34 @@
-"""Quality classifier: an interpolated modified Kneser-Ney model over byte 5-grams of trusted text.
-
-Trusted are the documents that `labels` marks with quality 1. Their 5-grams (each byte with the four before it; a text
-begins after four bytes 0xFF, which UTF-8 never has) are counted in all of their text: numpy counts within a task, Spark
-adds up. Lower orders have continuation counts, each order three discounts from its counts of counts, and every
-probability comes from joins of the count tables on context and suffix. The number of distinct byte 5-grams saturates,
-so the finished tables are small beside the corpus; they are cut into shards of at most SHARD_ROWS rows by the two bytes
-before the predicted one, so that all a prediction needs lies in one shard. Each shard is broadcast in turn and joined
-with the n-grams of every document; the partial sums of a document are added. With one shard nothing of it shuffles.
-
-A document is rejected if its perplexity is above its language's limit even after allowing for its length: log
-perplexity minus Z standard errors over q75 + FENCE * max(q75 - q25, LEAST_SPREAD), quartiles of log perplexity over the
-language's trusted documents. So that these read like unseen text, each is scored by a model of the other folds of the
-trusted documents only (FOLDS of them, by a hash of the text, so that equal texts share one); all models are trained and
-used in the same jobs. What else is in the table doesn't move the limit, however much of it is junk; only a language with fewer than LEAST_HELD trusted documents
-with text takes the quartiles of all its documents.
-
-Defined results: a null or empty text has perplexity null and is rejected, as there is nothing to train on; a null
-language is a language of its own; without any trusted text every document with text is kept, with null perplexity. Rows
-alike in doc_id, language and text share one verdict; repeated labels count once, and a null or conflicting label isn't
-trusted. An empty table gives no rows. Extra columns are ignored, and kept by `keep_documents`.
+"""Quality classifier: an interpolated modified Kneser-Ney model of word pairs over trusted text, with a spelling model below.
+
+Trusted are the documents that `labels` marks with quality 1. One in HELD of them (by a hash of the text, so that equal
+texts stay together) is held out; of all others all words are counted. Three levels are interpolated: a word after the
+word before it (counts), a word by itself (in how many different pairs it ends), and its spelling, byte after byte given
+two bytes (counts; then how many different bytes stand before). Each level has three discounts from its counts of counts; what they free goes
+to the level below. A word that was never seen has the probability of its spelling, so every text has a perplexity.
+
+Counts and scores are joined in shards, and what moves grows with the text, not the model to every task:
+
+1. Tasks count pairs and send them to shards of the first word (a word's pairs go over SPLIT shards, so that no frequent word is one
+   task's). Shards add up, and tell of each word what it needs as context and as continuation; these go to shards of words.
+2. Tasks ask for the different pairs and words of a block of documents; shards look them up in their sorted counts, and the answers are
+   written by the task that asked. Keys are sorted and packed as differences; a pair is asked for by the first bits of its hash, SPARE more than
+   the number of pairs needs, so an unseen pair is taken for a seen one with chance 2^-SPARE.
+3. Tasks read their answers, and score their documents. Texts never move. The scan must be repeatable (files are):
+   a block whose answers don't fit what it asks raises an error.
+
+Only the spelling model is broadcast: at most 2^24 codes of three bytes, by definition.
+
+A document is rejected if its perplexity is above its language's limit even after allowing for its length: log perplexity
+minus Z standard errors over the QUANTILE quantile of the same measure of the language's n held-out trusted documents, plus
+MARGIN and, since few documents tell little of a tail, CAUTION / sqrt(n) times the quantile's distance from the median.
+What else is in the table doesn't move the limit, however much of it is junk. A language with fewer than LEAST_HELD
+held-out documents with text takes the quantile of the held-out documents of all languages, or its own if that is higher; only
+one without any takes the quantile of all its documents.
+
+Defined results: a null text, and a text without visible characters, has perplexity null and is rejected, as there is nothing to train on;
+a null language is a language of its own; without any trusted text that isn't held out every document with text is kept,
+with null perplexity. Rows alike in doc_id, language and text share one verdict; repeated labels count once, and a null or
+conflicting label isn't trusted. An empty table gives no rows. Extra columns are ignored, and kept by `keep_documents`.
 """
 
 from __future__ import annotations
@@ -27,80 +37,66 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import byte_chunks, cut, restrict, text_bytes
+from quarrystone.llm.common import cut, kept, restrict, shared_path, text_bytes
+from quarrystone.llm.words import BEGIN, BITS, before, mix, pack, pack_sorted, pair, spellings, unpack, unpack_sorted, words
 
-ORDER = 5
+HELD = 5
 
-#: Rows of one shard of the model (16 bytes each).
-SHARD_ROWS = 8_000_000
-
-#: Counts that a training task gathers before it merges them.
-MERGE_ROWS = 1_000_000
+QUANTILE = 0.99
 
 #: Standard errors of its mean that a document is granted.
 Z = 3.0
 
-FENCE = 3.0
-
-LEAST_SPREAD = 0.02
+#: Added to the limit, in log perplexity of a word.
+MARGIN = 0.1
 
-#: Parts of the trusted documents that are held out of the counts in turn, for the limits.
-FOLDS = 2
+CAUTION = 3.0
 
-#: A language has a limit of its own trusted documents from so many on; fewer give no quartiles.
+#: A language has a limit of its own held-out documents from so many on.
 LEAST_HELD = 8
 
-#: Number of the model of all trusted documents; model k < FOLDS is the one without fold k.
-WHOLE = FOLDS
+#: Text that a block of asks covers, about.
+BLOCK_BYTES = 16 << 20
 
-_MASK = (1 << 32) - 1
+#: Text for each shard, about; there are no fewer shards than shuffle partitions.
+SHARD_BYTES = 256 << 20
 
+#: Counts that a training task gathers before it merges them.
+MERGE_ROWS = 2_000_000
 
-def _codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The packed 5-gram that ends at each byte, and the document of each."""
-    lengths = np.diff(offsets)
-    doc = np.repeat(np.arange(len(lengths)), lengths)
-    n = len(doc)
-    padded = np.full(n + 4 * len(lengths), 0xFF, np.uint8)
-    at = np.arange(n) + 4 * (doc + 1)
-    padded[at] = data[offsets[0] : offsets[-1]]
-    code = np.zeros(n, np.int64)
-    for k in range(4, -1, -1):
-        code = (code << 8) | padded[at - k]
-    return code, doc
+SPLIT = 8
 
+SPARE = 12
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of the 5-grams of a task's texts, with the text's fold above their five bytes; what has been gathered is merged whenever it has grown large."""
-    parts: list[tuple[np.ndarray, np.ndarray]] = []
-    size, most = 0, MERGE_ROWS
+PAIRS, WORDS, TALLY, SPELLING = range(4)
 
-    def merge() -> tuple[np.ndarray, np.ndarray]:
-        codes, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(codes, kind="stable")
-        codes, counts = codes[order], counts[order]
-        first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
-        return codes[first], np.add.reduceat(counts, first)
+_VALUES = ["v0", "v1", "v2", "v3", "v4"]
+_STORE = "kind int, shard int, n int, k binary, " + ", ".join(f"{v} binary" for v in _VALUES)
+_NAMES = ["kind", "shard", "n", "k", *_VALUES]
+_TYPES = [pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 6]
+
+
+def _rows(rows: list[tuple], names: list[str] = _NAMES, types: list[pa.DataType] = _TYPES) -> pa.RecordBatch:
+    rows = [r + (None,) * (len(names) - len(r)) for r in rows]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+
+def _sums(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Different keys, sorted, and the sums of each value."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], *(np.add.reduceat(v[order], first) if len(first) else v for v in values)
 
-    for b in batches:
-        data, offsets = text_bytes(b.column("text"))
-        fold = b.column("fold").to_numpy().astype(np.int64) << 8 * ORDER
-        for i, j in byte_chunks(offsets):
-            if offsets[j] > offsets[i]:
-                codes, doc = _codes(data, offsets[i : j + 1])
-                parts.append(np.unique(codes | fold[i:j][doc], return_counts=True))
-                size += len(parts[-1][0])
-                if size > most:
-                    parts = [merge()]
-                    size = len(parts[0][0])
-                    most = 2 * size + MERGE_ROWS
-    if parts:
-        codes, counts = merge()
-        for i in range(0, len(codes), 500_000):
-            yield pa.RecordBatch.from_arrays([pa.array(codes[i : i + 500_000]), pa.array(counts[i : i + 500_000])], names=["code", "c"])
+
+def _shard(keys: np.ndarray, shards: int, bits: int = BITS) -> np.ndarray:
+    """Equal ranges of keys of so many bits."""
+    return (keys >> max(0, bits - 30)) * shards >> min(bits, 30)
 
 
 def discounts(n: list[int]) -> tuple[float, float, float]:
@@ -113,121 +109,355 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
     return tuple(d if 0 < d < k else k / 2 for k, d in zip((1, 2, 3), out, strict=True))
 
 
-def _discount(c: Column, d: dict[int, tuple[float, float, float]]) -> Column:
-    """By the model's three discounts."""
-    out = F.lit(None).cast("double")
-    for m, x in d.items():
-        out = F.when(F.col("model") == m, F.when(c == 1, x[0]).when(c == 2, x[1]).otherwise(x[2])).otherwise(out)
-    return out
+def _discounted(c: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
+    return np.maximum(c - np.array([0.0, *d])[np.minimum(c, 3)], 0.0)
 
 
-def count(trusted: DataFrame) -> DataFrame:
-    """Kept counts (model, code, c) of the 5-grams of a table (text, fold): every model counts all folds but its own."""
-    folds = cut(trusted.select("text", "fold").mapInArrow(_count, "code bigint, c bigint").groupBy("code").agg(F.sum("c").alias("c")))
-    fold = F.shiftright("code", 8 * ORDER)
-    models = F.explode(F.filter(F.sequence(F.lit(0), F.lit(WHOLE)), lambda m: m != fold)).alias("model")
-    return cut(folds.select(models, F.col("code").bitwiseAND((1 << 8 * ORDER) - 1).alias("code"), "c").groupBy("model", "code").agg(F.sum("c").alias("c")))
-
-
-def train(highest: DataFrame) -> tuple[DataFrame, list[int]]:
-    """The models of counts (model, code, c) as kept rows (model, kind, code, value): kind n is the log probability of an
-    n-gram, 10 + n the log weight that a context of n bytes gives to the next lower order. And the models that have any text."""
-    counts = {ORDER: highest}
-    for n in range(ORDER - 1, 0, -1):
-        counts[n] = counts[n + 1].groupBy("model", F.col("code").bitwiseAND((1 << 8 * n) - 1).alias("code")).agg(F.count(F.lit(1)).alias("c"))
-        if n == ORDER - 1:
-            counts[n] = cut(counts[n])
-    tallies = [t.groupBy("model", F.lit(n).alias("n"), F.least("c", F.lit(5)).alias("c")).agg(F.count(F.lit(1)).alias("k")) for n, t in counts.items()]
-    union = tallies[0]
-    for t in tallies[1:]:
-        union = union.unionByName(t)
-    spectrum: dict[int, dict[int, list[int]]] = {}
-    for r in union.collect():  # 25 rows a model at most
-        spectrum.setdefault(r["model"], {n: [0] * 5 for n in counts})[r["n"]][r["c"] - 1] = r["k"]
-    out, lower = None, None
-    for n in range(1, ORDER + 1):
-        d = {m: discounts(x[n][:4]) for m, x in sorted(spectrum.items())}
-        t = counts[n].select("model", "code", "c", F.shiftright("code", 8).alias("ctx"))
-        context = t.groupBy("model", "ctx").agg(F.sum("c").alias("total"), F.sum(_discount(F.col("c"), d)).alias("held")).select("model", "ctx", "total", (F.col("held") / F.col("total")).alias("weight"))
-        t = t.join(context, ["model", "ctx"])
-        if lower is None:
-            t = t.withColumn("q", F.lit(1 / 256))
-        else:
-            t = t.withColumn("suffix", F.col("code").bitwiseAND((1 << 8 * (n - 1)) - 1)).join(lower.select("model", F.col("code").alias("suffix"), F.col("p").alias("q")), ["model", "suffix"])
-        p = t.select("model", "code", ((F.col("c") - _discount(F.col("c"), d)) / F.col("total") + F.col("weight") * F.col("q")).alias("p"))
-        lower = cut(p) if n in (3, 4) else p
-        rows = lower.select("model", F.lit(n).alias("kind"), "code", F.log("p").alias("value")).unionByName(context.select("model", F.lit(9 + n).alias("kind"), F.col("ctx").alias("code"), F.log("weight").alias("value")))
-        out = rows if out is None else out.unionByName(rows)
-    return cut(out), sorted(spectrum)
-
-
-def _shards(model: DataFrame, shard_rows: int) -> Iterator[tuple[int, int, dict[int, dict[int, tuple[np.ndarray, np.ndarray]]]]]:
-    """(shard, number of shards, tables by model and kind with sorted codes), one after the other."""
-    n = max(1, -(-model.count() // shard_rows))
-    # The two bytes before the predicted byte; a context ends in them. Rows that hold fewer go into every shard.
-    pair = F.when(F.col("kind") < 10, F.shiftright("code", 8)).otherwise(F.col("code")).bitwiseAND(0xFFFF)
-    everywhere = F.col("kind").isin(1, 2, 10, 11)
-    for k in range(n):
-        own = model if n == 1 else model.where(everywhere | (pair % n == k))
-        t = own.toArrow()
-        models, kinds, codes, values = (t.column(c).to_numpy() for c in ("model", "kind", "code", "value"))
-        tables: dict[int, dict[int, tuple[np.ndarray, np.ndarray]]] = {}
-        for m in np.unique(models):
-            for kind in np.unique(kinds):
-                at = np.flatnonzero((models == m) & (kinds == kind))
-                at = at[np.argsort(codes[at], kind="stable")]
-                tables.setdefault(int(m), {})[int(kind)] = (codes[at], values[at].astype(np.float64))
-        yield k, n, tables
-
-
-def _find(table: tuple[np.ndarray, np.ndarray] | None, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether each code is in a table, and its value or 0."""
-    if table is None or not len(table[0]):
-        return np.zeros(len(codes), bool), np.zeros(len(codes))
-    at = np.minimum(np.searchsorted(table[0], codes), len(table[0]) - 1)
-    there = table[0][at] == codes
-    return there, np.where(there, table[1][at], 0.0)
-
-
-def log_probabilities(tables: dict[int, tuple[np.ndarray, np.ndarray]], codes: np.ndarray) -> np.ndarray:
-    """Of the last byte of each distinct 5-gram: the highest order that has it, times the weights of the contexts above."""
-    out = np.zeros(len(codes))
-    left = np.arange(len(codes))
-    for n in range(ORDER, 0, -1):
-        code = codes[left] & ((1 << 8 * n) - 1)
-        there, value = _find(tables.get(n), code)
-        out[left] += value
-        left, code = left[~there], code[~there]
-        if not len(left):
-            return out
-        out[left] += _find(tables.get(9 + n), code >> 8)[1]
-    out[left] += np.log(1 / 256)
-    return out
+def _tally(c: np.ndarray) -> np.ndarray:
+    """How many counts are 1, 2, 3, 4; the sum of all; how many are 3 or more."""
+    return np.r_[np.bincount(np.minimum(c, 5), minlength=6)[1:5], c.sum(), (c > 2).sum()]
+
+
+# Counting
 
 
-def _score(shared, k: int, n: int):
+def _count(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = shared.value
+        parts: list[tuple[np.ndarray, ...]] = []
+        codes: list[tuple[np.ndarray, ...]] = []
+        size, most = 0, MERGE_ROWS
+
+        def merged() -> tuple[np.ndarray, ...]:
+            u, w, c = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((w, u))
+            u, w = u[order], w[order]
+            first = np.flatnonzero(np.r_[True, (u[1:] != u[:-1]) | (w[1:] != w[:-1])])
+            return u[first], w[first], np.add.reduceat(c[order], first)
+
         for b in batches:
             data, offsets = text_bytes(b.column("text"))
-            model = b.column("model").to_numpy()
-            size = np.zeros(b.num_rows, np.int64)
-            total, squares = np.zeros(b.num_rows), np.zeros(b.num_rows)
-            for i, j in byte_chunks(offsets):
-                codes, doc = _codes(data, offsets[i : j + 1])
-                if n > 1:
-                    own = ((codes >> 8) & 0xFFFF) % n == k
-                    codes, doc = codes[own], doc[own]
-                if len(codes):
-                    x, each = np.zeros(len(codes)), model[i:j][doc]
-                    for m in np.unique(model[i:j]):
-                        of = each == m
-                        distinct, at = np.unique(codes[of], return_inverse=True)
-                        x[of] = -log_probabilities(tables.get(int(m), {}), distinct)[at]
-                    size[i:j] = np.bincount(doc, minlength=j - i)
-                    total[i:j] = np.bincount(doc, x, j - i)
-                    squares[i:j] = np.bincount(doc, x * x, j - i)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("model", "doc_id", "lang", "key")), pa.array(size), pa.array(total), pa.array(squares)], names=["model", "doc_id", "lang", "key", "size", "total", "squares"])
+            h, start, length, counts = words(data, offsets)
+            if not len(h):
+                continue
+            parts.append((before(h, counts), h, np.ones(len(h), np.int64)))
+            parts[-1:] = [merged()] if len(parts) == 1 else parts[-1:]
+            _, at, k = np.unique(h, return_index=True, return_counts=True)
+            code, first = spellings(data, start[at], length[at])
+            codes.append(_sums(code, np.repeat(k, np.diff(np.r_[first, len(code)]))))
+            if len(codes) > 8:
+                codes = [_sums(*(np.concatenate(x) for x in zip(*codes, strict=True)))]
+            size += len(parts[-1][0])
+            if size > most:
+                parts = [merged()]
+                size = len(parts[0][0])
+                most = 2 * size + MERGE_ROWS
+        if not parts:
+            return
+        u, w, c = merged()
+        shard = (mix(u.astype(np.uint64)) + (w % SPLIT).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(shards)
+        order = np.argsort(shard, kind="stable")
+        edges = np.searchsorted(shard[order], np.arange(shards + 1, dtype=np.uint64))
+        out = []
+        for k in range(shards):
+            own = order[edges[k] : edges[k + 1]]
+            if len(own):
+                out.append((PAIRS, k, len(own), pack_sorted(u[own]), pack(w[own]), pack(c[own])))
+            if len(out) >= 64:
+                yield _rows(out)
+                out = []
+        code, c = _sums(*(np.concatenate(x) for x in zip(*codes, strict=True)))
+        for k in range(min(16, shards)):
+            own = code % 16 % shards == k
+            out.append((SPELLING, k, int(own.sum()), pack_sorted(code[own]), pack(c[own])))
+        yield _rows(out)
+
+    return run
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[dict]]]:
+    """Rows of a stream that is sorted by kind and shard, by both."""
+    key, rows = None, []
+    for b in batches:
+        for r in b.to_pylist():
+            if (r["kind"], r["shard"]) != key:
+                if rows:
+                    yield *key, rows
+                key, rows = (r["kind"], r["shard"]), []
+            rows.append(r)
+    if rows:
+        yield *key, rows
+
+
+def _add_pairs(shards: int):
+    """Sums of a shard's pairs; of their words what they need as context (total, pairs that occur once, twice, more often) and
+    as continuation (different pairs they end); and tallies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for kind, shard, rows in _grouped(batches):
+            if kind == SPELLING:
+                code, c = _sums(np.concatenate([unpack_sorted(r["k"], r["n"]) for r in rows]), np.concatenate([unpack(r["v0"], r["n"]) for r in rows]))
+                yield _rows([(SPELLING, shard, len(code), pack_sorted(code), pack(c))])
+                continue
+            u, w, c = (np.concatenate([f(r[x], r["n"]) for r in rows]) for x, f in (("k", unpack_sorted), ("v0", unpack), ("v1", unpack)))
+            order = np.lexsort((w, u))
+            u, w = u[order], w[order]
+            first = np.flatnonzero(np.r_[True, (u[1:] != u[:-1]) | (w[1:] != w[:-1])])
+            u, w, c = u[first], w[first], np.add.reduceat(c[order], first)
+            yield _rows([(PAIRS, shard, len(u), pack_sorted(u), pack(w), pack(c)), (TALLY, PAIRS, 6, pack(_tally(c)))])
+            one = np.ones(len(u), np.int64)
+            context = _sums(u, c, (c == 1) * one, (c == 2) * one, (c > 2) * one)
+            end, k = _sums(w, one)
+            both = np.concatenate([context[0], end])
+            z, y = np.zeros(len(end), np.int64), np.zeros(len(context[0]), np.int64)
+            told = _sums(both, *(np.concatenate([v, z]) for v in context[1:]), np.concatenate([y, k]))
+            edges = np.searchsorted(_shard(told[0], shards), np.arange(shards + 1))
+            out = [(WORDS, s, int(j - i), pack_sorted(told[0][i:j]), *(pack(v[i:j]) for v in told[1:])) for s, (i, j) in enumerate(zip(edges, edges[1:], strict=False)) if j > i]
+            for at in range(0, len(out), 64):
+                yield _rows(out[at : at + 64])
+
+    return run
+
+
+def _add_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, shard, rows in _grouped(batches):
+        told = _sums(np.concatenate([unpack_sorted(r["k"], r["n"]) for r in rows]), *(np.concatenate([unpack(r[v], r["n"]) for r in rows]) for v in _VALUES))
+        yield _rows([(WORDS, shard, len(told[0]), pack_sorted(told[0]), *map(pack, told[1:])), (TALLY, WORDS, 6, pack(_tally(told[5])))])
+
+
+def _by_shard(rows: DataFrame, shards: int) -> DataFrame:
+    return rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("kind", "shard")
+
+
+class Spelling:
+    """Probabilities of codes (a byte after two) from their counts."""
+
+    def __init__(self, code: np.ndarray, c: np.ndarray):
+        two = _sums(code & 0xFFFF, np.ones(len(code), np.int64))
+        one = _sums(two[0] & 0xFF, np.ones(len(two[0]), np.int64))
+
+        def level(k: np.ndarray, c: np.ndarray, contexts: int) -> tuple[np.ndarray, np.ndarray]:
+            """The discounted share of each code, and of each context what is left for the level below."""
+            d = discounts(_tally(c)[:4].tolist())
+            total = np.bincount(k >> 8, c, contexts)
+            own = _discounted(c, d)
+            left = np.where(total > 0, 1 - np.bincount(k >> 8, own, contexts) / np.maximum(total, 1), 1.0)
+            return own / total[k >> 8], left
+
+        share, left = level(*one, 1)
+        p1 = np.full(256, left[0] / 256)
+        p1[one[0]] += share
+        share, left = level(*two, 256)
+        p2 = left[:, None] * p1
+        p2[two[0] >> 8, two[0] & 0xFF] += share
+        self.p2 = p2.ravel()
+        self.code = code
+        self.share, self.left = level(code, c, 65_536)
+
+    def log(self, code: np.ndarray) -> np.ndarray:
+        p = self.left[code >> 8] * self.p2[code & 0xFFFF]
+        at = np.minimum(np.searchsorted(self.code, code), len(self.code) - 1)
+        return np.log(p + np.where(self.code[at] == code, self.share[at], 0.0))
+
+
+class Model:
+    """What the driver knows: discounts, totals, the spelling model, and the tables of pairs and words."""
+
+    def __init__(self, pairs: DataFrame, told: DataFrame, bits: dict[int, int], discount: dict[int, tuple], total: int, below: float, spelling: Spelling):
+        self.pairs, self.words, self.bits = pairs, told, bits
+        self.parameters = discount, total, below, spelling
+
+
+def train(trusted: DataFrame, shards: int, spare: int = SPARE) -> Model | None:
+    """The model of a table (text); None if there is no word in it."""
+    counted = _by_shard(trusted.select("text").mapInArrow(_count(shards), _STORE), shards)
+    pairs = kept(counted.mapInArrow(_add_pairs(shards), _STORE), "pairs")
+    told = kept(_by_shard(pairs.where(F.col("kind") == WORDS), shards).mapInArrow(_add_words, _STORE), "words")
+    tally = {PAIRS: np.zeros(6, np.int64), WORDS: np.zeros(6, np.int64)}
+    number = {}
+    for kind, t in ((PAIRS, pairs), (WORDS, told)):
+        for r in t.where(F.col("kind") == TALLY).select("k").toLocalIterator():  # a row per shard
+            tally[kind] += unpack(bytes(r["k"]), 6)
+        number[kind] = t.where(F.col("kind") == kind).agg(F.sum("n")).first()[0] or 0
+    if not number[PAIRS]:
+        return None
+    discount = {k: discounts(t[:4].tolist()) for k, t in tally.items()}
+    t, d = tally[WORDS], discount[WORDS]
+    total = int(t[4])
+    below = (t[0] * d[0] + t[1] * d[1] + t[5] * d[2]) / total
+    rows = pairs.where(F.col("kind") == SPELLING).select("n", "k", "v0").collect()  # 2^24 codes at most
+    code = np.concatenate([unpack_sorted(bytes(r["k"]), r["n"]) for r in rows])
+    c = np.concatenate([unpack(bytes(r["v0"]), r["n"]) for r in rows])
+    bits = {k: min(BITS, int(n).bit_length() + spare + 4 * (k == WORDS)) for k, n in number.items()}
+    return Model(pairs.where(F.col("kind") == PAIRS), told.where(F.col("kind") == WORDS), bits, discount, total, below, Spelling(*_sums(code, c)))
+
+
+# Asking and scoring
+
+_ASK = "kind int, shard int, block bigint, " + _STORE.split(", ", 2)[2]
+_ASK_NAMES = ["kind", "shard", "block", *_NAMES[2:]]
+_ASK_TYPES = [pa.int32(), pa.int32(), pa.int64(), *_TYPES[2:]]
+
+
+class Block:
+    """The words of some batches of documents."""
+
+    def __init__(self, batches: list[pa.RecordBatch], bits: dict[int, int]):
+        data, h, start, length, counts, base = [], [], [], [], [], 0
+        for b in batches:
+            d, offsets = text_bytes(b.column("text"))
+            x = words(d, offsets)
+            data.append(d[offsets[0] : offsets[-1]])
+            h.append(x[0])
+            start.append(x[1] - offsets[0] + base)
+            length.append(x[2])
+            counts.append(x[3])
+            base += int(offsets[-1] - offsets[0])
+        self.data, self.start, self.length, self.counts = (np.concatenate(x) for x in (data, start, length, counts))
+        h = np.concatenate(h)
+        self.h, self.u = h >> (BITS - bits[WORDS]), before(h, self.counts)
+        self.pair = pair(self.u, h) >> (BITS - bits[PAIRS])
+        self.u >>= BITS - bits[WORDS]
+        self.asks = {PAIRS: np.unique(self.pair), WORDS: np.unique(np.r_[self.h, np.int64(BEGIN) >> (BITS - bits[WORDS])])}
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], bits: dict[int, int]) -> Iterator[tuple[int, list[pa.RecordBatch], Block]]:
+    parts, size, number, first = [], 0, 0, 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        first = b.column("pid")[0].as_py() << 20  # of the scan: a task may have another number
+        parts.append(b)
+        size += b.column("text").nbytes
+        if size >= BLOCK_BYTES:
+            yield first + number, parts, Block(parts, bits)
+            parts, size, number = [], 0, number + 1
+    if parts:
+        yield first + number, parts, Block(parts, bits)
+
+
+def _ask(bits: dict[int, int], shards: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, _, block in _blocks(batches, bits):
+            out = []
+            for kind, keys in block.asks.items():
+                edges = np.searchsorted(_shard(keys, shards, bits[kind]), np.arange(shards + 1))
+                for s, (i, j) in enumerate(zip(edges, edges[1:], strict=False)):
+                    if j > i:
+                        out.append((kind, s, number, int(j - i), pack_sorted(keys[i:j])))
+            for at in range(0, len(out), 256):
+                yield _rows(out[at : at + 256], _ASK_NAMES, _ASK_TYPES)
+
+    return run
+
+
+def _shorten(bits: dict[int, int], shards: int):
+    """The counts of pairs and words under the keys that are asked for, with their shards; block -1 comes first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                kind, n = r["kind"], r["n"]
+                if kind == PAIRS:
+                    keys = pair(unpack_sorted(r["k"], n), unpack(r["v0"], n)) >> (BITS - bits[kind])
+                    values = [unpack(r["v1"], n)]
+                else:
+                    keys = unpack_sorted(r["k"], n) >> (BITS - bits[kind])
+                    values = [unpack(r[v], n) for v in _VALUES]
+                order = np.argsort(keys, kind="stable")
+                keys, values = keys[order], [v[order] for v in values]
+                edges = np.searchsorted(_shard(keys, shards, bits[kind]), np.arange(shards + 1))
+                out = [(kind, s, -1, int(j - i), pack_sorted(keys[i:j]), *(pack(v[i:j]) for v in values)) for s, (i, j) in enumerate(zip(edges, edges[1:], strict=False)) if j > i]
+                for at in range(0, len(out), 256):
+                    yield _rows(out[at : at + 256], _ASK_NAMES, _ASK_TYPES)
+
+    return run
+
+
+def _serve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Answers, in a stream that is sorted by kind, shard and block: counts first, then the asks, each looked up."""
+    key, parts, table = None, [], None
+    for b in batches:
+        out = []
+        for r in b.to_pylist():
+            if (r["kind"], r["shard"]) != key:
+                key, parts, table = (r["kind"], r["shard"]), [], None
+            width = 1 if r["kind"] == PAIRS else 5
+            if r["block"] < 0:
+                parts.append((unpack_sorted(r["k"], r["n"]), *(unpack(r[v], r["n"]) for v in _VALUES[:width])))
+                continue
+            if table is None:
+                table = _sums(*(np.concatenate(x) for x in zip(*parts, strict=True))) if parts else (np.zeros(0, np.int64),)
+            asked = unpack_sorted(r["k"], r["n"])
+            if len(table[0]):
+                at = np.minimum(np.searchsorted(table[0], asked), len(table[0]) - 1)
+                there = table[0][at] == asked
+                values = [pack(np.where(there, v[at], 0)) for v in table[1:]]
+            else:
+                values = [pack(np.zeros(r["n"], np.int64))] * width
+            out.append((r["kind"], r["shard"], r["block"], r["n"], None, *values))
+        if out:
+            yield _rows(out, _ASK_NAMES, _ASK_TYPES)
+
+
+def _answers(path: str, pid: int) -> dict[int, list[dict]]:
+    """The answers to a task's blocks, by block, in the order of kinds and shards."""
+    files, root = fs.FileSystem.from_uri(path)
+    folder = f"{root}/pid={pid}"
+    out: dict[int, list[dict]] = {}
+    if files.get_file_info(folder).type == fs.FileType.Directory:
+        for f in files.get_file_info(fs.FileSelector(folder)):
+            if f.base_name.endswith(".parquet"):
+                with files.open_input_file(f.path) as source:
+                    for r in pq.ParquetFile(source).read().to_pylist():
+                        out.setdefault(r["block"], []).append(r)
+    for rows in out.values():
+        rows.sort(key=lambda r: (r["kind"], r["shard"]))
+    return out
+
+
+def log_probabilities(block: Block, told: dict[int, list[np.ndarray]], parameters: tuple) -> np.ndarray:
+    """Of each word after the one before it; told: the values of what the block asks for."""
+    discount, total, below, spelling = parameters
+    asked = block.asks[WORDS]
+    at = np.searchsorted(asked, block.h)
+    # Spellings of the different words, from one place of each.
+    place = np.full(len(asked), -1)
+    place[at] = np.arange(len(at))
+    spelt = place >= 0
+    code, first = spellings(block.data, block.start[place[spelt]], block.length[place[spelt]])
+    p1 = np.zeros(len(asked))
+    if len(code):
+        p1[spelt] = below * np.exp(np.add.reduceat(spelling.log(code), first))
+    context, once, twice, more, ends = told[WORDS]
+    p1 += _discounted(ends, discount[WORDS]) / total
+    left = (discount[PAIRS][0] * once + discount[PAIRS][1] * twice + discount[PAIRS][2] * more) / np.maximum(context, 1)
+    u = np.searchsorted(asked, block.u)
+    c = np.minimum(told[PAIRS][0][np.searchsorted(block.asks[PAIRS], block.pair)], context[u])
+    p2 = np.where(context[u] > 0, _discounted(c, discount[PAIRS]) / np.maximum(context[u], 1) + left[u] * p1[at], p1[at])
+    return np.log(np.maximum(p2, 1e-300))
+
+
+def _score(shared, path: str, bits: dict[int, int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        answers = None
+        for number, parts, block in _blocks(batches, bits):
+            if answers is None:
+                answers = _answers(path, number >> 20)
+            told: dict[int, list[np.ndarray]] = {}
+            for kind, width in ((PAIRS, 1), (WORDS, 5)):
+                rows = [r for r in answers.get(number, []) if r["kind"] == kind]
+                if sum(r["n"] for r in rows) != len(block.asks[kind]):
+                    raise RuntimeError("the documents were read in another order the second time: write them to a table first")
+                told[kind] = [np.concatenate([np.zeros(0, np.int64), *(unpack(r[v], r["n"]) for r in rows)]) for v in _VALUES[:width]]
+            answers.pop(number, None)
+            x = -log_probabilities(block, told, shared.value)
+            doc = np.repeat(np.arange(len(block.counts)), block.counts)
+            total, squares = np.bincount(doc, x, len(block.counts)), np.bincount(doc, x * x, len(block.counts))
+            at = 0
+            for b in parts:
+                own = slice(at, at + b.num_rows)
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "lang", "key", "fold")), *(pa.array(v[own]) for v in (block.counts, total, squares))], names=["doc_id", "lang", "key", "fold", "size", "total", "squares"])
+                at += b.num_rows
 
     return run
 
@@ -236,66 +466,75 @@ def _key() -> Column:
     return F.xxhash64(F.col("doc_id").cast("bigint"), F.col("lang").cast("string"), "text")
 
 
-def trusted_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of a table with a bigint doc_id that labels mark as good."""
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """Kept bigint doc_ids that labels mark as good."""
     good = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min("quality").alias("q"), F.max("quality").alias("r")).where("q = 1 and r = 1").select("doc_id")
-    return restrict(docs, cut(good), ["doc_id"])
+    return cut(good)
 
 
-def perplexities(docs: DataFrame, labels: DataFrame, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, DataFrame | None]:
-    """One kept row per document: doc_id, lang, key, size in bytes, mean and deviation of -log p over its bytes.
+def perplexities(docs: DataFrame, labels: DataFrame, spare: int = SPARE, shards: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """One kept row per document: doc_id, lang, key, size in words, mean and deviation of -log p over its words.
 
-    And the same of the trusted documents, each by the model without its fold; None without any trusted text.
+    And those of the held-out trusted documents; None without any word to train on.
     """
     spark = docs.sparkSession
-    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), _key().alias("key"), F.col("text").alias("text"))
-    trusted = trusted_documents(d, labels).withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int"))
-    rows, models = train(count(trusted))
-    if not models:
-        return cut(d.select("doc_id", "lang", "key", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("size"), F.lit(None).cast("double").alias("mean"), F.lit(None).cast("double").alias("deviation"))), None
-    jobs = d.withColumn("model", F.lit(WHOLE)).unionByName(trusted.where(F.col("fold").isin(models)).withColumnRenamed("fold", "model"))
-    schema = "model int, doc_id bigint, lang string, key bigint, size bigint, total double, squares double"
-    parts, n = [], 1
-    for k, n, tables in _shards(rows, shard_rows):
-        shared = spark.sparkContext.broadcast(tables)
-        parts.append(cut(jobs.mapInArrow(_score(shared, k, n), schema)))
-        shared.destroy()
-    if n > 1:
-        union = parts[0]
-        for p in parts[1:]:
-            union = union.unionByName(p)
-        parts = [union.groupBy("model", "doc_id", "lang", "key").agg(*(F.sum(c).alias(c) for c in ("size", "total", "squares")))]
+    d = docs.select(F.spark_partition_id().alias("pid"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), _key().alias("key"), F.pmod(F.xxhash64("text"), F.lit(HELD)).cast("int").alias("fold"), F.col("text").alias("text"))
+    good = trusted_ids(labels)
+    if shards is None:
+        size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
+    model = train(restrict(d.where("fold > 0"), good, ["doc_id"]), shards, spare)
+    if model is None:
+        visible = F.coalesce(F.regexp_count("text", F.lit(r"[^\x00-\x20\x7f]")), F.lit(0))
+        return cut(d.select("doc_id", "lang", "key", visible.cast("bigint").alias("size"), F.lit(None).cast("double").alias("mean"), F.lit(None).cast("double").alias("deviation"))), None
+    bits = model.bits
+    counts = model.pairs.unionByName(model.words).mapInArrow(_shorten(bits, shards), _ASK)
+    asks = d.mapInArrow(_ask(bits, shards), _ASK)  # of the same columns as below, so that batches end at the same rows
+    met = counts.unionByName(asks).repartitionById(2 * shards, F.col("kind") * shards + F.col("shard")).sortWithinPartitions("kind", "shard", "block")
+    path = shared_path(spark, "answers")
+    answers = met.mapInArrow(_serve, _ASK).drop("k").withColumn("pid", F.shiftright("block", 20))
+    answers.repartition("pid").sortWithinPartitions("pid").write.partitionBy("pid").parquet(path)
+    shared = spark.sparkContext.broadcast(model.parameters)
+    scored = cut(d.mapInArrow(_score(shared, path, bits), "doc_id bigint, lang string, key bigint, fold int, size bigint, total double, squares double"))
     mean = F.when(F.col("size") > 0, F.col("total") / F.col("size"))
     deviation = F.sqrt(F.greatest(F.col("squares") / F.col("size") - F.col("mean") * F.col("mean"), F.lit(0.0)))
-    out = parts[0].withColumn("mean", mean).select("model", "doc_id", "lang", "key", "size", "mean", F.when(F.col("size") > 0, deviation).alias("deviation"))
-    out = cut(out) if n > 1 else out
-    return out.where(F.col("model") == WHOLE).drop("model"), out.where(F.col("model") < WHOLE).drop("model")
+    out = scored.withColumn("mean", mean).select("doc_id", "lang", "key", "fold", "size", "mean", F.when(F.col("size") > 0, deviation).alias("deviation"))
+    return out.drop("fold"), restrict(out.where("fold = 0"), good, ["doc_id"]).drop("fold")
+
+
+def _measure() -> Column:
+    """Log perplexity less what a document is granted for its length."""
+    return F.col("mean") - Z * F.col("deviation") / F.sqrt("size")
 
 
-def limits(scores: DataFrame, held: DataFrame | None = None, fence: float = FENCE) -> DataFrame:
-    """lang and limit: the highest log perplexity that is kept; of the held-out trusted documents where a language has
-    LEAST_HELD of them, else of all."""
+def limits(scores: DataFrame, held: DataFrame | None = None, quantile: float = QUANTILE) -> DataFrame:
+    """lang and limit: the highest measure that is kept. Of the held-out trusted documents of a language where it has LEAST_HELD of
+    them; of those of all languages where it has fewer, if that is higher; of all its documents where it has none."""
 
-    def quartiles(t: DataFrame) -> DataFrame:
-        return t.where("mean is not null").groupBy("lang").agg(F.percentile_approx("mean", [0.25, 0.75], 10_000).alias("q"), F.count(F.lit(1)).alias("n"))
+    def of(t: DataFrame, *by: str) -> DataFrame:
+        t = t.where("mean is not null").groupBy(*by).agg(F.percentile_approx(_measure(), [0.5, quantile], 10_000).alias("q"), F.count(F.lit(1)).alias("n"))
+        return t.withColumn("q", F.col("q")[1] + CAUTION / F.sqrt("n") * (F.col("q")[1] - F.col("q")[0]))
 
-    q = quartiles(scores)
+    q = of(scores, "lang")
     if held is not None:
-        own = quartiles(held).where(F.col("n") >= LEAST_HELD).select(F.col("lang").alias("_lang"), F.col("q").alias("_q"))
-        q = q.join(F.broadcast(own), q["lang"].eqNullSafe(own["_lang"]), "left").select("lang", F.coalesce("_q", "q").alias("q"))  # one row per language
-    return q.select("lang", (F.col("q")[1] + fence * F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(LEAST_SPREAD))).alias("limit"))
+        own = of(held, "lang").select(F.col("lang").alias("_lang"), F.col("q").alias("_q"), F.col("n").alias("_n"))
+        pooled = of(held).first()["q"]
+        few = F.when(F.col("_n") < LEAST_HELD, F.greatest("_q", F.lit(pooled).cast("double"))).otherwise(F.col("_q"))
+        q = q.join(own, q["lang"].eqNullSafe(own["_lang"]), "left").select("lang", F.coalesce(few, "q").alias("q"))
+    return q.select("lang", (F.col("q") + MARGIN).alias("limit"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, spare: int = SPARE, shards: int | None = None) -> DataFrame:
     """doc_id, lang, key, perplexity, limit and keep of every document."""
-    scores, held = perplexities(docs, labels, shard_rows)
-    top = F.broadcast(limits(scores, held).withColumnRenamed("lang", "_lang"))  # one row per language
-    joined = scores.join(top, F.col("lang").eqNullSafe(F.col("_lang")), "left")
-    over = F.col("mean") - Z * F.col("deviation") / F.sqrt("size") > F.col("limit")
+    scores, held = perplexities(docs, labels, spare, shards)
+    top = cut(limits(scores, held).withColumnRenamed("lang", "_lang"))
+    joined = scores.join(F.broadcast(top) if top.count() <= 100_000 else top, F.col("lang").eqNullSafe(F.col("_lang")), "left")
+    over = _measure() > F.col("limit")
     return joined.select("doc_id", "lang", "key", F.exp("mean").alias("perplexity"), F.exp("limit").alias("limit"), ((F.col("size") > 0) & ~F.coalesce(over, F.lit(False))).alias("keep"))
 
 
 def keep_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that aren't rejected, with all their columns."""
-    rejected = cut(classify(docs, labels).where("not keep").select(F.col("key").alias("_key")).distinct())
-    return restrict(docs.select(F.struct("*").alias("_row"), _key().alias("_key")), rejected, ["_key"], "left_anti").select("_row.*")
+    """The documents that aren't rejected, with all their columns. What goes is told by a hash of its content and its doc_id."""
+    none = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)).alias("_d")
+    rejected = cut(classify(docs, labels).where("not keep").select(F.col("key").alias("_key"), none).distinct())
+    return restrict(docs.select(F.struct("*").alias("_row"), _key().alias("_key"), none), rejected, ["_key", "_d"], "left_anti").select("_row.*")

@@ -1,6 +1,7 @@
 """Quality rules and the Kneser-Ney classifier against brute force."""
 
 import math
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -10,7 +11,7 @@ import pytest
 
 from quarrystone.llm import kneser_ney as K
 from quarrystone.llm import quality_rules as Q
-from quarrystone.llm import queries
+from quarrystone.llm import queries, words
 from quarrystone.llm.common import text_bytes
 
 
@@ -154,58 +155,142 @@ def test_rules_query_keeps_good_documents(spark, sf):
     assert len(good & docs & kept) >= 0.98 * len(good & docs)
 
 
+WORD = re.compile(rb"[\xe3-\xe9]..|(?:(?![\xe3-\xe9])[0-9A-Za-z_\x80-\xff])+|[^\x00-\x20\x7f]", re.S)
+
+
 class Brute:
-    """Interpolated modified Kneser-Ney over bytes, from its definition."""
+    """Interpolated modified Kneser-Ney over word pairs, words and spellings, from its definition."""
 
-    def __init__(self, texts, order=K.ORDER):
-        self.order = order
-        self.c = {order: Counter()}
+    def __init__(self, texts):
+        self.pairs, letters = Counter(), Counter()
         for t in texts:
-            b = b"\xff" * (order - 1) + t.encode()
-            for i in range(order - 1, len(b)):
-                self.c[order][b[i - order + 1 : i + 1]] += 1
-        for n in range(order - 1, 0, -1):
+            w = [None, *WORD.findall(t.encode())]
+            self.pairs.update(zip(w, w[1:], strict=False))
+            for x in w[1:]:
+                b = b"\xff\xff" + x + b"\xfe"
+                letters.update(b[i - 2 : i + 1] for i in range(2, len(b)))
+        self.ends = Counter(w for _, w in self.pairs)
+        self.context = Counter()
+        for (u, _), c in self.pairs.items():
+            self.context[u] += c
+        self.d2, self.d1 = self.discounts(self.pairs), self.discounts(self.ends)
+        self.held = Counter()
+        for (u, _), c in self.pairs.items():
+            self.held[u] += self.d2[min(c, 3) - 1]
+        self.total = sum(self.ends.values())
+        self.c = {3: letters}
+        for n in (2, 1):
             self.c[n] = Counter(g[1:] for g in self.c[n + 1])
-        self.d, self.total, self.held = {}, {}, {}
-        for n, c in self.c.items():
-            self.d[n] = K.discounts([sum(v == k for v in c.values()) for k in (1, 2, 3, 4)])
-            self.total[n], self.held[n] = defaultdict(int), defaultdict(float)
-            for g, v in c.items():
-                self.total[n][g[:-1]] += v
-                self.held[n][g[:-1]] += self.d[n][min(v, 3) - 1]
-
-    def p(self, g):
+        self.d = {n: self.discounts(c) for n, c in self.c.items()}
+
+    @staticmethod
+    def discounts(c):
+        return K.discounts([sum(v == k for v in c.values()) for k in (1, 2, 3, 4)])
+
+    def letter(self, g):
         n = len(g)
         if n == 0:
             return 1 / 256
-        if g[:-1] not in self.total[n]:
-            return self.p(g[1:])
-        v = self.c[n][g]
-        own = v - self.d[n][min(v, 3) - 1] if v else 0.0
-        return (own + self.held[n][g[:-1]] * self.p(g[1:])) / self.total[n][g[:-1]]
+        own = {x: v for x, v in self.c[n].items() if x[:-1] == g[:-1]} if n < 3 else None
+        if n == 3:
+            self.by = getattr(self, "by", None) or defaultdict(dict)
+            if not self.by:
+                for x, v in self.c[3].items():
+                    self.by[x[:-1]][x] = v
+            own = self.by.get(g[:-1], {})
+        if not own:
+            return self.letter(g[1:])
+        total, d = sum(own.values()), self.d[n]
+        v = own.get(g, 0)
+        return ((v - d[min(v, 3) - 1] if v else 0.0) + sum(d[min(x, 3) - 1] for x in own.values()) * self.letter(g[1:])) / total
+
+    def spelling(self, w):
+        b = b"\xff\xff" + w + b"\xfe"
+        return math.prod(self.letter(b[i - 2 : i + 1]) for i in range(2, len(b)))
+
+    def word(self, w):
+        below = sum(self.d1[min(v, 3) - 1] for v in self.ends.values()) / self.total
+        v = self.ends[w]
+        return (v - self.d1[min(v, 3) - 1] if v else 0.0) / self.total + below * self.spelling(w)
+
+    def after(self, u, w):
+        if not self.context[u]:
+            return self.word(w)
+        v = self.pairs[u, w]
+        return ((v - self.d2[min(v, 3) - 1] if v else 0.0) + self.held[u] * self.word(w)) / self.context[u]
 
     def perplexity(self, t):
-        b = b"\xff" * (self.order - 1) + t.encode()
-        x = [math.log(self.p(b[i - self.order + 1 : i + 1])) for i in range(self.order - 1, len(b))]
-        return math.exp(-sum(x) / len(x))
+        w = [None, *WORD.findall(t.encode())]
+        return math.exp(-sum(math.log(self.after(*x)) for x in zip(w, w[1:], strict=False)) / (len(w) - 1))
 
 
 @pytest.fixture(scope="module")
 def tables(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    return docs.where("length(text) < 3000"), spark.read.parquet(f"{sf}/labels.parquet")
+    return docs.where("length(text) < 2000"), spark.read.parquet(f"{sf}/labels.parquet")
+
+
+def test_words_against_a_pattern():
+    texts = ["", "a", "It's 3.5 o'clock_now!", "\n\n x\ty ", "你好，世界 mixed世界text é-ü", None, "\x00\x7f", "a\u2028b ..."]
+    for chosen in (texts, texts[::-1], ["你"], ["x" * 1000, "y z"]):
+        data, offsets = text_bytes(pa.array(chosen, pa.string()))
+        h, start, length, counts = words.words(data, offsets)
+        want = [WORD.findall((t or "").encode()) for t in chosen]
+        assert counts.tolist() == [len(w) for w in want]
+        flat = [x for w in want for x in w]
+        assert [bytes(data[s : s + n]) for s, n in zip(start, length, strict=True)] == flat
+        assert len(set(zip(h.tolist(), flat, strict=True))) == len(set(h.tolist())) == len(set(flat))
+        code, first = words.spellings(data, start, length)
+        for k, w in enumerate(flat):
+            b = b"\xff\xff" + w + b"\xfe"
+            assert code[first[k] : first[k] + len(w) + 1].tolist() == [b[i - 2] << 16 | b[i - 1] << 8 | b[i] for i in range(2, len(b))]
+
+
+def test_packed_numbers():
+    rng = np.random.default_rng(3)
+    for x in ([], [0], [5, 5, 9], rng.integers(0, 2**44, 1000)):
+        x = np.sort(np.array(x, np.int64))
+        assert (words.unpack_sorted(words.pack_sorted(x), len(x)) == x).all() and (words.unpack(words.pack(x), len(x)) == x).all()
+    assert len(words.pack_sorted(np.sort(rng.integers(0, 2**30, 10_000)))) < 2.9 * 10_000
 
 
-@pytest.mark.parametrize("shard_rows", [K.SHARD_ROWS, 4_000])
-def test_perplexity_against_brute_force(tables, shard_rows):
+@pytest.mark.parametrize("shards", [3, 8])
+def test_perplexity_against_brute_force(tables, shards):
     docs, labels = tables
+    from pyspark.sql import functions as F
+
     good = {r["doc_id"] for r in labels.where("quality = 1").collect()}
-    rows = docs.collect()
-    model = Brute([r["text"] for r in rows if r["doc_id"] in good])
-    assert sum(model.p(b"the " + bytes([x])) for x in range(256)) == pytest.approx(1)
-    got = {r["doc_id"]: r["perplexity"] for r in K.classify(docs, labels, shard_rows).collect()}
-    for r in rows[:60]:
+    rows = docs.withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(K.HELD))).collect()
+    model = Brute([r["text"] for r in rows if r["doc_id"] in good and r["fold"]])
+    assert sum(model.letter(b"th" + bytes([x])) for x in range(256)) == pytest.approx(1)
+    assert sum(model.after(b"the", w) - model.held[b"the"] / model.context[b"the"] * model.word(w) for w in model.ends) + model.held[b"the"] / model.context[b"the"] == pytest.approx(1)
+    got = {r["doc_id"]: r["perplexity"] for r in K.classify(docs.repartition(3) if shards == 3 else docs, labels, spare=40, shards=shards).collect()}
+    few = [r for r in rows if WORD.findall(r["text"].encode())][:25]
+    for r in few:
         assert got[r["doc_id"]] == pytest.approx(model.perplexity(r["text"]), rel=1e-6)
+    short = {r["doc_id"]: r["perplexity"] for r in K.classify(docs, labels, shards=shards).collect()}
+    assert np.mean([abs(math.log(short[i] / got[i])) < 0.02 for i in got if got[i]]) >= 0.95
+
+
+def test_limits_are_quantiles_of_the_held_out(spark):
+    """By language, of held-out documents where there are enough; ties, nulls and languages with one document included."""
+    rng = np.random.default_rng(12)
+    rows = [(lang, float(rng.integers(5, 9)), float(rng.random()), int(rng.integers(1, 400))) for lang in ["en"] * 300 + ["de"] * 40 + [None] * 20 + ["fr"] for _ in range(2)]
+    rows += [("en", None, None, 0), ("it", None, None, 0)]
+    held = [r for r in rows if r[0] == "en"][:500] + [("de", 6.0, 0.5, 100)] * 3 + [r for r in rows if r[0] is None]
+    schema = "lang string, mean double, deviation double, size long"
+    got = {r["lang"]: r["limit"] for r in K.limits(spark.createDataFrame(rows, schema), spark.createDataFrame(held, schema)).collect()}
+    measure = lambda t, lang: sorted(m - K.Z * d / math.sqrt(n) for x, m, d, n in t if x == lang and m is not None)
+    for lang in ("en", "de", None, "fr"):
+        rank = lambda own, q: own[math.ceil(q * len(own)) - 1]
+        at = lambda own: rank(own, K.QUANTILE) + K.CAUTION / math.sqrt(len(own)) * (rank(own, K.QUANTILE) - rank(own, 0.5))
+        own = measure(held, lang)
+        want = at(own) if own else at(measure(rows, lang))
+        if 0 < len(own) < K.LEAST_HELD:
+            want = max(want, at(sorted(x for y in {r[0] for r in held} for x in measure(held, y))))
+        assert got[lang] == pytest.approx(want + K.MARGIN)
+    assert set(got) == {"en", "de", None, "fr"}
+    assert K.limits(spark.createDataFrame([], schema)).count() == 0
 
 
 def test_classifier_keeps_good_and_rejects_junk(spark):
@@ -217,6 +302,17 @@ def test_classifier_keeps_good_and_rejects_junk(spark):
     assert np.mean(good) >= 0.99 and np.mean(bad) <= 0.15
 
 
+def test_answers_must_fit_the_asks(spark, tmp_path):
+    """A scan that can't be repeated isn't scored with another block's answers."""
+    data = pa.RecordBatch.from_arrays([pa.array([0, 0]), pa.array([1, 2]), pa.array(["en", "en"]), pa.array([1, 2]), pa.array([1, 1]), pa.array(["a b", "c"])], names=["pid", "doc_id", "lang", "key", "fold", "text"])
+
+    class Shared:
+        value = None
+
+    with pytest.raises(RuntimeError, match="another order"):
+        list(K._score(Shared, f"file://{tmp_path}", {K.PAIRS: 44, K.WORDS: 44})(iter([data])))
+
+
 def test_held_out_documents_are_kept(spark):
     """Good documents that the model never saw are kept like those that it was trained on."""
     sf = "/root/testdata/sf0.01"
