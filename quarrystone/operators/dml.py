@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from quarrystone.sources.shared import cut
+
 
 class ConstraintError(ValueError):
     """Rows that the table's constraints don't allow."""
@@ -31,6 +33,27 @@ class TableSchema:
     defaults: Mapping[str, object] = field(default_factory=dict)
     checks: tuple[str, ...] = ()
     foreign_keys: tuple[ForeignKey, ...] = ()
+    #: Column and uniqueness by the index's name.
+    indexes: Mapping[str, tuple[str, bool]] = field(default_factory=dict)
+
+
+def ranked(rows: DataFrame, order: Sequence[str | Column], name: str) -> DataFrame:
+    """The rows with their place (from 1) in an order, by ranges instead of one sequence.
+
+    Ranges are sorted and counted; what is collected is a number for each range. The rows are kept in between, as a sample
+    gives the ranges' bounds. Ties have different places.
+    """
+    order = list(order) or [F.lit(0)]
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33).cast("int")
+    sizes = {r["_p"]: r["n"] for r in placed.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    first, total = [], 0
+    for p in range(max(sizes, default=-1) + 1):
+        first.append(total)
+        total += sizes.get(p, 0)
+    starts = F.array(*[F.lit(x) for x in first]) if first else F.array(F.lit(0))
+    return placed.withColumn(name, F.get(starts.cast("array<bigint>"), part) + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).drop("_at")
 
 
 def conform(rows: DataFrame, schema: TableSchema) -> DataFrame:
@@ -48,12 +71,11 @@ def conform(rows: DataFrame, schema: TableSchema) -> DataFrame:
 def number_rows(rows: DataFrame, existing: DataFrame, column: str) -> DataFrame:
     """Nulls in an auto-increment column become the next whole numbers, in the order of the other columns.
 
-    Ordering new rows needs one sequence, so it covers only the rows that lack a number.
+    The rows that lack a number are sorted by range, and each range goes on where those before it end.
     """
     top = existing.select(F.max(column).alias("_a")).crossJoin(rows.select(F.max(column).alias("_b"))).select(F.greatest("_a", "_b", F.lit(0)).alias("_top"))
     given = rows.where(F.col(column).isNotNull())
-    order = [F.col(c) for c in rows.columns if c != column] or [F.lit(0)]
-    missing = rows.where(F.col(column).isNull()).withColumn("_n", F.row_number().over(Window.orderBy(*order))).crossJoin(top)
+    missing = ranked(rows.where(F.col(column).isNull()), [c for c in rows.columns if c != column], "_n").crossJoin(F.broadcast(top))  # one row
     return given.unionByName(missing.withColumn(column, (F.col("_top") + F.col("_n")).cast(rows.schema[column].dataType)).select(*rows.columns))
 
 

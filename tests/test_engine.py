@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrystone.engine import Connection, SqlError, bind, markers
-from quarrystone.operators.dml import ConstraintError
+from quarrystone.operators.dml import ConstraintError, TableSchema
 from quarrystone.sources.catalog import Catalog, ConflictError
 from quarrystone.sources.formats import strip_boilerplate
 from quarrystone.streaming import windows
@@ -97,3 +97,107 @@ def test_streams_agree_with_batches(spark, tmp_path):
     assert got == windows.distinct_events(e, ["user_id", "event_type"]).count()
     totals = {r["user_id"]: r["n"] for r in _run(windows.running_totals(s), "update", "totals", tmp_path).collect()}
     assert totals == {r["user_id"]: r["count"] for r in e.groupBy("user_id").count().collect()}
+
+
+def test_commits_of_two_threads_are_both_there(spark, tmp_path):
+    """Transactions on different tables at the same moment: none that reported success is lost."""
+    import threading
+
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    schema = TableSchema(StructType([StructField("id", LongType())]))
+    for trial in range(25):
+        c = Catalog(spark, str(tmp_path / f"c{trial}"))
+        start, done = threading.Barrier(4), []
+
+        def work(name, c=c, start=start, done=done):
+            t = c.begin()
+            t.create_table(name, schema)
+            start.wait()
+            t.commit()
+            done.append(name)
+
+        threads = [threading.Thread(target=work, args=(f"t{i}",)) for i in range(4)]
+        for t in threads:
+            t.start()
+        for t in threads:
+            t.join()
+        assert len(done) == 4 and c.tables() == sorted(done) and c.versions() == [1, 2, 3, 4]
+        assert [r["version"] for r in c.log().collect()] == [1, 2, 3, 4]
+
+
+def test_inserts_add_folders(db):
+    db.execute("CREATE TABLE a (id INTEGER PRIMARY KEY, x TEXT)")
+    for i in range(3):
+        db.execute(f"INSERT INTO a VALUES ({i}, 'v{i}')")
+    first = db.catalog.version().snapshots["a"]
+    assert len(first) == 3 and db.query("SELECT * FROM a").count() == 3
+    db.execute("INSERT INTO a VALUES (3, 'v3')")
+    assert db.catalog.version().snapshots["a"][:3] == first
+    db.catalog.compact("a")
+    assert len(db.catalog.version().snapshots["a"]) == 1 and db.query("SELECT * FROM a").count() == 4
+    with pytest.raises(ConstraintError):
+        db.execute("INSERT INTO a VALUES (3, 'again')")
+
+
+def test_vacuum_spares_open_transactions(db):
+    """What a transaction has staged survives, what it dropped or left behind doesn't; the log stays whole."""
+    db.execute("CREATE TABLE v (id INTEGER)")
+    db.execute("INSERT INTO v VALUES (1)")
+    t = db.catalog.begin()
+    t.insert("v", db.spark.createDataFrame([(2,)], "id long"))
+    left = db.catalog.begin()
+    left.insert("v", db.spark.createDataFrame([(9,)], "id long"))
+    left.rollback()
+    before = db.catalog.log().collect()
+    assert db.catalog.vacuum() == 1
+    t.commit()
+    assert sorted(r["id"] for r in db.query("SELECT * FROM v").collect()) == [1, 2]
+    assert db.catalog.log().collect()[:-1] == before
+    stale = db.catalog.begin()
+    stale.delete("v")
+    assert db.catalog.vacuum(lease_s=0) >= 1
+    assert db.query("SELECT * FROM v").count() == 2
+
+
+def test_indexes(db):
+    db.execute("CREATE TABLE i (e TEXT, n INTEGER)")
+    db.execute("INSERT INTO i VALUES ('a', 1), ('b', 2), (NULL, 3), (NULL, 4)")
+    db.execute("CREATE UNIQUE INDEX u ON i (e)")
+    with pytest.raises(ConstraintError):
+        db.execute("INSERT INTO i VALUES ('a', 5)")
+    db.execute("CREATE INDEX byn ON i (n)")
+    with pytest.raises(ValueError, match="exists"):
+        db.execute("CREATE INDEX byn ON i (e)")
+    db.execute("DROP INDEX u")
+    db.execute("INSERT INTO i VALUES ('a', 1)")
+    with pytest.raises(ConstraintError):
+        db.execute("CREATE UNIQUE INDEX u ON i (e)")
+    assert db.query("SELECT * FROM i WHERE n = 1").count() == 2
+
+
+def test_alter(db):
+    db.execute("CREATE TABLE old (id INTEGER PRIMARY KEY, x TEXT)")
+    db.execute("INSERT INTO old VALUES (1, 'a')")
+    db.execute("ALTER TABLE old ADD COLUMN y INTEGER")
+    db.execute("ALTER TABLE old ADD z INTEGER DEFAULT 7")
+    db.execute("INSERT INTO old (id, x) VALUES (2, 'b')")
+    assert [tuple(r) for r in db.query("SELECT * FROM old ORDER BY id").collect()] == [(1, "a", None, 7), (2, "b", None, 7)]
+    with pytest.raises(ValueError, match="needed"):
+        db.execute("ALTER TABLE old DROP COLUMN id")
+    db.execute("ALTER TABLE old DROP COLUMN x")
+    db.execute("ALTER TABLE old RENAME TO new")
+    assert [tuple(r) for r in db.query("SELECT * FROM new ORDER BY id").collect()] == [(1, None, 7), (2, None, 7)]
+    with pytest.raises(ValueError, match="exists"):
+        db.execute("ALTER TABLE new ADD y TEXT")
+
+
+def test_ranks_by_ranges(spark):
+    from quarrystone.operators.dml import ranked
+
+    df = spark.createDataFrame([(i * 37 % 101, i % 3) for i in range(101)] + [(5, 0), (None, 1)], "a int, b int").repartition(5)
+    rows = ranked(df, ["a", "b"], "place").orderBy("place").collect()
+    assert [r["place"] for r in rows] == list(range(1, 104))
+    key = lambda r: (r["a"] is not None, r["a"] or 0, r["b"])
+    assert [key(r) for r in rows] == sorted(map(key, df.collect()))
+    assert ranked(df.limit(0), ["a"], "place").count() == 0
