@@ -60,8 +60,8 @@ CAUTION = 3.0
 #: A language has a limit of its own held-out documents from so many on.
 LEAST_HELD = 8
 
-#: Text that a block of asks covers, about.
-BLOCK_BYTES = 16 << 20
+#: Text that a block of asks covers at least; with what Arrow batches hold, a block is a batch of usual documents.
+BLOCK_BYTES = 6 << 20
 
 #: Text for each shard, about; there are no fewer shards than shuffle partitions.
 SHARD_BYTES = 256 << 20
@@ -69,6 +69,9 @@ SHARD_BYTES = 256 << 20
 #: Counts that a training task gathers before it merges them.
 MERGE_ROWS = 2_000_000
 
+#: Words that are scored at once.
+STEP = 1 << 18
+
 SPLIT = 8
 
 SPARE = 12
@@ -94,6 +97,12 @@ def _sums(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return keys[first], *(np.add.reduceat(v[order], first) if len(first) else v for v in values)
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Different numbers, sorted (sorting is faster here than the hash table of numpy.unique)."""
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
 def _shard(keys: np.ndarray, shards: int, bits: int = BITS) -> np.ndarray:
     """Equal ranges of keys of so many bits."""
     return (keys >> max(0, bits - 30)) * shards >> min(bits, 30)
@@ -308,16 +317,16 @@ class Block:
             x = words(d, offsets)
             data.append(d[offsets[0] : offsets[-1]])
             h.append(x[0])
-            start.append(x[1] - offsets[0] + base)
+            start.append(x[1] + np.int32(base - int(offsets[0])))
             length.append(x[2])
             counts.append(x[3])
             base += int(offsets[-1] - offsets[0])
         self.data, self.start, self.length, self.counts = (np.concatenate(x) for x in (data, start, length, counts))
         h = np.concatenate(h)
-        self.h, self.u = h >> (BITS - bits[WORDS]), before(h, self.counts)
-        self.pair = pair(self.u, h) >> (BITS - bits[PAIRS])
-        self.u >>= BITS - bits[WORDS]
-        self.asks = {PAIRS: np.unique(self.pair), WORDS: np.unique(np.r_[self.h, np.int64(BEGIN) >> (BITS - bits[WORDS])])}
+        self.pair = pair(before(h, self.counts), h) >> (BITS - bits[PAIRS])
+        self.h = h >> (BITS - bits[WORDS])
+        self.begin = BEGIN >> (BITS - bits[WORDS])
+        self.asks = {PAIRS: _distinct(self.pair), WORDS: _distinct(np.r_[self.h, np.int64(self.begin)])}
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], bits: dict[int, int]) -> Iterator[tuple[int, list[pa.RecordBatch], Block]]:
@@ -416,25 +425,41 @@ def _answers(path: str, pid: int) -> dict[int, list[dict]]:
 
 
 def log_probabilities(block: Block, told: dict[int, list[np.ndarray]], parameters: tuple) -> np.ndarray:
-    """Of each word after the one before it; told: the values of what the block asks for."""
+    """Of each word after the one before it; told: the values of what the block asks for. The block's arrays are used up."""
     discount, total, below, spelling = parameters
     asked = block.asks[WORDS]
-    at = np.searchsorted(asked, block.h)
+    out = np.empty(len(block.h))
+    steps = range(0, len(out), STEP)
+    at = np.concatenate([np.zeros(0, np.int32), *(np.searchsorted(asked, block.h[i : i + STEP]).astype(np.int32) for i in steps)])
     # Spellings of the different words, from one place of each.
     place = np.full(len(asked), -1)
     place[at] = np.arange(len(at))
-    spelt = place >= 0
-    code, first = spellings(block.data, block.start[place[spelt]], block.length[place[spelt]])
-    p1 = np.zeros(len(asked))
-    if len(code):
-        p1[spelt] = below * np.exp(np.add.reduceat(spelling.log(code), first))
-    context, once, twice, more, ends = told[WORDS]
-    p1 += _discounted(ends, discount[WORDS]) / total
-    left = (discount[PAIRS][0] * once + discount[PAIRS][1] * twice + discount[PAIRS][2] * more) / np.maximum(context, 1)
-    u = np.searchsorted(asked, block.u)
-    c = np.minimum(told[PAIRS][0][np.searchsorted(block.asks[PAIRS], block.pair)], context[u])
-    p2 = np.where(context[u] > 0, _discounted(c, discount[PAIRS]) / np.maximum(context[u], 1) + left[u] * p1[at], p1[at])
-    return np.log(np.maximum(p2, 1e-300))
+    spelt = np.flatnonzero(place >= 0)
+    p1 = _discounted(told[WORDS][4], discount[WORDS]) / total
+    for i in range(0, len(spelt), STEP // 8):
+        own = spelt[i : i + STEP // 8]
+        code, first = spellings(block.data, block.start[place[own]], block.length[place[own]])
+        p1[own] += below * np.exp(np.add.reduceat(spelling.log(code), first))
+    del place
+    block.h = block.start = block.length = None
+    context, once, twice, more, _ = told[WORDS]
+    left = np.where(context > 0, (discount[PAIRS][0] * once + discount[PAIRS][1] * twice + discount[PAIRS][2] * more) / np.maximum(context, 1), 1.0)
+    u = before(at, block.counts, np.searchsorted(asked, block.begin))
+    # Counts of the pairs: in their order, then back.
+    order = np.argsort(block.pair)
+    keys = block.pair[order]
+    which = np.zeros(len(order), np.int32)
+    np.cumsum(keys[1:] != keys[:-1], out=which[1:])
+    del keys
+    count = np.empty(len(order), np.int64)
+    count[order] = told[PAIRS][0][which]
+    del order, which
+    for i in steps:
+        x = u[i : i + STEP]
+        c = np.minimum(count[i : i + STEP], context[x])
+        p2 = _discounted(c, discount[PAIRS]) / np.maximum(context[x], 1) + left[x] * p1[at[i : i + STEP]]
+        out[i : i + STEP] = np.log(np.maximum(p2, 1e-300))
+    return out
 
 
 def _score(shared, path: str, bits: dict[int, int]):
@@ -451,8 +476,12 @@ def _score(shared, path: str, bits: dict[int, int]):
                 told[kind] = [np.concatenate([np.zeros(0, np.int64), *(unpack(r[v], r["n"]) for r in rows)]) for v in _VALUES[:width]]
             answers.pop(number, None)
             x = -log_probabilities(block, told, shared.value)
-            doc = np.repeat(np.arange(len(block.counts)), block.counts)
-            total, squares = np.bincount(doc, x, len(block.counts)), np.bincount(doc, x * x, len(block.counts))
+            first = np.cumsum(block.counts) - block.counts
+            some = block.counts > 0
+            total, squares = np.zeros(len(some)), np.zeros(len(some))
+            if len(x):
+                total[some] = np.add.reduceat(x, first[some])
+                squares[some] = np.add.reduceat(np.square(x, out=x), first[some])
             at = 0
             for b in parts:
                 own = slice(at, at + b.num_rows)

@@ -49,7 +49,8 @@ BEGIN = 1
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each word its hash, its first byte's place in data and its length in bytes; and the number of words of each text.
+    """Of each word its hash, its first byte's place in data (less than 2^31, as in an Arrow string array) and its length in
+    bytes; and the number of words of each text.
 
     Words are runs of ASCII letters, digits, "_" and bytes beyond ASCII; other visible characters are words of their own, and so are
     the characters U+3000 to U+9FFF (of scripts without spaces).
@@ -78,20 +79,20 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
             value[kind == 0] = 0
             h = mix(np.add.reduceat(value, start) * inverse[start])
         hashes.append((h >> np.uint64(64 - BITS)).astype(np.int64))
-        starts.append(start + offsets[i])
-        lengths.append(np.add.reduceat((kind > 0).astype(np.int64), start))
+        starts.append((start + offsets[i]).astype(np.int32))
+        lengths.append(np.add.reduceat(kind > 0, start, dtype=np.int32))
         counts[i:j] = np.diff(np.searchsorted(start, bounds))
     if not hashes:
-        none = np.zeros(0, np.int64)
-        return none, none, none, counts
+        none = np.zeros(0, np.int32)
+        return none.astype(np.int64), none, none, counts
     return np.concatenate(hashes), np.concatenate(starts), np.concatenate(lengths), counts
 
 
-def before(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Of each word the one before it in its text, or BEGIN."""
-    u = np.r_[np.int64(BEGIN), h[:-1]] if len(h) else h
-    first = np.r_[0, np.cumsum(counts)[:-1]][counts > 0]
-    u[first] = BEGIN
+def before(h: np.ndarray, counts: np.ndarray, begin: int = BEGIN) -> np.ndarray:
+    """Of each word (its hash or number) the one before it in its text, or begin."""
+    u = np.empty_like(h)
+    u[1:] = h[:-1]
+    u[(np.cumsum(counts) - counts)[counts > 0]] = begin
     return u
 
 
@@ -100,7 +101,7 @@ END, EDGE = 0xFE, 0xFF
 
 def spellings(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The three-byte codes of words and the place of each word's first code: every byte, and the end, after the two bytes before it."""
-    size = length + 1
+    start, size = start.astype(np.int64), length.astype(np.int64) + 1
     first = np.cumsum(size) - size
     o = np.arange(int(size.sum())) - np.repeat(first, size)
     at = np.repeat(start, size) + o
