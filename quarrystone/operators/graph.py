@@ -6,7 +6,7 @@ lost executor costs one round. Neighbourhood is undirected unless a direction is
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -59,11 +59,22 @@ class Graph:
 
     # Traversal.
 
-    def bfs(self, sources: DataFrame, max_depth: int | None = None, direction: str = "both") -> DataFrame:
-        """(source, id, depth, parent): each node reached from each source, with the least parent on a shortest path."""
+    def bfs(self, sources: DataFrame, max_depth: int | None = None, direction: str = "both", stop: DataFrame | None = None, visit: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+        """(source, id, depth, parent): each node reached from each source, with the least parent on a shortest path.
+
+        stop (id): a source whose search reaches one of these goes no deeper. visit is called with the rows of each depth and returns those from
+        which the search goes on.
+        """
         links = cut(self.links(direction))
         seen = cut(sources.select(F.col("id").alias("source"), F.col("id"), F.lit(0).alias("depth"), F.lit(None).cast("bigint").alias("parent")))
-        frontier, depth = seen, 0
+
+        def onwards(rows: DataFrame) -> DataFrame:
+            if stop is not None:
+                done = rows.join(stop.select("id"), "id", "left_semi").select("source").distinct()
+                rows = rows.join(done, "source", "left_anti").select(*seen.columns)
+            return rows if visit is None else visit(rows)
+
+        frontier, depth = onwards(seen), 0
         while max_depth is None or depth < max_depth:
             depth += 1
             reached = frontier.join(links, frontier["id"] == links["a"]).groupBy("source", F.col("b").alias("id")).agg(F.min("a").alias("parent"))
@@ -71,6 +82,7 @@ class Graph:
             if frontier.isEmpty():
                 break
             seen = cut(seen.unionByName(frontier))
+            frontier = onwards(frontier)
         return seen
 
     def dfs(self, start: int, max_depth: int | None = None) -> DataFrame:
@@ -191,13 +203,22 @@ class Graph:
         part = salted.select("sources", "pairs").mapInPandas(brandes, "id long, value double").groupBy("id").agg((F.sum("value") * scale).alias("value"))
         return self.nodes.select("id").join(part, "id", "left").select("id", F.coalesce("value", F.lit(0.0)).alias("value"))
 
-    def distances(self, sources: DataFrame, heuristic: DataFrame | None = None) -> DataFrame:
+    def distances(self, sources: DataFrame) -> DataFrame:
         """(source, id, distance, parent): least total weight over undirected edges of weight 0 or more.
 
-        Rounds of relaxation: each improves all nodes on the frontier at once. An admissible heuristic (id, h) can't change the result and
-        isn't needed to bound the work of a distributed relaxation; it is accepted so that callers of an A* search find their place.
+        Rounds of relaxation: each improves all nodes on the frontier at once.
+        """
+        return self._relax(sources, None, None)
+
+    def a_star(self, sources: DataFrame, goal: int, heuristic: DataFrame) -> DataFrame:
+        """(source, id, distance, parent) of one goal. heuristic (id, h): never more than the distance that is left.
+
+        The relaxation follows only nodes whose distance and heuristic together are less than the best distance to the goal so far;
+        nodes without a heuristic can't reach it.
         """
-        del heuristic
+        return self._relax(sources, goal, heuristic.select("id", "h")).where(F.col("id") == goal)
+
+    def _relax(self, sources: DataFrame, goal: int | None, heuristic: DataFrame | None) -> DataFrame:
         both = self.edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), "weight").unionByName(self.edges.select(F.col("dst").alias("a"), F.col("src").alias("b"), "weight"))
         links = cut(both.where("a <> b").groupBy("a", "b").agg(F.min("weight").alias("w")))
         best = cut(sources.select(F.col("id").alias("source"), "id", F.lit(0.0).alias("distance"), F.lit(None).cast("bigint").alias("parent")))
@@ -206,7 +227,11 @@ class Graph:
             step = frontier.join(links, frontier["id"] == links["a"]).select("source", F.col("b").alias("id"), (F.col("distance") + F.col("w")).alias("distance"), F.col("a").alias("parent"))
             tried = step.groupBy("source", "id").agg(F.min(F.struct("distance", "parent")).alias("x")).select("source", "id", "x.distance", "x.parent")
             old = best.select("source", "id", F.col("distance").alias("old"))
-            frontier = cut(tried.join(old, ["source", "id"], "left").where("old is null or distance < old - 1e-12").drop("old"))
+            frontier = tried.join(old, ["source", "id"], "left").where("old is null or distance < old - 1e-12").drop("old")
+            if heuristic is not None:
+                bound = best.where(F.col("id") == goal).select("source", F.col("distance").alias("bound"))
+                frontier = frontier.join(heuristic, "id").join(bound, "source", "left").where("bound is null or distance + h < bound").select("source", "id", "distance", "parent")
+            frontier = cut(frontier)
             if frontier.isEmpty():
                 return best
             best = cut(best.join(frontier.select("source", "id"), ["source", "id"], "left_anti").unionByName(frontier))
@@ -222,11 +247,24 @@ class Graph:
             label = cut(label.join(top, label["id"] == top["a"], "left").select("id", F.coalesce("new", "label").alias("label")))
         return label
 
+    def detect_communities(self, rounds: int = 10) -> DataFrame:
+        """(community, members) by label propagation."""
+        return self.label_propagation(rounds).groupBy(F.col("label").alias("community")).agg(F.count(F.lit(1)).alias("members"))
+
     def triangles(self) -> DataFrame:
-        """(id, n): triangles through each node."""
-        up = self.links().where("a < b")
+        """(id, n): triangles through each node.
+
+        Edges point from the node of fewer neighbours to that of more, so a node has at most about sqrt(2 * edges) of them and a hub
+        makes no square of its neighbours.
+        """
+        links = cut(self.links())
+        degree = links.groupBy("a").agg(F.count(F.lit(1)).alias("k"))
+        ends = links.join(degree, "a").join(degree.select(F.col("a").alias("b"), F.col("k").alias("j")), "b")
+        up = cut(ends.where("k < j or (k = j and a < b)").select("a", "b"))
         x, y, z = up.alias("x"), up.alias("y"), up.alias("z")
-        t = x.join(y, F.col("x.b") == F.col("y.a")).join(z, (F.col("z.a") == F.col("x.a")) & (F.col("z.b") == F.col("y.b")))
+        t = x.join(y, (F.col("x.a") == F.col("y.a")) & (F.col("x.b") < F.col("y.b")))
+        closed = F.least("z.a", "z.b") == F.col("x.b")
+        t = t.join(z, closed & (F.greatest("z.a", "z.b") == F.col("y.b")))
         return t.select(F.explode(F.array("x.a", "x.b", "y.b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
 
     def clustering(self) -> DataFrame:

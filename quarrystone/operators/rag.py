@@ -108,3 +108,15 @@ def keyword_hybrid(docs: DataFrame, id_col: str, text_col: str, keywords: list[s
     d = docs.select(F.col(id_col).alias("id"), F.coalesce(hit, F.lit(False)).alias("hit"))
     j = d.join(semantic.select("id", F.col("score").alias("s")), "id", "left").where("hit or s is not null")
     return j.select("id", (F.coalesce("s", F.lit(0.0)) * (1 - weight) + F.when(F.col("hit"), weight).otherwise(0.0)).alias("score"))
+
+
+def keyword_bonus(docs: DataFrame, id_col: str, text_col: str, keywords: list[str], semantic: DataFrame, weight: float) -> DataFrame:
+    """(src, dst, score): semantic scores (src, dst, score) times 1 - weight, plus weight where dst's document has any keyword.
+
+    Only the ids of the documents with a keyword are joined.
+    """
+    low, hit = F.lower(F.col(text_col)), F.lit(False)
+    for k in keywords:
+        hit = hit | low.contains(k.lower())
+    named = docs.where(hit).select(F.col(id_col).alias("dst"), F.lit(True).alias("hit")).distinct()
+    return semantic.join(named, "dst", "left").select("src", "dst", (F.col("score") * (1 - weight) + F.when(F.col("hit"), weight).otherwise(0.0)).alias("score"))

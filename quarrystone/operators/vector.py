@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,17 +35,19 @@ def knn(df: DataFrame, query: list[float], k: int, metric: str = "cosine", id_co
 def knn_join(queries: DataFrame, items: DataFrame, k: int, metric: str = "cosine", blocks: int | None = None, exclude_self: bool = True) -> DataFrame:
     """(src, dst, score, rank): for every query vector its k best items, exactly. Both sides have (id, vector).
 
-    Both sides are cut into blocks of about BLOCK_ROWS rows (but no fewer than keep all tasks busy); each pair of blocks is matrix products in
-    numpy, of which k rows per query leave, and the best k of all blocks remain. Nothing is broadcast; a task holds two blocks
-    and SLICE_ROWS rows of scores. Scores are rounded to 6 digits, ties go to the least id. Rows with a null vector, another
+    Both sides are cut into blocks of about BLOCK_ROWS rows, items in no fewer than keep all tasks busy; each pair of blocks is matrix
+    products in numpy, of which k rows per query leave, and the best k of all blocks remain. Few queries are one block, which
+    each item meets once. Nothing is broadcast; a task holds two blocks and SLICE_ROWS rows of scores. Scores are rounded to 6 digits, ties go to the least id. Rows with a null vector, another
     dimension or (cosine) no direction don't match.
     """
     spark = queries.sparkSession
-    n = blocks or max(2, round(int(spark.conf.get("spark.sql.shuffle.partitions")) ** 0.5), -(-max(queries.count(), items.count()) // BLOCK_ROWS))
-    q = queries.select(F.col("id").alias("id"), F.col("vector").cast("array<double>").alias("v"), F.lit(0).alias("side"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("own"))
-    i = items.select(F.col("id").alias("id"), F.col("vector").cast("array<double>").alias("v"), F.lit(1).alias("side"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("own"))
-    others = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("other")
-    cells = q.select("id", "v", "side", F.col("own").alias("r"), others).withColumnRenamed("other", "c").unionByName(i.select("id", "v", "side", F.col("own").alias("c"), others).withColumnRenamed("other", "r")).where("v is not null")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    nq = blocks or max(1, -(-queries.count() // BLOCK_ROWS))
+    ni = blocks or max(2, -(-tasks // nq), -(-items.count() // BLOCK_ROWS))
+    side = lambda df, n, own, other, m, kind: df.select(
+        F.col("id").alias("id"), F.col("vector").cast("array<double>").alias("v"), F.lit(kind).alias("side"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other)
+    )
+    cells = side(queries, nq, "r", "c", ni, 0).unionByName(side(items, ni, "c", "r", nq, 1)).where("v is not null")
 
     def scores(m: np.ndarray, w: np.ndarray) -> np.ndarray:
         if metric == "euclidean":
@@ -85,10 +89,14 @@ def planes(tables: int, hashes: int, dim: int, seed: int = 42) -> np.ndarray:
     return np.random.default_rng(seed).uniform(-1, 1, (tables, hashes, dim))
 
 
-def lsh_tables(cosine: float, hashes: int, recall: float) -> int:
-    """Tables of so many signs in which a pair of this cosine meets with a chance of recall: one sign agrees with 1 - angle / pi."""
-    meet = (1 - np.arccos(cosine) / np.pi) ** hashes
-    return int(np.ceil(np.log(1 - recall) / np.log(1 - meet)))
+def lsh_layout(n: int, cosine: float, recall: float) -> tuple[int, int, int]:
+    """(hashes, turns, tables) for n vectors: keys of about log2(n) signs, of which a query tries all with up to a quarter turned,
+    in as many tables as give a pair of this cosine a chance of recall to meet. One sign agrees with 1 - angle / pi."""
+    hashes = max(8, round(np.log2(max(n, 2))))
+    turns = hashes // 4
+    differ = float(np.arccos(cosine) / np.pi)
+    meet = sum(math.comb(hashes, i) * differ**i * (1 - differ) ** (hashes - i) for i in range(turns + 1))
+    return hashes, turns, max(1, int(np.ceil(np.log(1 - recall) / np.log(1 - meet))))
 
 
 def lsh_index(df: DataFrame, dim: int, tables: int = 4, hashes: int = 10, seed: int = 42) -> DataFrame:
@@ -106,19 +114,117 @@ def lsh_index(df: DataFrame, dim: int, tables: int = 4, hashes: int = 10, seed:
     return df.select("id", F.col("vector").cast("array<double>").alias("vector")).where(F.size("vector") == dim).mapInPandas(run, "id long, vector array<double>, keys array<long>")
 
 
-def lsh_join(index: DataFrame, k: int, threshold: float = 0.0) -> DataFrame:
-    """(src, dst, score, rank): of the vectors that share a bucket in any table, the k most alike by cosine."""
-    each = index.select("id", F.posexplode("keys").alias("t", "key"))
-    pairs = each.alias("a").join(each.alias("b"), ["t", "key"]).where("a.id < b.id").select(F.col("a.id").alias("src"), F.col("b.id").alias("dst")).distinct()
-    a = index.select(F.col("id").alias("src"), F.col("vector").alias("va"))
+def lsh_join(queries: DataFrame, index: DataFrame, k: int, threshold: float = 0.0, hashes: int = 10, turns: int = 0) -> DataFrame:
+    """(src, dst, score, rank): of the indexed vectors that a query meets in any table, the k most alike by cosine.
+
+    queries is an index of the asking vectors by the same planes. A vector is filed under one key a table; queries ask under
+    their key and those with up to turns signs turned, so the many rows aren't multiplied.
+    """
+    masks = F.array(*[F.lit(sum(1 << i for i in c)) for n in range(turns + 1) for c in itertools.combinations(range(hashes), n)])
+    asked = queries.select("id", F.posexplode("keys").alias("t", "own")).select("id", "t", F.explode(F.transform(masks, lambda m: m.cast("bigint").bitwiseXOR(F.col("own")))).alias("key"))
+    filed = index.select("id", F.posexplode("keys").alias("t", "key"))
+    pairs = asked.alias("a").join(filed.alias("b"), ["t", "key"]).where("a.id <> b.id").select(F.col("a.id").alias("src"), F.col("b.id").alias("dst")).distinct()
+    a = queries.select(F.col("id").alias("src"), F.col("vector").alias("va"))
     b = index.select(F.col("id").alias("dst"), F.col("vector").alias("vb"))
     scored = pairs.join(a, "src").join(b, "dst").select("src", "dst", F.round(V.cosine(F.col("va"), F.col("vb")), 6).alias("score")).where(F.col("score") >= threshold)
-    ends = F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))))
-    scored = scored.select(ends.alias("e"), "score").select("e.src", "e.dst", "score")
     w = Window.partitionBy("src").orderBy(F.desc("score"), "dst")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+class CellIndex:
+    """An index for approximate nearest neighbours: vectors by the nearest of about sqrt(n) centres, a search reads the nearest cells.
+
+    The centres are learned by ROUNDS rounds of k-means on a seeded sample of at most FIT vectors; every vector is indexed. How
+    many cells a search reads (ef) is measured at building: the least number with which the sample's own neighbours are found
+    with a share of RECALL. A cell that is larger than others is split over tasks by the join. Rows are (cell, id, vector); every
+    change gives a new index, so a reader keeps its version. Equal distances go to the least id.
+    """
+
+    FIT, ROUNDS, RECALL, SEED = 20_000, 8, 0.97, 7
+
+    def __init__(self, rows: DataFrame, centres: np.ndarray, ef: int, metric: str):
+        self.rows, self.centres, self.ef, self.metric = rows, centres, ef, metric
+
+    @classmethod
+    def build(cls, items: DataFrame, metric: str = "euclidean", k: int = 10) -> CellIndex:
+        """Of items (id, vector) of one dimension; those with another are refused by the cast to a matrix."""
+        n = items.count()
+        every = max(1, n // cls.FIT)
+        sample = items.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).orderBy(F.xxhash64("id"), "id").limit(cls.FIT)
+        x = cls._prepared(np.stack(sample.select(F.col("vector").cast("array<double>").alias("v")).toPandas()["v"].to_numpy()), metric) if n else np.zeros((0, 1))
+        if not n:
+            return cls(items.select(F.lit(0).alias("cell"), "id", F.col("vector").cast("array<double>").alias("vector")), np.zeros((1, 1)), 1, metric)
+        rng = np.random.default_rng(cls.SEED)
+        centres = x[rng.choice(len(x), min(len(x), max(1, round(n**0.5))), replace=False)].copy()
+        for _ in range(cls.ROUNDS):
+            own = cls._distances(x, centres).argmin(axis=1)
+            sums = np.zeros_like(centres)
+            np.add.at(sums, own, x)
+            count = np.bincount(own, minlength=len(centres))
+            centres = np.where(count[:, None] > 0, sums / np.maximum(count, 1)[:, None], centres)
+        index = cls(items.limit(0).select(F.lit(0).alias("cell"), "id", F.col("vector").cast("array<double>").alias("vector")), centres, 1, metric)
+        # How near a query's centre must be: the rank of the cells of its true neighbours.
+        asks = x[: min(len(x), 400)]
+        d = cls._distances(asks, x)
+        d[np.arange(len(asks)), np.arange(len(asks))] = np.inf
+        near = np.argsort(d, axis=1)[:, : min(k, max(1, len(x) - 1))]
+        cell = cls._distances(x, centres).argmin(axis=1)
+        rank = np.argsort(np.argsort(cls._distances(asks, centres), axis=1), axis=1)
+        needed = np.sort(np.take_along_axis(rank, cell[near], axis=1).ravel())
+        index.ef = int(needed[min(len(needed) - 1, math.ceil(cls.RECALL * len(needed)))]) + 1
+        return index.insert(items)
+
+    @staticmethod
+    def _prepared(x: np.ndarray, metric: str) -> np.ndarray:
+        """By cosine, vectors of length 1: their Euclidean order is that of the cosine."""
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) if metric == "cosine" else x
+
+    @staticmethod
+    def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0)
+
+    def _cells(self, rows: DataFrame, most: int) -> DataFrame:
+        """(cell, id, vector): each row in its most nearest cells."""
+        centres, metric = self.centres, self.metric
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if len(b):
+                    d = CellIndex._distances(CellIndex._prepared(np.stack(b["vector"].to_numpy()), metric), centres)
+                    cells = np.argsort(d, axis=1, kind="stable")[:, :most]
+                    at = np.repeat(np.arange(len(b)), cells.shape[1])
+                    yield pd.DataFrame({"cell": cells.ravel().astype(np.int32), "id": b["id"].to_numpy()[at], "vector": b["vector"].to_numpy()[at]})
+
+        return rows.select("id", F.col("vector").cast("array<double>").alias("vector")).where("vector is not null").mapInPandas(run, "cell int, id long, vector array<double>")
+
+    def insert(self, rows: DataFrame) -> CellIndex:
+        """Rows with an id that is there already are an error, as is one that is given twice."""
+        ids = rows.groupBy("id").count()
+        if not ids.where("count > 1").isEmpty() or not ids.join(self.rows.select("id"), "id", "left_semi").isEmpty():
+            raise ValueError("an id is in the index already")
+        return CellIndex(self.rows.unionByName(self._cells(rows, 1)), self.centres, self.ef, self.metric)
+
+    def delete(self, ids: DataFrame) -> CellIndex:
+        return CellIndex(self.rows.join(ids.select("id"), "id", "left_anti"), self.centres, self.ef, self.metric)
+
+    def contains(self, id_: int) -> bool:
+        return not self.rows.where(F.col("id") == id_).isEmpty()
+
+    def stats(self) -> DataFrame:
+        """(vectors, cells, largest, ef)."""
+        return self.rows.groupBy("cell").count().agg(F.coalesce(F.sum("count"), F.lit(0)).alias("vectors"), F.count(F.lit(1)).alias("cells"), F.max("count").alias("largest")).withColumn("ef", F.lit(self.ef))
+
+    def search(self, queries: DataFrame, k: int, ef: int | None = None, exclude_self: bool = True) -> DataFrame:
+        """(src, dst, score, rank): for each query (id, vector) its k best of the ef nearest cells; scores as in knn_join."""
+        asks = self._cells(queries, min(ef or self.ef, len(self.centres))).select("cell", F.col("id").alias("src"), F.col("vector").alias("va"))
+        met = asks.join(self.rows.select("cell", F.col("id").alias("dst"), F.col("vector").alias("vb")), "cell")
+        if exclude_self:
+            met = met.where("src <> dst")
+        score = V.cosine(F.col("va"), F.col("vb")) if self.metric == "cosine" else 1 / (1 + V.l2(F.col("va"), F.col("vb")))
+        w = Window.partitionBy("src").orderBy(F.desc("score"), "dst")
+        return met.select("src", "dst", F.round(score, 6).alias("score")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 class VectorStore:
     """Vectors by id with metadata; every change gives a new store, so a reader keeps its version (begin, rollback: keep the old one)."""
 
@@ -148,3 +254,7 @@ class VectorStore:
 
     def search(self, query: list[float], k: int, **how: float) -> DataFrame:
         return knn(self.rows, query, k, id_col="id", vector_col="vector", **how)
+
+    def search_all(self, queries: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
+        """(src, dst, score, rank): for every query (id, vector) its k best."""
+        return knn_join(queries, self.rows.select("id", "vector"), k, metric, exclude_self=False)

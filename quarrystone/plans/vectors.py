@@ -21,6 +21,12 @@ def _embeddings(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
 
 
+def _queries(spark: SparkSession, sf: str) -> DataFrame:
+    """What searches ask for: every row whose id is divisible by 50, against all rows."""
+    return _embeddings(spark, sf).where(F.col("id") % 50 == 0)
+
+
+_Q = "q AS (SELECT * FROM e WHERE id % 50 = 0)"
 _E = "e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings)"
 _COSINE = "round(list_cosine_similarity(a.v, b.v), 6)"
 
@@ -57,88 +63,103 @@ def v5_normalize(spark: SparkSession, sf: str) -> DataFrame:
     return _embeddings(spark, sf).select("id", F.round(V.norm(v), 6).alias("norm"), F.transform(V.normalize(v), lambda x: F.round(x, 6)).alias("unit"), V.is_finite(v).alias("finite"))
 
 
-@query(f"WITH {_E} SELECT id, [0.0::DOUBLE, 0.0::DOUBLE] AS zero, [1.0::DOUBLE, 2.0::DOUBLE] AS made FROM e")
+@query(f"WITH {_E} SELECT id, round(list_inner_product(v, list_resize([1.0::DOUBLE, 2.0], 64, 0.0)), 6) AS made, round(list_distance(v, list_resize([0.0::DOUBLE], 64, 0.0)), 6) AS from_zero FROM e")
 def v6_factory(spark: SparkSession, sf: str) -> DataFrame:
-    return _embeddings(spark, sf).select("id", V.zero(2).alias("zero"), V.create([1, 2]).alias("made"))
+    """Vectors that are made, with those of the table: a product with one, the distance from zero."""
+    v = F.col("vector")
+    return _embeddings(spark, sf).select("id", F.round(V.dot(v, V.create([1, 2] + [0] * 62)), 6).alias("made"), F.round(V.l2(v, V.zero(64)), 6).alias("from_zero"))
 
 
 def _near(threshold: str = "-2", k: int = 5, a: str = "e", b: str = "e", where: str = "a.id <> b.id", score: str = _COSINE) -> str:
     return f"(SELECT * FROM (SELECT a.id AS src, b.id AS dst, {score} AS score, row_number() OVER (PARTITION BY a.id ORDER BY {score} DESC, b.id) AS rank FROM {a} a JOIN {b} b ON {where}) WHERE rank <= {k} AND score >= {threshold})"
 
 
-@query(f"WITH {_E} SELECT * FROM {_near('0.5', 10)}")
+@query(f"WITH {_E}, {_Q} SELECT * FROM {_near('0.3', 10, a='q')}")
 def v7_linear_search(spark: SparkSession, sf: str) -> DataFrame:
-    """Every vector as a query: up to ten others with a cosine of 0.5 or more."""
-    e = _embeddings(spark, sf)
-    return S.knn_join(e, e, 10).where("score >= 0.5").select("src", "dst", "score", F.col("rank").cast("bigint").alias("rank"))
+    """Up to ten others with a cosine of 0.3 or more."""
+    return S.knn_join(_queries(spark, sf), _embeddings(spark, sf), 10).where("score >= 0.3").select("src", "dst", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query()
 def v8_lsh_search(spark: SparkSession, sf: str) -> DataFrame:
-    """The same by hashing: approximate, so without SQL. A pair at the threshold is found with a chance of 0.95."""
+    """The same by hashing, with a cosine of 0.5 or more: approximate, so without SQL. A pair at the threshold is found with a chance of 0.95."""
     e = _embeddings(spark, sf)
-    return S.lsh_join(cut(S.lsh_index(e, 64, tables=S.lsh_tables(0.5, 8, 0.95), hashes=8)), 10, 0.5)
+    hashes, turns, tables = S.lsh_layout(e.count(), 0.5, 0.95)
+    index = cut(S.lsh_index(e, 64, tables, hashes))
+    return S.lsh_join(index.where(F.col("id") % 50 == 0), index, 10, 0.5, hashes, turns)
 
 
-@query("SELECT count(*) AS stored, count(*) FILTER (WHERE label = 3) AS found FROM embeddings")
+@query(f"WITH {_E}, {_Q}, few AS (SELECT * FROM e WHERE label < 5) SELECT src, dst, score, rank FROM {_near(k=3, a='q', b='few', where='true')}")
 def v9_engine(spark: SparkSession, sf: str) -> DataFrame:
     rows = load(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"), F.create_map(F.lit("label"), F.col("label").cast("string")).alias("metadata"))
     store = S.VectorStore(spark.createDataFrame([], S.VectorStore.SCHEMA)).store(rows)
-    return store.rows.agg(F.count(F.lit(1)).alias("stored"), F.count_if(F.col("metadata")["label"] == "3").alias("found"))
+    some = store.rows.where(F.col("metadata")["label"].cast("int") < 5)
+    return S.VectorStore(some).search_all(_queries(spark, sf), 3).select("src", "dst", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
-@query(f"WITH {_E} SELECT * FROM {_near()}")
+@query(f"WITH {_E}, {_Q} SELECT * FROM {_near(a='q')}")
 def v10_knn(spark: SparkSession, sf: str) -> DataFrame:
-    e = _embeddings(spark, sf)
-    return S.knn_join(e, e, 5).select("src", "dst", "score", F.col("rank").cast("bigint").alias("rank"))
+    return S.knn_join(_queries(spark, sf), _embeddings(spark, sf), 5).select("src", "dst", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
-@query(f"WITH {_E} SELECT * FROM {_near(score='round(list_inner_product(a.v, b.v), 6)')}")
+@query(f"WITH {_E}, {_Q} SELECT * FROM {_near(a='q', score='round(list_inner_product(a.v, b.v), 6)')}")
 def v10_knn_dot(spark: SparkSession, sf: str) -> DataFrame:
+    return S.knn_join(_queries(spark, sf), _embeddings(spark, sf), 5, "dot").select("src", "dst", "score", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query()
+def i6_cell_index(spark: SparkSession, sf: str) -> DataFrame:
+    """Ten neighbours of each query by an index of cells: approximate, so without SQL."""
+    index = S.CellIndex.build(_embeddings(spark, sf))
+    return index.search(_queries(spark, sf), 10).select("src", "dst", "score", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("SELECT count(*) FILTER (WHERE vec_id % 7 <> 3) AS vectors FROM embeddings")
+def i6_index_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """Half of the vectors are inserted after the index was built, and some are deleted."""
     e = _embeddings(spark, sf)
-    return S.knn_join(e, e, 5, "dot").select("src", "dst", "score", F.col("rank").cast("bigint").alias("rank"))
+    index = S.CellIndex.build(e.where("id % 2 = 0")).insert(e.where("id % 2 = 1")).delete(e.where("id % 7 = 3"))
+    return index.stats().select("vectors")
 
 
-@query(f"WITH {_E} SELECT * FROM {_near(score='round(1 / (1 + list_distance(a.v, b.v)), 6)')}")
+@query(f"WITH {_E}, {_Q} SELECT * FROM {_near(a='q', score='round(1 / (1 + list_distance(a.v, b.v)), 6)')}")
 def v11_knn_euclidean(spark: SparkSession, sf: str) -> DataFrame:
-    """The neighbours that a layered graph index looks for, exactly."""
-    e = _embeddings(spark, sf)
-    return S.knn_join(e, e, 5, "euclidean").select("src", "dst", "score", F.col("rank").cast("bigint").alias("rank"))
+    """The neighbours by distance, exactly."""
+    return S.knn_join(_queries(spark, sf), _embeddings(spark, sf), 5, "euclidean").select("src", "dst", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
-@query(f"WITH {_E}, {_CENTROIDS} SELECT id, round(list_cosine_similarity(v, (SELECT v FROM c ORDER BY id LIMIT 1)), 6) AS score FROM e ORDER BY list_cosine_similarity(v, (SELECT v FROM c ORDER BY id LIMIT 1)) DESC, id LIMIT 10")
+@query(f"WITH {_E}, {_Q} SELECT src, dst, score, rank FROM {_near(k=10, a='q', where='true')}")
 def v12_similarity_search(spark: SparkSession, sf: str) -> DataFrame:
-    """The command over a table: the ten rows most like the first label's centre."""
+    """The command over a table, for every query: its ten most like rows."""
     c = Connection.open_in_memory(spark)
     c.execute("CREATE TABLE items (id INTEGER PRIMARY KEY, vector VECTOR[64])")
     c.catalog.insert("items", _embeddings(spark, sf))
-    centre = _centroids(spark, sf).orderBy("id").first()["vector"]
-    return c.similarity_search("items", "vector", centre, 10, "id").select("id", F.round("score", 6).alias("score"))
+    return c.similarity_join("items", "vector", _queries(spark, sf), 10, "id").select("src", "dst", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
-@query(f"WITH {_E}, {_CENTROIDS} SELECT id, round(list_distance(v, (SELECT v FROM c ORDER BY id LIMIT 1)), 6) AS distance FROM e ORDER BY distance, id LIMIT 20")
+@query(f"WITH {_E}, {_Q} SELECT src, dst, round(1 / score - 1, 3) AS distance FROM {_near(k=20, a='q', score='round(1 / (1 + list_distance(a.v, b.v)), 6)')}")
 def v13_vector_distance(spark: SparkSession, sf: str) -> DataFrame:
-    """The 20 vectors nearest to the first label's centre."""
-    c = F.broadcast(_centroids(spark, sf).orderBy("id").limit(1).select(F.col("vector").alias("w")))  # one row
-    return _embeddings(spark, sf).crossJoin(c).select("id", F.round(V.l2(F.col("vector"), F.col("w")), 6).alias("distance")).orderBy("distance", "id").limit(20)
+    """The 20 nearest vectors of every query, with their distance."""
+    near = S.knn_join(_queries(spark, sf), _embeddings(spark, sf), 20, "euclidean")
+    return near.select("src", "dst", F.round(1 / F.col("score") - 1, 3).alias("distance"))
 
 
-@query("SELECT vec_id AS id, CASE WHEN label = 1 THEN 2 ELSE 1 END AS parts FROM embeddings WHERE label <> 0")
+@query(f"WITH {_E}, changed AS (SELECT id, CASE WHEN label = 1 THEN list_transform(v, lambda x: -2 * x) ELSE v END AS v FROM e WHERE label <> 0) SELECT id, len(v) AS parts, round(list_sum(v), 6) AS total FROM changed")
 def v14_store_changes(spark: SparkSession, sf: str) -> DataFrame:
     """Upsert of one label's vectors, deletion of another's."""
-    e = load(spark, sf, "embeddings")
-    none = F.create_map().cast("map<string,string>")
-    store = S.VectorStore(e.select(F.col("vec_id").alias("id"), F.array(F.lit(0.0)).alias("vector"), none.alias("metadata")))
-    store = store.store(e.where("label = 1").select(F.col("vec_id").alias("id"), F.array(F.lit(0.0), F.lit(1.0)).alias("vector"), none.alias("metadata")))
-    return store.delete(e.where("label = 0").select(F.col("vec_id").alias("id"))).rows.select("id", F.size("vector").alias("parts"))
+    rows = load(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"), F.create_map().cast("map<string,string>").alias("metadata"), "label")
+    store = S.VectorStore(rows.drop("label"))
+    store = store.store(rows.where("label = 1").withColumn("vector", F.transform("vector", lambda x: -2 * x)).drop("label")).delete(rows.where("label = 0"))
+    return store.rows.select("id", F.size("vector").cast("bigint").alias("parts"), F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
-@query("SELECT vec_id AS id FROM embeddings")
+@query(f"WITH {_E} SELECT id, round(list_sum(v), 6) AS before, CASE WHEN label = 3 THEN NULL ELSE round(list_sum(v), 6) END AS staged FROM e")
 def v15_rollback(spark: SparkSession, sf: str) -> DataFrame:
-    """A deletion that is rolled back: the store of before is still there."""
+    """A deletion that is rolled back: the staged store lacks a label's vectors, the store of before has all."""
+    total = F.round(F.aggregate(F.col("vector").cast("array<double>"), F.lit(0.0), lambda a, x: a + x), 6)
     before = S.VectorStore(_embeddings(spark, sf))
-    before.delete(before.list_ids())
-    return before.list_ids()
+    staged = before.delete(load(spark, sf, "embeddings").where("label = 3").select(F.col("vec_id").alias("id")))
+    return before.rows.select("id", total.alias("before")).join(staged.rows.select("id", total.alias("staged")), "id", "left")
 
 
 # Graphs.
@@ -195,9 +216,19 @@ def g9_visitor(spark: SparkSession, sf: str) -> DataFrame:
     return g.bfs(g.nodes.select("id"), 3)
 
 
-@query()
+@query(f"WITH RECURSIVE {_EDGES}, {_WALK.format(6)}, goal AS (SELECT t.source, min(depth) AS found FROM tree t JOIN e ON e.id = t.id WHERE e.label = 7 GROUP BY t.source) SELECT t.source, t.id, t.depth FROM tree t LEFT JOIN goal g ON g.source = t.source WHERE t.depth <= coalesce(g.found, 6)")
+def g9_early_stop(spark: SparkSession, sf: str) -> DataFrame:
+    """A visitor that stops a source's search at the first depth that has a node of a label, six steps deep at most."""
+    g = _graph(spark, sf)
+    return g.bfs(g.nodes.select("id"), 6, stop=g.nodes.where("label = 7").select("id")).select("source", "id", "depth")
+
+
+_TREE = "far(id, depth) AS (SELECT min(id), 0 FROM e UNION SELECT b, depth + 1 FROM far JOIN links ON id = a WHERE depth < 24), least AS (SELECT id, min(depth) AS depth FROM far GROUP BY id)"
+
+
+@query(f"WITH RECURSIVE {_EDGES}, {_TREE}, back(id, depth) AS (SELECT id, depth FROM least WHERE id = (SELECT max(id) FROM e) UNION ALL SELECT p.id, p.depth FROM back JOIN LATERAL (SELECT l.id, l.depth FROM least l JOIN links k ON k.a = l.id WHERE k.b = back.id AND l.depth = back.depth - 1 ORDER BY l.id LIMIT 1) p ON true) SELECT CAST(depth AS INTEGER) AS place, id FROM back")
 def g4_shortest_path(spark: SparkSession, sf: str) -> DataFrame:
-    """From the least node to the greatest, as (place, id)."""
+    """From the least node to the greatest, as (place, id); of several the one with the least nodes, from the end."""
     g = _graph(spark, sf)
     ends = g.nodes.agg(F.min("id"), F.max("id")).first()
     return spark.createDataFrame(list(enumerate(g.shortest_path(ends[0], ends[1]))), "place int, id long")
@@ -214,13 +245,14 @@ def g6_count_relationship(spark: SparkSession, sf: str) -> DataFrame:
     return _graph(spark, sf).count_nodes_with_relationship()
 
 
-@query("SELECT count(*) AS before, count(*) + 1 AS staged FROM embeddings")
+@query(f"WITH {_EDGES} SELECT count(*) AS before, count(*) + 1 AS staged, (SELECT count(*) FROM edges) AS edges_before, (SELECT count(*) FROM edges WHERE weight <= 0.6) + 1 AS edges_staged FROM e")
 def g7_transaction(spark: SparkSession, sf: str) -> DataFrame:
-    """A staged node is seen in the staged graph only."""
-    nodes = load(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label")
-    g = Graph(nodes, None)
-    staged = Graph(nodes, None).add_nodes(spark.createDataFrame([(-1, 0)], "id long, label int"))
-    return g.nodes.agg(F.count(F.lit(1)).alias("before")).crossJoin(staged.nodes.agg(F.count(F.lit(1)).alias("staged")))
+    """A staged node, its edge and removed edges are seen in the staged graph only; an edge to nowhere isn't taken."""
+    g = _graph(spark, sf)
+    some = g.nodes.agg(F.min("id")).first()[0]
+    staged = g.remove_edges(F.col("weight") > 0.6).add_nodes(spark.createDataFrame([(-1, 0)], "id long, label int")).add_edges(spark.createDataFrame([(-1, some, "new", 1.0), (-1, -2, "new", 1.0)], "src long, dst long, rel string, weight double"))
+    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    return n(g.nodes, "before").crossJoin(n(staged.nodes, "staged")).crossJoin(n(g.edges, "edges_before")).crossJoin(n(staged.edges, "edges_staged"))
 
 
 @query(f"WITH {_EDGES} SELECT src, dst, rel, weight FROM edges")
@@ -257,20 +289,24 @@ def g13_betweenness(spark: SparkSession, sf: str) -> DataFrame:
     return _graph(spark, sf).betweenness_centrality().select("id", F.round("value", 9).alias("value"))
 
 
-@query()
+_RELAX = "both_ways AS (SELECT a, b, min(w) AS w FROM (SELECT src AS a, dst AS b, weight AS w FROM edges UNION ALL SELECT dst, src, weight FROM edges) WHERE a <> b GROUP BY a, b), relax(id, distance, hop) AS (SELECT min(id), 0.0::DOUBLE, 0 FROM e UNION ALL SELECT b, min(distance + w), any_value(hop) + 1 FROM (SELECT id, min(distance) AS distance, any_value(hop) AS hop FROM relax GROUP BY id) JOIN both_ways ON id = a WHERE hop < 24 GROUP BY b), best AS (SELECT id, min(distance) AS distance FROM relax GROUP BY id)"
+
+
+@query(f"WITH RECURSIVE {_EDGES}, {_RELAX} SELECT (SELECT min(id) FROM e) AS source, id, round(distance, 6) AS distance FROM best")
 def g14_dijkstra(spark: SparkSession, sf: str) -> DataFrame:
     """Distances from the least node."""
     g = _graph(spark, sf)
-    return g.distances(g.nodes.orderBy("id").limit(1)).select("source", "id", F.round("distance", 6).alias("distance"), "parent")
+    return g.distances(g.nodes.orderBy("id").limit(1)).select("source", "id", F.round("distance", 6).alias("distance"))
 
 
-@query()
+@query(f"WITH RECURSIVE {_EDGES}, {_RELAX} SELECT (SELECT min(id) FROM e) AS source, id, round(distance, 6) AS distance FROM best WHERE id = (SELECT max(id) FROM e)")
 def g15_astar(spark: SparkSession, sf: str) -> DataFrame:
-    """The distance to one goal; an admissible heuristic gives the same."""
+    """The distance to one goal. The heuristic is the number of steps that are left, times the least weight: never too much."""
     g = _graph(spark, sf)
     goal = g.nodes.agg(F.max("id")).first()[0]
-    zero = g.nodes.select("id", F.lit(0.0).alias("h"))
-    return g.distances(g.nodes.orderBy("id").limit(1), zero).where(F.col("id") == goal).select("source", "id", F.round("distance", 6).alias("distance"))
+    least = g.edges.agg(F.min("weight")).first()[0] or 0.0
+    steps = g.bfs(g.nodes.where(F.col("id") == goal)).select("id", (F.col("depth") * least).alias("h"))
+    return g.a_star(g.nodes.orderBy("id").limit(1), goal, steps).select("source", "id", F.round("distance", 6).alias("distance"))
 
 
 _LABELS = ", ".join(
@@ -307,7 +343,27 @@ def g18_is_connected(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(_graph(spark, sf).is_connected(),)], "connected boolean")
 
 
-@query()
+@query(f"WITH RECURSIVE {_EDGES}, l0 AS (SELECT id, id AS label FROM e), {_LABELS} SELECT label AS community, count(*) AS members FROM l3 GROUP BY label")
+def g18_communities(spark: SparkSession, sf: str) -> DataFrame:
+    """Communities by label propagation, and their sizes."""
+    return _graph(spark, sf).detect_communities(3)
+
+
+@query(f"WITH RECURSIVE {_EDGES}, {_TREE}, trails(path, id, depth) AS (SELECT [id], id, depth FROM least WHERE depth = 0 UNION ALL SELECT list_append(t.path, l.id), l.id, l.depth FROM trails t JOIN links k ON k.a = t.id JOIN least l ON l.id = k.b AND l.depth = t.depth + 1) SELECT path FROM trails WHERE id = (SELECT max(id) FROM e)")
+def g18_all_shortest_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """Every path of the least number of edges from the least node to the greatest."""
+    g = _graph(spark, sf)
+    ends = g.nodes.agg(F.min("id"), F.max("id")).first()
+    return g.all_shortest_paths(ends[0], ends[1])
+
+
+@query(f"WITH RECURSIVE {_EDGES}, {_RELAX} SELECT id, round(distance, 6) AS distance FROM best WHERE distance <= 1.5")
+def g18_within_distance(spark: SparkSession, sf: str) -> DataFrame:
+    g = _graph(spark, sf)
+    return g.within(g.nodes.orderBy("id").limit(1), 1.5).select("id", F.round("distance", 6).alias("distance"))
+
+
+@query(f"WITH {_EDGES}, p1 AS (SELECT src AS first_node, dst AS last, [src, dst] AS path, weight FROM edges WHERE src <> dst), p2 AS (SELECT first_node, e.dst AS last, list_append(path, e.dst) AS path, p1.weight + e.weight AS weight FROM p1 JOIN edges e ON e.src = last WHERE NOT list_contains(path, e.dst)), p3 AS (SELECT first_node, e.dst AS last, list_append(path, e.dst) AS path, p2.weight + e.weight AS weight FROM p2 JOIN edges e ON e.src = last WHERE NOT list_contains(path, e.dst)), p4 AS (SELECT first_node, e.dst AS last, list_append(path, e.dst) AS path, p3.weight + e.weight AS weight FROM p3 JOIN edges e ON e.src = last WHERE NOT list_contains(path, e.dst)), found AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3 UNION ALL SELECT * FROM p4) SELECT path, round(weight, 6) AS weight FROM found WHERE (first_node, last) = (SELECT (src, dst) FROM edges ORDER BY src, dst LIMIT 1) ORDER BY found.weight, path LIMIT 5")
 def g18_k_shortest_paths(spark: SparkSession, sf: str) -> DataFrame:
     g = _graph(spark, sf)
     e = g.edges.orderBy("src", "dst").first()
@@ -336,20 +392,19 @@ def r2_semantic(spark: SparkSession, sf: str) -> DataFrame:
     return features.select("doc_id", F.transform("features", lambda x: F.round(x, 6)).alias("features"))
 
 
-@query(f"WITH {_E} SELECT src, dst, score, rank FROM {_near('0.5', 10, where='true')}")
+@query(f"WITH {_E}, {_Q} SELECT src, dst, score, rank FROM {_near('0.3', 10, a='q', where='true')}")
 def r3_graphrag(spark: SparkSession, sf: str) -> DataFrame:
-    e = _embeddings(spark, sf)
-    return rag.graphrag_query(e, e, 0.5, 10).select("src", "dst", "score", F.col("rank").cast("bigint").alias("rank"))
+    return rag.graphrag_query(_embeddings(spark, sf), _queries(spark, sf), 0.3, 10).select("src", "dst", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
-@query("SELECT vec_id AS id, CASE WHEN label = 2 THEN 1 ELSE 64 END AS parts FROM embeddings UNION ALL SELECT -1, 1")
+@query(f"WITH {_E} SELECT id, CASE WHEN label = 2 THEN 1 ELSE 64 END AS parts, round(CASE WHEN label = 2 THEN 1.0 ELSE list_sum(v) END, 6) AS total FROM e UNION ALL SELECT -1, 1, 1.0")
 def r4_update_documents(spark: SparkSession, sf: str) -> DataFrame:
     """A document is added and some embeddings are replaced."""
     e = load(spark, sf, "embeddings")
     none = F.create_map().cast("map<string,string>")
     store = S.VectorStore(e.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"), none.alias("metadata")))
     new = e.where("label = 2").select(F.col("vec_id").alias("id")).union(spark.createDataFrame([(-1,)], "id long"))
-    return store.store(new.select("id", F.array(F.lit(1.0)).alias("vector"), none.alias("metadata"))).rows.select("id", F.size("vector").alias("parts"))
+    return store.store(new.select("id", F.array(F.lit(1.0)).alias("vector"), none.alias("metadata"))).rows.select("id", F.size("vector").alias("parts"), F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
 @query(f"WITH {_EDGES} SELECT x.src AS source, y.dst AS id, [x.src, x.dst, y.dst] AS path FROM edges x JOIN edges y ON x.dst = y.src WHERE y.dst <> x.src AND x.dst <> x.src AND y.dst <> y.src UNION ALL SELECT src, dst, [src, dst] FROM edges")
@@ -358,10 +413,10 @@ def r5_reasoning_paths(spark: SparkSession, sf: str) -> DataFrame:
     return g.paths(g.nodes.select("id"), 2).select("source", "id", "path")
 
 
-_HYBRID = """WITH {e}, {c}, near AS (SELECT src, dst, 1 / rank AS vector_score FROM {near}{only}), graph AS (SELECT src, dst, score AS graph_score FROM {graph}),
+_HYBRID = """WITH {e}, {q}, near AS (SELECT src, dst, 1 / rank AS vector_score FROM {near}{only}), graph AS (SELECT src, dst, score AS graph_score FROM {graph}),
 mixed AS (SELECT coalesce(n.src, g.src) AS src, coalesce(n.dst, g.dst) AS dst, 0.5 * coalesce(vector_score, 0) + 0.5 * coalesce(graph_score, 0) AS hybrid_score, vector_score, graph_score FROM near n FULL JOIN graph g ON n.src = g.src AND n.dst = g.dst)
 SELECT src, dst, round(hybrid_score, 8) AS hybrid_score, round(vector_score, 6) AS vector_score, graph_score FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY hybrid_score DESC, dst) AS r FROM mixed) WHERE r <= 20"""
-_PARTS = {"e": _E, "c": _CENTROIDS, "near": _near(k=20, a="c", where="true"), "graph": _near("0.3", 3, a="c", where="true")}
+_PARTS = {"e": _E, "q": _Q, "near": _near(k=20, a="q", where="true"), "graph": _near("0.3", 3, a="q", where="true")}
 _SETTINGS = rag.HybridConfig(similarity_threshold=0.3)
 
 
@@ -371,16 +426,16 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 @query(_HYBRID.format(only="", **_PARTS))
 def r6_hybrid(spark: SparkSession, sf: str) -> DataFrame:
-    """The labels' centres ask; vector and graph relevance are weighted alike."""
+    """Vector and graph relevance are weighted alike."""
     e = _embeddings(spark, sf)
-    return _rounded(rag.hybrid_query(e, e, _centroids(spark, sf), _SETTINGS))
+    return _rounded(rag.hybrid_query(e, e, _queries(spark, sf), _SETTINGS))
 
 
 @query(_HYBRID.format(only=" WHERE dst IN (SELECT id FROM e WHERE label < 5)", **_PARTS))
 def r7_hybrid_entities(spark: SparkSession, sf: str) -> DataFrame:
     e = _embeddings(spark, sf)
     entities = load(spark, sf, "embeddings").where("label < 5").select(F.col("vec_id").alias("id"))
-    return _rounded(rag.hybrid_query(e, e, _centroids(spark, sf), _SETTINGS, entities))
+    return _rounded(rag.hybrid_query(e, e, _queries(spark, sf), _SETTINGS, entities))
 
 
 @query("SELECT event_id, round(value * (1 / (1 + 0.1 * length(event_type))) * (1 + least(0.05 * (user_id % 20), 0.5)), 9) AS score FROM events")
@@ -393,24 +448,21 @@ def x10_full_text(spark: SparkSession, sf: str) -> DataFrame:
     return rag.relevance(load(spark, sf, "documents"), "doc_id", "text", ["license", "attion", "erineer"]).select("id", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {_E}, {_CENTROIDS}, s AS (SELECT b.id, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM (SELECT * FROM c ORDER BY id LIMIT 1) a CROSS JOIN e b) SELECT doc_id AS id, round(coalesce(score, 0) * 0.7 + CASE WHEN contains(lower(text), 'license') OR contains(lower(text), 'rights') THEN 0.3 ELSE 0 END, 8) AS score FROM documents LEFT JOIN s ON s.id = doc_id WHERE contains(lower(text), 'license') OR contains(lower(text), 'rights') OR score IS NOT NULL")
+@query(f"WITH {_E}, {_Q}, s AS (SELECT src, dst, score FROM {_near(k=20, a='q', where='true')}), hit AS (SELECT doc_id FROM documents WHERE contains(lower(text), 'license') OR contains(lower(text), 'rights')) SELECT src, dst, round(score * 0.7 + CASE WHEN doc_id IS NULL THEN 0 ELSE 0.3 END, 8) AS score FROM s LEFT JOIN hit ON doc_id = dst")
 def r10_keyword_hybrid(spark: SparkSession, sf: str) -> DataFrame:
-    """Semantic score by the first label's centre, with a bonus for keywords."""
-    c = F.broadcast(_centroids(spark, sf).orderBy("id").limit(1).select(F.col("vector").alias("w")))  # one row
-    semantic = _embeddings(spark, sf).crossJoin(c).select("id", F.round(V.cosine(F.col("vector"), F.col("w")), 6).alias("score"))
-    return rag.keyword_hybrid(load(spark, sf, "documents"), "doc_id", "text", ["license", "rights"], semantic, 0.3).select("id", F.round("score", 8).alias("score"))
+    """The 20 rows most like each query, with a bonus for those whose document has a keyword."""
+    semantic = S.knn_join(_queries(spark, sf), _embeddings(spark, sf), 20, exclude_self=False)
+    return rag.keyword_bonus(load(spark, sf, "documents"), "doc_id", "text", ["license", "rights"], semantic, 0.3).select("src", "dst", F.round("score", 8).alias("score"))
 
 
-@query(f"WITH {_E} SELECT n.src, n.dst, n.score FROM {_near(k=5)} n JOIN e ON e.id = n.dst WHERE e.label = 4 AND n.score >= 0.1")
+@query(f"WITH {_E}, {_Q} SELECT n.src, n.dst, n.score FROM {_near(k=5, a='q')} n JOIN e ON e.id = n.dst WHERE e.label = 4 AND n.score >= 0.1")
 def r11_filtered_scores(spark: SparkSession, sf: str) -> DataFrame:
     """A stream of scores, filtered by the node's kind and by similarity."""
-    e = _embeddings(spark, sf)
     kind = load(spark, sf, "embeddings").where("label = 4").select(F.col("vec_id").alias("dst"))
-    return S.knn_join(e, e, 5).where("score >= 0.1").join(kind, "dst", "left_semi").select("src", "dst", "score")
+    return S.knn_join(_queries(spark, sf), _embeddings(spark, sf), 5).where("score >= 0.1").join(kind, "dst", "left_semi").select("src", "dst", "score")
 
 
-@query(f"WITH {_E} SELECT src, dst, score FROM {_near('0.5', 2)} UNION ALL SELECT src, dst, score FROM {_near('0.2', 1)}")
+@query(f"WITH {_E}, {_Q} SELECT src, dst, score FROM {_near('0.35', 2, a='q')} UNION ALL SELECT src, dst, score FROM {_near('0.2', 1, a='q')}")
 def u2_chained_scores(spark: SparkSession, sf: str) -> DataFrame:
-    e = _embeddings(spark, sf)
-    near = S.knn_join(e, e, 2)
-    return near.where("score >= 0.5").select("src", "dst", "score").unionByName(near.where("rank = 1 and score >= 0.2").select("src", "dst", "score"))
+    near = S.knn_join(_queries(spark, sf), _embeddings(spark, sf), 2)
+    return near.where("score >= 0.35").select("src", "dst", "score").unionByName(near.where("rank = 1 and score >= 0.2").select("src", "dst", "score"))
