@@ -3,17 +3,34 @@
 from __future__ import annotations
 
 import json as _json
+import struct
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
-_RANK = {type(None): 0, bool: 1, int: 2, float: 2, str: 3, list: 4, dict: 5}
+class _Invalid:
+    """What a text gives that isn't JSON, or nests deeper than the parser goes: all functions of it are null."""
 
 
 def _load(s: str | None):
-    return _json.loads(s) if s is not None else None
+    if s is None:
+        return _Invalid
+    try:
+        return _json.loads(s)
+    except (ValueError, RecursionError):
+        return _Invalid
+
+
+def _of(f):
+    """f of the parsed value, null where there is none."""
+
+    def run(s: str | None):
+        v = _load(s)
+        return None if v is _Invalid else f(v)
+
+    return run
 
 
 def depth_of(v: object) -> int:
@@ -45,48 +62,62 @@ def leaves_of(v: object, path: str = "") -> list[tuple[str, str]]:
 
 def sort_key_of(v: object) -> str:
     """A text whose order is: null, false, true, numbers, texts, arrays, objects; containers by length, then by content."""
-    r = _RANK[type(v)]
-    if v is None:
-        return "0"
-    if isinstance(v, bool):
-        return f"1{int(v)}"
-    if isinstance(v, int | float):
-        import struct
-
-        bits = int.from_bytes(struct.pack(">d", float(v)), "big")
-        bits = bits ^ 0xFFFFFFFFFFFFFFFF if bits >> 63 else bits | 1 << 63
-        return f"2{bits:016x}"
-    if isinstance(v, str):
-        return "3" + "".join(f"{ord(c):06x}" for c in v) + "\x01"
-    items = [sort_key_of(x) for x in v] if isinstance(v, list) else [sort_key_of(k) + sort_key_of(v[k]) for k in sorted(v)]
-    return f"{r}{len(items):08x}" + "".join(items)
+    out: list[str] = []
+    stack: list[object] = [v]  # a tuple is text that is done
+    while stack:
+        x = stack.pop()
+        if isinstance(x, tuple):
+            out.append(x[0])
+        elif x is None:
+            out.append("0")
+        elif isinstance(x, bool):
+            out.append(f"1{int(x)}")
+        elif isinstance(x, int | float):
+            out.append("2" + _number_key(x))
+        elif isinstance(x, str):
+            out.append(_text_key(x))
+        elif isinstance(x, list):
+            stack += [*reversed(x), (f"4{len(x):08x}",)]
+        else:
+            for k in sorted(x, reverse=True):
+                stack += [x[k], (_text_key(k),)]
+            stack.append((f"5{len(x):08x}",))
+    return "".join(out)
+
+
+def _text_key(s: str) -> str:
+    return "3" + "".join(f"{ord(c):06x}" for c in s) + "\x01"
+
+
+def _number_key(x: float) -> str:
+    """Sixteen digits in the order of the numbers; whole numbers beyond the range of a double are at its ends."""
+    try:
+        d = float(x)
+    except OverflowError:
+        d = float("inf") if x > 0 else float("-inf")
+    bits = int.from_bytes(struct.pack(">d", d + 0.0), "big")
+    return f"{bits ^ 0xFFFFFFFFFFFFFFFF if bits >> 63 else bits | 1 << 63:016x}"
 
 
 @F.pandas_udf(IntegerType())
 def _depth(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else depth_of(_load(x))).astype("Int32")
+    return s.map(_of(depth_of)).astype("Int32")
 
 
 @F.pandas_udf(StringType())
 def _sort_key(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else sort_key_of(_load(x)))
+    return s.map(_of(sort_key_of))
 
 
 @F.pandas_udf(ArrayType(StructType([StructField("path", StringType()), StructField("value", StringType())])))
 def _leaves(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else [{"path": p, "value": v} for p, v in leaves_of(_load(x))])
+    return s.map(_of(lambda v: [{"path": p, "value": x} for p, x in leaves_of(v)]))
 
 
 @F.pandas_udf(BooleanType())
 def _valid(s: pd.Series) -> pd.Series:
     def ok(x: str | None) -> bool | None:
-        if x is None:
-            return None
-        try:
-            _json.loads(x)
-        except ValueError:
-            return False
-        return True
+        return None if x is None else _load(x) is not _Invalid
 
     return s.map(ok)
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 PUNCTUATION = r"[!-/:-@\[-`{-~]"
 
@@ -55,6 +58,27 @@ def snippet(text: Column, needle: str, before: int = 50, size: int = 200) -> Col
     return F.concat(F.when(start > 1, "...").otherwise(""), cut, F.when(start + size - 1 < F.length(text), "...").otherwise(""))
 
 
+def best_snippet(text: Column, needles: list[str], size: int = 30) -> Column:
+    """The run of size words in which the most words have a needle in them, the first of several; null without a word.
+
+    Words are what blanks, tabs and line feeds separate. A running count over the words of each text, in Arrow batches.
+    """
+    low = [n.lower() for n in needles]
+
+    @F.pandas_udf(StringType())
+    def best(s: pd.Series) -> pd.Series:
+        out = []
+        for t in s:
+            w = [x for x in t.replace("\n", " ").replace("\t", " ").split(" ") if x] if t else []
+            hits = np.cumsum([0, *(any(n in x.lower() for n in low) for x in w)])
+            last = max(0, len(w) - size)
+            start = int(np.argmax(hits[np.minimum(np.arange(last + 1) + size, len(w))] - hits[: last + 1])) if w else 0
+            out.append(" ".join(w[start : start + size]) if w else None)
+        return pd.Series(out, dtype=object)
+
+    return best(text)
+
+
 def number_of(value: Column) -> Column:
     """The number that a text holds; null if it holds none."""
     return F.expr("try_cast(x as double)") if isinstance(value, str) else value.try_cast("double")

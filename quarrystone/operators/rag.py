@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quarrystone.functions import text as X
 from quarrystone.functions import vector as V
 from quarrystone.operators.vector import knn_join
+from quarrystone.sources.shared import cut
 
 
 @dataclass(frozen=True)
@@ -45,7 +46,7 @@ def tfidf(docs: DataFrame, id_col: str, text_col: str, max_terms: int = 512) ->
 
     The vocabulary is the max_terms terms that are in the most documents (ties in the order of the terms): the vectors' dimension, so it is bounded and broadcast.
     """
-    counts = term_counts(docs, id_col, text_col)
+    counts = cut(term_counts(docs, id_col, text_col))  # texts are read and cut into words once
     total = docs.select(F.count(F.lit(1)).alias("total"))
     vocabulary = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).orderBy(F.desc("df"), "term").limit(max_terms)
     idf = vocabulary.crossJoin(F.broadcast(total)).select("term", F.log(F.col("total") / F.col("df")).alias("idf"))

@@ -36,6 +36,12 @@ def predicate(column: str | Column, op: str, value: object = None) -> Column:
         raise ValueError(f"unknown operator {op!r}") from None
 
 
+def compare(a: Column, b: Column) -> Column:
+    """-1, 0 or 1 as a is less than, equal to or greater than b. Null has no place in the order: comparing it is an error, as is NaN."""
+    odd = a.isNull() | b.isNull() | F.isnan(a.cast("double")) | F.isnan(b.cast("double"))
+    return F.when(odd, F.raise_error(F.lit("null and NaN can't be ordered")).cast("int")).when(a < b, -1).when(a > b, 1).otherwise(0)
+
+
 def project(df: DataFrame, indices: Sequence[int]) -> DataFrame:
     """Columns by position; an empty list keeps all; a position out of range is an IndexError."""
     if not indices:

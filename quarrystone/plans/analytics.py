@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
@@ -11,8 +11,8 @@ from quarrystone.operators import dml
 from quarrystone.operators.dml import ForeignKey, TableSchema
 from quarrystone.plans.registry import query, statement
 from quarrystone.sources.catalog import Catalog, ConflictError
-from quarrystone.sources.formats import chunk_text, round_trip, to_json_rows
-from quarrystone.sources.shared import shared_path
+from quarrystone.sources.formats import chunk_text, round_trip, strip_boilerplate, to_json_rows
+from quarrystone.sources.shared import cut, shared_path
 from quarrystone.sources.tables import load
 from quarrystone.streaming import windows
 
@@ -22,10 +22,28 @@ statement("q1_running_total", f"""
 WITH {_DAILY} SELECT day, revenue, round(sum(revenue) OVER (ORDER BY day ROWS UNBOUNDED PRECEDING), 2) AS running,
 round(avg(revenue) OVER (ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 4) AS moving, lag(revenue, 1) OVER (ORDER BY day) AS previous,
 round(revenue - lag(revenue, 1) OVER (ORDER BY day), 2) AS change, round(percent_rank() OVER (ORDER BY revenue, day), 6) AS standing FROM daily""")
-statement("q2_customer_ranking", """
+
+
+def _tile(place: Column, n: int, tiles: int) -> Column:
+    """ntile of a place (from 1) among n rows: the first n % tiles tiles have a row more."""
+    size, more = divmod(n, tiles)
+    return F.when(place <= more * (size + 1), F.ceil(place / (size + 1))).otherwise(more + F.ceil((place - more * (size + 1)) / max(size, 1))).cast("int")
+
+
+@query("""
 WITH spent AS (SELECT o_custkey, round(sum(o_totalprice), 2) AS total, count(*) AS n FROM orders GROUP BY o_custkey),
 ranked AS (SELECT *, rank() OVER (ORDER BY total DESC) AS place, ntile(5) OVER (ORDER BY total DESC, o_custkey) AS tier FROM spent)
 SELECT o_custkey, total, n, place, CASE WHEN tier = 1 THEN 'VIP' WHEN tier <= 3 THEN 'regular' ELSE 'occasional' END AS segment FROM ranked""")
+def q2_customer_ranking(spark: SparkSession, sf: str) -> DataFrame:
+    """Ranks over all customers by ranges of their totals, not in one task."""
+    spent = load(spark, sf, "orders").groupBy("o_custkey").agg(F.round(F.sum("o_totalprice"), 2).alias("total"), F.count(F.lit(1)).alias("n"))
+    at = cut(dml.ranked(spent, [F.col("total").desc_nulls_last(), "o_custkey"], "at"))
+    first = at.groupBy(F.col("total").alias("_total")).agg(F.min("at").alias("place"))
+    tier = _tile(F.col("at"), at.count(), 5)
+    segment = F.when(tier == 1, "VIP").when(tier <= 3, "regular").otherwise("occasional")
+    return at.join(first, F.col("total").eqNullSafe(F.col("_total"))).select("o_custkey", "total", "n", F.col("place").cast("bigint").alias("place"), segment.alias("segment"))
+
+
 statement("q3_region_share", """
 WITH t AS (SELECT r_name, o_orderpriority, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name, o_orderpriority)
 SELECT r_name, o_orderpriority, total, rank() OVER (PARTITION BY r_name ORDER BY total DESC) AS place, round(total / sum(total) OVER (PARTITION BY r_name), 6) AS share FROM t""")
@@ -76,10 +94,23 @@ statement("q15_data_quality", """
 SELECT 'orders' AS name, count(*) AS n, count(*) - count(o_custkey) AS missing, count(*) - count(DISTINCT o_orderkey) AS repeated, CAST(sum(CASE WHEN o_totalprice < 0 THEN 1 ELSE 0 END) AS BIGINT) AS invalid FROM orders
 UNION ALL SELECT 'events', count(*), count(*) - count(value), count(*) - count(DISTINCT event_id), CAST(sum(CASE WHEN value < 0 THEN 1 ELSE 0 END) AS BIGINT) FROM events
 UNION ALL SELECT 'documents', count(*), count(*) - count(text), count(*) - count(DISTINCT text), CAST(sum(CASE WHEN n_chars <> length(text) THEN 1 ELSE 0 END) AS BIGINT) FROM documents""")
-statement("q16_rfm", """
+@query("""
 WITH base AS (SELECT o_custkey, max(o_orderdate) AS last_at, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_custkey),
 s AS (SELECT o_custkey, ntile(5) OVER (ORDER BY last_at, o_custkey) AS r, ntile(5) OVER (ORDER BY n, o_custkey) AS f, ntile(5) OVER (ORDER BY total, o_custkey) AS m FROM base)
 SELECT o_custkey, r, f, m, CASE WHEN r >= 4 AND f >= 4 AND m >= 4 THEN 'champion' WHEN r >= 3 AND f >= 3 THEN 'loyal' WHEN r <= 2 THEN 'at risk' ELSE 'other' END AS segment FROM s""")
+def q16_rfm(spark: SparkSession, sf: str) -> DataFrame:
+    """Quintiles over all customers by ranges of each measure, not in one task."""
+    base = load(spark, sf, "orders").groupBy("o_custkey").agg(F.max("o_orderdate").alias("last_at"), F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    base = cut(base)
+    count = base.count()
+    out = base.select("o_custkey")
+    for name, column in (("r", "last_at"), ("f", "n"), ("m", "total")):
+        out = out.join(dml.ranked(base, [column, "o_custkey"], "at").select("o_custkey", _tile(F.col("at"), count, 5).cast("bigint").alias(name)), "o_custkey")
+    r, f, m = (F.col(c) for c in "rfm")
+    segment = F.when((r >= 4) & (f >= 4) & (m >= 4), "champion").when((r >= 3) & (f >= 3), "loyal").when(r <= 2, "at risk").otherwise("other")
+    return out.select("o_custkey", "r", "f", "m", segment.alias("segment"))
+
+
 statement("q17_market_basket", """
 WITH baskets AS (SELECT DISTINCT l_orderkey, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey), sizes AS (SELECT p_brand, count(*) AS n FROM baskets GROUP BY p_brand), total AS (SELECT count(DISTINCT l_orderkey) AS n FROM baskets),
 pairs AS (SELECT a.p_brand AS x, b.p_brand AS y, count(*) AS n FROM baskets a JOIN baskets b ON a.l_orderkey = b.l_orderkey AND a.p_brand < b.p_brand GROUP BY a.p_brand, b.p_brand)
@@ -219,6 +250,42 @@ def s12_persist(spark: SparkSession, sf: str) -> DataFrame:
     return Connection.open(spark, c.catalog.root).query("SELECT count(*) AS n FROM accounts")
 
 
+@query(f"SELECT id, name FROM ({_ACCOUNTS}) WHERE balance BETWEEN 1000 AND 3000")
+def i1_index_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """A lookup by an indexed column: rows lie in its order, and the scan skips row groups by their bounds."""
+    c = Connection(spark, _catalog(spark, sf))
+    c.execute("CREATE INDEX by_balance ON accounts (balance)")
+    return c.query("SELECT id, name FROM accounts WHERE balance BETWEEN 1000 AND 3000")
+
+
+@query("SELECT count(*) AS n, true AS refused, true AS allowed FROM supplier")
+def i2_unique_index(spark: SparkSession, sf: str) -> DataFrame:
+    """A unique index refuses a row that repeats a name; without it the row is taken."""
+    c = Connection(spark, _catalog(spark, sf))
+    c.execute("CREATE UNIQUE INDEX by_name ON accounts (name)")
+    n, name = c.query("SELECT count(*) AS n, min(name) AS name FROM accounts").first()
+
+    def insert(key: int) -> bool:
+        try:
+            return c.execute_update("INSERT INTO accounts VALUES (?, ?, 0.0)", [key, name]) == 1
+        except dml.ConstraintError:
+            return False
+
+    refused = not insert(-1)
+    c.execute("DROP INDEX by_name")
+    return spark.createDataFrame([(n, refused, insert(-1))], "n long, refused boolean, allowed boolean")
+
+
+@query(f"SELECT * FROM ({_ACCOUNTS}) WHERE id IN (3, 7)")
+def i4_sorted_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """By key, over rows in the order of the key; one row inserted later lies in a folder of its own, and one is gone again."""
+    c = Connection(spark, _catalog(spark, sf))
+    c.execute("CREATE INDEX by_id ON accounts (id)")
+    c.execute("INSERT INTO accounts VALUES (-5, 'later', 1.0)")
+    c.execute("DELETE FROM accounts WHERE id = -5")
+    return c.query("SELECT * FROM accounts WHERE id IN (-5, 3, 7)")
+
+
 @query(f"SELECT * FROM ({_ACCOUNTS}) WHERE id = 7")
 def i3_hash_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return _catalog(spark, sf).lookup("accounts", "id", 7)
@@ -301,6 +368,37 @@ def c4_conflict(spark: SparkSession, sf: str) -> DataFrame:
     return c.table("accounts").agg(F.lit(refused).alias("refused"), F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT * FROM (VALUES ('snapshot', true, true), ('serializable', true, false)) t(isolation, first_commits, second_commits)")
+def c5_isolation(spark: SparkSession, sf: str) -> DataFrame:
+    """Two transactions that read each other's table and write their own: snapshots let both commit, serializability only one."""
+    out = []
+    for isolation in ("snapshot", "serializable"):
+        c = _catalog(spark, sf)
+        c.create_table("other", c.schema("accounts"))
+        a, b = c.begin(isolation), c.begin(isolation)
+        a.table("other").count()
+        b.table("accounts").count()
+        a.delete("accounts", F.col("balance") < 0)
+        b.insert("other", a.table("accounts").limit(1))
+        done = []
+        for t in (a, b):
+            try:
+                t.commit()
+                done.append(True)
+            except ConflictError:
+                done.append(False)
+        out.append((isolation, *done))
+    return spark.createDataFrame(out, "isolation string, first_commits boolean, second_commits boolean")
+
+
+@query("SELECT doc_id, n, value FROM (SELECT doc_id, n, value, max(CASE WHEN contains(value, 'de') THEN n END) OVER (PARTITION BY doc_id) AS a, min(CASE WHEN contains(value, 'zz') THEN n END) OVER (PARTITION BY doc_id) AS b FROM (SELECT doc_id, unnest(range(len(string_split(text, chr(10)))))::INTEGER AS n, unnest(string_split(text, chr(10))) AS value FROM documents)) WHERE (a IS NULL OR n > a) AND (b IS NULL OR n < b)")
+def s15_strip_boilerplate(spark: SparkSession, sf: str) -> DataFrame:
+    """Each document as a file of lines: what stands after the last begin mark and before the first end mark."""
+    d = load(spark, sf, "documents")
+    lines = d.select(F.col("doc_id").alias("path"), F.posexplode(F.split("text", "\n")).alias("n", "value"))
+    return strip_boilerplate(lines, "de", "zz").select(F.col("path").alias("doc_id"), "n", "value")
+
+
 @query(_ACCOUNTS)
 def c3_snapshot_read(spark: SparkSession, sf: str) -> DataFrame:
     """Version 2 stays readable after a later change."""
@@ -346,9 +444,12 @@ def t4_keyed_state(spark: SparkSession, sf: str) -> DataFrame:
     e = load(spark, sf, "events").select("user_id", "value")
     root = shared_path(spark, "events")
     e.write.parquet(f"{root}/in")
-    name = f"totals_{abs(hash(root))}"
     stream = windows.running_totals(spark.readStream.schema(e.schema).parquet(f"{root}/in"))
-    q = stream.writeStream.outputMode("update").format("memory").queryName(name).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")  # a batch that runs again replaces itself
+
+    q = stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    t = spark.table(name).groupBy("user_id").agg(F.max(F.struct("n", "total")).alias("x"))
+    t = spark.read.schema("user_id long, n long, total double, batch int").parquet(f"{root}/out").groupBy("user_id").agg(F.max(F.struct("n", "total")).alias("x"))
     return t.select("user_id", "x.n", F.round("x.total", 4).alias("total"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrystone.engine import Connection
 from quarrystone.operators import relational as R
 from quarrystone.plans.registry import query, statement
 from quarrystone.sources.tables import load
@@ -73,13 +74,14 @@ _filtered("f4_ge", "lineitem", ["l_orderkey", "l_linenumber", "l_quantity"], lam
 _filtered("f5_not_equal_sign", "customer", ["c_custkey", "c_mktsegment"], lambda: R.predicate("c_mktsegment", "<>", "BUILDING"), "c_mktsegment <> 'BUILDING'")
 _filtered("f6_and_or", "customer", ["c_custkey", "c_acctbal"], lambda: ((F.col("c_acctbal") > 0) & (F.col("c_nationkey") < 5)) | (F.col("c_mktsegment") == "BUILDING"), "(c_acctbal > 0 AND c_nationkey < 5) OR c_mktsegment = 'BUILDING'")
 _filtered("f7_not", "part", ["p_partkey", "p_size"], lambda: ~((F.col("p_size") < 20) | (F.col("p_retailprice") > 1500)), "NOT (p_size < 20 OR p_retailprice > 1500)")
-_filtered("f8_is_null", "events", ["event_id"], lambda: R.predicate("value", "is null"), "value IS NULL")
+_filtered("f8_is_null", "events", ["event_id"], lambda: R.predicate(F.nullif(F.col("event_type"), F.lit("click")), "is null"), "nullif(event_type, 'click') IS NULL")
 _filtered("f8_is_not_null", "events", ["event_id", "value"], lambda: R.predicate("value", "is not null"), "value IS NOT NULL")
 _filtered("f10_column_compare", "lineitem", ["l_orderkey", "l_linenumber"], lambda: F.col("l_discount") > F.col("l_tax"), "l_discount > l_tax")
 _filtered("f12_in", "part", ["p_partkey", "p_size"], lambda: R.predicate("p_size", "in", (1, 5, 9)), "p_size IN (1, 5, 9)")
 _filtered("f12_not_in", "part", ["p_partkey", "p_size"], lambda: R.predicate("p_size", "not in", (1, 5, 9)), "p_size NOT IN (1, 5, 9)")
-_filtered("f13_like", "part", ["p_partkey", "p_name"], lambda: R.predicate("p_name", "like", "%1_"), "p_name LIKE '%1_'")
-_filtered("f13_not_like", "part", ["p_partkey", "p_name"], lambda: R.predicate("p_name", "not like", "%1%"), "p_name NOT LIKE '%1%'")
+_filtered("f13_like", "part", ["p_partkey", "p_name"], lambda: R.predicate("p_name", "like", "%d_r%n_"), "p_name LIKE '%d_r%n_'")
+_filtered("f13_not_like", "part", ["p_partkey", "p_name"], lambda: R.predicate("p_name", "not like", "%ring%"), "p_name NOT LIKE '%ring%'")
+_filtered("f15_compare", "events", ["event_id"], lambda: R.compare(F.col("value"), F.lit(20)) == 1, "sign(value - 20) = 1")
 _filtered("f16_between", "orders", _ORDER, lambda: R.predicate("o_totalprice", "between", (1000, 20000)), "o_totalprice BETWEEN 1000 AND 20000")
 
 
@@ -159,9 +161,9 @@ def j11_semi(spark: SparkSession, sf: str) -> DataFrame:
     return c.join(o, c["c_custkey"] == o["o_custkey"], "left_semi").select("c_custkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
 def j11_anti(spark: SparkSession, sf: str) -> DataFrame:
-    o = load(spark, sf, "orders")
+    o = load(spark, sf, "orders").where("o_totalprice > 300000")
     c = load(spark, sf, "customer")
     return c.join(o, c["c_custkey"] == o["o_custkey"], "left_anti").select("c_custkey")
 
@@ -243,6 +245,18 @@ SELECT event_type, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour, count(*) A
 FROM events GROUP BY event_type, date_trunc('hour', ts)""")
 
 
+@query("SELECT 'INSERT' AS kind, count(*) AS n FROM region UNION ALL SELECT 'SELECT', count(DISTINCT r_regionkey) FROM region UNION ALL SELECT 'CREATE', 1")
+def a16_statement_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The engine's own statements by kind, as its monitor counts them: a row is inserted and looked up for each region."""
+    c = Connection.open_in_memory(spark)
+    c.enable_performance_monitoring()
+    c.execute("CREATE TABLE regions (id INTEGER PRIMARY KEY, name TEXT)")
+    for r in load(spark, sf, "region").orderBy("r_regionkey").collect():  # five rows
+        c.execute("INSERT INTO regions VALUES (?, ?)", [r["r_regionkey"], r["r_name"]])
+        c.query("SELECT name FROM regions WHERE id = ?", [r["r_regionkey"]])
+    return c.get_performance_report().select("kind", "n")
+
+
 @query("SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice DESC NULLS LAST, p_partkey")
 def o1_order_by(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "part").select("p_partkey", "p_retailprice").orderBy(F.col("p_retailprice").desc_nulls_last(), "p_partkey")
@@ -284,7 +298,7 @@ def u1_chain(spark: SparkSession, sf: str) -> DataFrame:
 statement("u3_union_all", "SELECT c_nationkey AS nation FROM customer UNION ALL SELECT s_nationkey FROM supplier")
 statement("u4_union", "SELECT c_nationkey AS nation FROM customer UNION SELECT s_nationkey FROM supplier")
 statement("u4_intersect", "SELECT l_partkey AS part FROM lineitem INTERSECT SELECT p_partkey FROM part WHERE p_size > 25")
-statement("u4_except", "SELECT c_custkey AS customer FROM customer EXCEPT SELECT o_custkey FROM orders")
+statement("u4_except", "SELECT c_custkey AS customer FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 300000")
 statement("u4_except_all", "SELECT o_custkey AS customer FROM orders EXCEPT ALL SELECT c_custkey FROM customer")
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrystone.functions import geo, text
 from quarrystone.functions import json as J
+from quarrystone.operators import dml
 from quarrystone.operators import relational as R
 from quarrystone.plans.registry import query, statement
 from quarrystone.sources.tables import load
@@ -116,7 +117,18 @@ def x6_snippet(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "documents").select("doc_id", text.snippet(F.col("text"), "the").alias("snippet"))
 
 
-statement("x7_lower_like", "SELECT p_partkey, lower(p_brand) AS brand FROM part WHERE lower(p_type) LIKE '%steel%'")
+@query("""
+WITH w AS (SELECT doc_id, word, pos FROM (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM (SELECT doc_id, list_filter(string_split(replace(replace(text, chr(10), ' '), chr(9), ' '), ' '), lambda x: x <> '') AS w FROM documents))),
+h AS (SELECT doc_id, pos, sum(CASE WHEN contains(lower(word), 'the') OR contains(lower(word), 'que') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 29 FOLLOWING) AS hits, count(*) OVER (PARTITION BY doc_id) AS n FROM w),
+best AS (SELECT doc_id, arg_min(pos, (-hits, pos)) AS start FROM h WHERE pos <= greatest(n - 30, 0) GROUP BY doc_id)
+SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS snippet FROM w JOIN best USING (doc_id) WHERE pos >= start AND pos < start + 30 GROUP BY doc_id""")
+def x6_best_snippet(spark: SparkSession, sf: str) -> DataFrame:
+    """The 30 words in a row that have the most of the words looked for, the first of several."""
+    d = load(spark, sf, "documents").select("doc_id", text.best_snippet(F.col("text"), ["the", "que"], 30).alias("snippet"))
+    return d.where("snippet is not null")
+
+
+statement("x7_lower_like", "SELECT p_partkey, lower(p_brand) AS brand FROM part WHERE lower(p_type) LIKE '%prom%'")
 statement("x8_functions", """
 SELECT event_id, coalesce(value, 0) AS v, CAST(round(value) AS BIGINT) AS whole, round(power(value, 2), 4) AS square, round(sqrt(abs(value)), 6) AS root, least(value, 50.0) AS capped,
 event_type || '-' || CAST(user_id AS STRING) AS label FROM events""", """
@@ -155,16 +167,30 @@ def x13_calendar(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("SELECT event_id, row_number() OVER (ORDER BY json_extract(props, '$.k')::BIGINT, event_id) AS place FROM events")
+@query("""
+WITH t AS (SELECT event_id, event_id % 6 AS kind, event_id % 4 < 2 AS yes, json_extract_string(props, '$.k')::BIGINT AS k, event_type FROM events)
+SELECT event_id, row_number() OVER (ORDER BY kind, CASE kind WHEN 1 THEN yes::BIGINT WHEN 2 THEN k - 50 WHEN 4 THEN CASE WHEN yes THEN 1 ELSE 2 END WHEN 5 THEN 1 ELSE 0 END,
+CASE WHEN kind = 3 THEN event_type END, CASE WHEN kind IN (4, 5) THEN k END, event_id) AS place FROM t""")
 def n1_json_order(spark: SparkSession, sf: str) -> DataFrame:
-    """Places in the total order of JSON values; the documents here have one number each."""
-    e = load(spark, sf, "events").select("event_id", J.json_sort_key(F.col("props")).alias("key"))
-    return e.select("event_id", F.row_number().over(Window.orderBy("key", "event_id")).cast("bigint").alias("place"))
+    """Places in the total order of JSON values of all kinds, ranked by ranges of their keys."""
+    k, yes = F.get_json_object("props", "$.k"), F.col("event_id") % 4 < 2
+    made = [F.lit("null"), yes.cast("string"), (k.cast("int") - 50).cast("string"), F.concat(F.lit('"'), "event_type", F.lit('"')), F.when(yes, F.concat(F.lit("["), k, F.lit("]"))).otherwise(F.concat(F.lit("["), k, F.lit(", null]"))), F.concat(F.lit('{"k": '), k, F.lit("}"))]
+    value = F.get(F.array(*made), (F.col("event_id") % 6).cast("int"))
+    e = load(spark, sf, "events").select("event_id", J.json_sort_key(value).alias("key"))
+    return dml.ranked(e, ["key", "event_id"], "place").select("event_id", F.col("place").cast("bigint").alias("place"))
 
 
-@query("SELECT event_id, 2 AS depth, true AS deeper FROM events WHERE props IS NOT NULL")
+@query("SELECT event_id, CAST(event_id % 7 + 1 AS INTEGER) AS depth, event_id % 7 + 1 > 4 AS deeper FROM events WHERE props IS NOT NULL UNION ALL SELECT -1 - event_id, NULL, NULL FROM events WHERE props IS NOT NULL")
 def n2_json_depth(spark: SparkSession, sf: str) -> DataFrame:
-    return load(spark, sf, "events").where("props is not null").select("event_id", J.json_depth(F.col("props")).alias("depth"), J.json_exceeds_depth(F.col("props"), 1).alias("deeper"))
+    """Arrays and objects in turn around the event's number; without their last character they are no JSON, and have no depth."""
+    e = load(spark, sf, "events").where("props is not null")
+    value = F.get_json_object("props", "$.k")
+    for i in range(6):
+        outer = F.concat(F.lit("["), value, F.lit("]")) if i % 2 else F.concat(F.lit('{"a": '), value, F.lit("}"))
+        value = F.when(F.col("event_id") % 7 > i, outer).otherwise(value)
+    e = e.select("event_id", value.alias("j"))
+    broken = e.select((-1 - F.col("event_id")).alias("event_id"), F.concat(F.lit("["), F.col("j")).alias("j"))
+    return e.unionByName(broken).select("event_id", J.json_depth(F.col("j")).alias("depth"), J.json_exceeds_depth(F.col("j"), 4).alias("deeper"))
 
 
 @query("SELECT event_id, k AS path, json_extract_string(props, '$.' || k) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)")

@@ -414,9 +414,9 @@ def r5_reasoning_paths(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _HYBRID = """WITH {e}, {q}, near AS (SELECT src, dst, 1 / rank AS vector_score FROM {near}{only}), graph AS (SELECT src, dst, score AS graph_score FROM {graph}),
-mixed AS (SELECT coalesce(n.src, g.src) AS src, coalesce(n.dst, g.dst) AS dst, 0.5 * coalesce(vector_score, 0) + 0.5 * coalesce(graph_score, 0) AS hybrid_score, vector_score, graph_score FROM near n FULL JOIN graph g ON n.src = g.src AND n.dst = g.dst)
-SELECT src, dst, round(hybrid_score, 8) AS hybrid_score, round(vector_score, 6) AS vector_score, graph_score FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY hybrid_score DESC, dst) AS r FROM mixed) WHERE r <= 20"""
-_PARTS = {"e": _E, "q": _Q, "near": _near(k=20, a="q", where="true"), "graph": _near("0.3", 3, a="q", where="true")}
+mixed AS (SELECT coalesce(n.src, g.src) AS src, coalesce(n.dst, g.dst) AS dst, {v} * coalesce(vector_score, 0) + {g} * coalesce(graph_score, 0) AS hybrid_score, vector_score, graph_score FROM near n FULL JOIN graph g ON n.src = g.src AND n.dst = g.dst)
+SELECT src, dst, round(hybrid_score, 8) AS hybrid_score, round(vector_score, 6) AS vector_score, graph_score FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY hybrid_score DESC, dst) AS r FROM mixed) WHERE r <= {n}"""
+_PARTS = {"e": _E, "q": _Q, "near": _near(k=20, a="q", where="true"), "graph": _near("0.3", 3, a="q", where="true"), "v": 0.5, "g": 0.5, "n": 20}
 _SETTINGS = rag.HybridConfig(similarity_threshold=0.3)
 
 
@@ -431,6 +431,17 @@ def r6_hybrid(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(rag.hybrid_query(e, e, _queries(spark, sf), _SETTINGS))
 
 
+for _name, _preset in rag.PRESETS.items():
+    _own = _PARTS | {"near": _near(k=_preset.max_vector_results, a="q", where="true"), "graph": _near(str(_preset.similarity_threshold), _preset.max_graph_results, a="q", where="true"), "v": _preset.vector_weight, "g": _preset.graph_weight, "n": _preset.max_vector_results}
+
+    def _with_preset(spark: SparkSession, sf: str, preset: rag.HybridConfig = _preset) -> DataFrame:
+        e = _embeddings(spark, sf)
+        return _rounded(rag.hybrid_query(e, e, _queries(spark, sf), preset))
+
+    _with_preset.__name__ = f"r9_preset_{_name}"
+    query(_HYBRID.format(only="", **_own))(_with_preset)
+
+
 @query(_HYBRID.format(only=" WHERE dst IN (SELECT id FROM e WHERE label < 5)", **_PARTS))
 def r7_hybrid_entities(spark: SparkSession, sf: str) -> DataFrame:
     e = _embeddings(spark, sf)
