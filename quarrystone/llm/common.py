@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterable, Iterator
+import ctypes
+import re
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,7 +16,7 @@ from pyspark.sql.types import IntegerType
 
 from quarrystone.sources.shared import cut, shared_path
 
-__all__ = ["BROADCAST_ROWS", "CHUNK", "TOKENIZER", "bounded_batches", "byte_chunks", "count_tokens", "cut", "kept", "n_tokens", "restrict", "shared_path", "table", "text_bytes"]
+__all__ = ["BROADCAST_ROWS", "CHUNK", "TOKENIZER", "bounded_batches", "byte_chunks", "count_tokens", "cut", "kept", "lean", "n_tokens", "restrict", "shared_path", "table", "text_bytes"]
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
@@ -37,14 +39,41 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _give_back() -> None:
+    """Freed memory goes back to the system, so that a worker that waits holds little. Nothing happens where libc can't."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that gives memory back when its task ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            _give_back()
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _bytes(size: str) -> int:
+    """A size such as 268435456, 64k, 64KB or 256m."""
+    m = re.fullmatch(r"(-?\d+)\s*([kmgtp]?)b?", size.strip().lower())
+    return int(m[1]) << 10 * " kmgtp".index(m[2] or " ") if m else BATCH_BYTES + 1
+
+
 def bounded_batches(spark: SparkSession) -> None:
-    """Texts go to Python in batches of at most BATCH_BYTES: the session's setting is lowered, never raised."""
+    """Texts go to Python in batches of at most BATCH_BYTES: the session's setting is lowered, never raised, as it is read when
+    a result is computed, after the call that asked for it has returned."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))) > BATCH_BYTES:
+    if not 0 < _bytes(spark.conf.get(name)) <= BATCH_BYTES:
         spark.conf.set(name, str(BATCH_BYTES))
 
 

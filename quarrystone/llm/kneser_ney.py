@@ -42,7 +42,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import cut, kept, restrict, shared_path, text_bytes
+from quarrystone.llm.common import cut, kept, lean, restrict, shared_path, text_bytes
 from quarrystone.llm.words import BEGIN, BITS, before, mix, pack, pack_sorted, pair, spellings, unpack, unpack_sorted, words
 
 HELD = 5
@@ -67,7 +67,7 @@ BLOCK_BYTES = 6 << 20
 SHARD_BYTES = 256 << 20
 
 #: Counts that a training task gathers before it merges them.
-MERGE_ROWS = 2_000_000
+MERGE_ROWS = 1_000_000
 
 #: Words that are scored at once.
 STEP = 1 << 18
@@ -97,6 +97,15 @@ def _sums(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return keys[first], *(np.add.reduceat(v[order], first) if len(first) else v for v in values)
 
 
+def _pair_sums(u: np.ndarray, w: np.ndarray, c: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Different pairs, sorted, and the sums of their counts; without counts how often each occurs."""
+    order = np.lexsort((w, u))
+    u, w = u[order], w[order]
+    first = np.flatnonzero(np.r_[True, (u[1:] != u[:-1]) | (w[1:] != w[:-1])])
+    counts = np.diff(np.r_[first, len(u)]) if c is None else np.add.reduceat(c[order], first)
+    return u[first], w[first], counts
+
+
 def _distinct(x: np.ndarray) -> np.ndarray:
     """Different numbers, sorted (sorting is faster here than the hash table of numpy.unique)."""
     x = np.sort(x)
@@ -136,33 +145,27 @@ def _count(shards: int):
         codes: list[tuple[np.ndarray, ...]] = []
         size, most = 0, MERGE_ROWS
 
-        def merged() -> tuple[np.ndarray, ...]:
-            u, w, c = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((w, u))
-            u, w = u[order], w[order]
-            first = np.flatnonzero(np.r_[True, (u[1:] != u[:-1]) | (w[1:] != w[:-1])])
-            return u[first], w[first], np.add.reduceat(c[order], first)
-
         for b in batches:
             data, offsets = text_bytes(b.column("text"))
             h, start, length, counts = words(data, offsets)
             if not len(h):
                 continue
-            parts.append((before(h, counts), h, np.ones(len(h), np.int64)))
-            parts[-1:] = [merged()] if len(parts) == 1 else parts[-1:]
+            parts.append(_pair_sums(before(h, counts), h))
             _, at, k = np.unique(h, return_index=True, return_counts=True)
             code, first = spellings(data, start[at], length[at])
             codes.append(_sums(code, np.repeat(k, np.diff(np.r_[first, len(code)]))))
             if len(codes) > 8:
                 codes = [_sums(*(np.concatenate(x) for x in zip(*codes, strict=True)))]
             size += len(parts[-1][0])
+            del h, start, length, code, first
             if size > most:
-                parts = [merged()]
+                parts = [_pair_sums(*(np.concatenate(x) for x in zip(*parts, strict=True)))]
                 size = len(parts[0][0])
                 most = 2 * size + MERGE_ROWS
         if not parts:
             return
-        u, w, c = merged()
+        u, w, c = _pair_sums(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        del parts
         shard = (mix(u.astype(np.uint64)) + (w % SPLIT).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(shards)
         order = np.argsort(shard, kind="stable")
         edges = np.searchsorted(shard[order], np.arange(shards + 1, dtype=np.uint64))
@@ -208,10 +211,7 @@ def _add_pairs(shards: int):
                 yield _rows([(SPELLING, shard, len(code), pack_sorted(code), pack(c))])
                 continue
             u, w, c = (np.concatenate([f(r[x], r["n"]) for r in rows]) for x, f in (("k", unpack_sorted), ("v0", unpack), ("v1", unpack)))
-            order = np.lexsort((w, u))
-            u, w = u[order], w[order]
-            first = np.flatnonzero(np.r_[True, (u[1:] != u[:-1]) | (w[1:] != w[:-1])])
-            u, w, c = u[first], w[first], np.add.reduceat(c[order], first)
+            u, w, c = _pair_sums(u, w, c)
             yield _rows([(PAIRS, shard, len(u), pack_sorted(u), pack(w), pack(c)), (TALLY, PAIRS, 6, pack(_tally(c)))])
             one = np.ones(len(u), np.int64)
             context = _sums(u, c, (c == 1) * one, (c == 2) * one, (c > 2) * one)
@@ -278,9 +278,9 @@ class Model:
 
 def train(trusted: DataFrame, shards: int, spare: int = SPARE) -> Model | None:
     """The model of a table (text); None if there is no word in it."""
-    counted = _by_shard(trusted.select("text").mapInArrow(_count(shards), _STORE), shards)
-    pairs = kept(counted.mapInArrow(_add_pairs(shards), _STORE), "pairs")
-    told = kept(_by_shard(pairs.where(F.col("kind") == WORDS), shards).mapInArrow(_add_words, _STORE), "words")
+    counted = _by_shard(trusted.select("text").mapInArrow(lean(_count(shards)), _STORE), shards)
+    pairs = kept(counted.mapInArrow(lean(_add_pairs(shards)), _STORE), "pairs")
+    told = kept(_by_shard(pairs.where(F.col("kind") == WORDS), shards).mapInArrow(lean(_add_words), _STORE), "words")
     tally = {PAIRS: np.zeros(6, np.int64), WORDS: np.zeros(6, np.int64)}
     number = {}
     for kind, t in ((PAIRS, pairs), (WORDS, told)):
@@ -517,14 +517,14 @@ def perplexities(docs: DataFrame, labels: DataFrame, spare: int = SPARE, shards:
         visible = F.coalesce(F.regexp_count("text", F.lit(r"[^\x00-\x20\x7f]")), F.lit(0))
         return cut(d.select("doc_id", "lang", "key", visible.cast("bigint").alias("size"), F.lit(None).cast("double").alias("mean"), F.lit(None).cast("double").alias("deviation"))), None
     bits = model.bits
-    counts = model.pairs.unionByName(model.words).mapInArrow(_shorten(bits, shards), _ASK)
-    asks = d.mapInArrow(_ask(bits, shards), _ASK)  # of the same columns as below, so that batches end at the same rows
+    counts = model.pairs.unionByName(model.words).mapInArrow(lean(_shorten(bits, shards)), _ASK)
+    asks = d.mapInArrow(lean(_ask(bits, shards)), _ASK)  # of the same columns as below, so that batches end at the same rows
     met = counts.unionByName(asks).repartitionById(2 * shards, F.col("kind") * shards + F.col("shard")).sortWithinPartitions("kind", "shard", "block")
     path = shared_path(spark, "answers")
-    answers = met.mapInArrow(_serve, _ASK).drop("k").withColumn("pid", F.shiftright("block", 20))
+    answers = met.mapInArrow(lean(_serve), _ASK).drop("k").withColumn("pid", F.shiftright("block", 20))
     answers.repartition("pid").sortWithinPartitions("pid").write.partitionBy("pid").parquet(path)
     shared = spark.sparkContext.broadcast(model.parameters)
-    scored = cut(d.mapInArrow(_score(shared, path, bits), "doc_id bigint, lang string, key bigint, fold int, size bigint, total double, squares double"))
+    scored = cut(d.mapInArrow(lean(_score(shared, path, bits)), "doc_id bigint, lang string, key bigint, fold int, size bigint, total double, squares double"))
     mean = F.when(F.col("size") > 0, F.col("total") / F.col("size"))
     deviation = F.sqrt(F.greatest(F.col("squares") / F.col("size") - F.col("mean") * F.col("mean"), F.lit(0.0)))
     out = scored.withColumn("mean", mean).select("doc_id", "lang", "key", "fold", "size", "mean", F.when(F.col("size") > 0, deviation).alias("deviation"))

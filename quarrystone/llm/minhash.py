@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import byte_chunks, cut, kept, restrict, text_bytes
+from quarrystone.llm.common import byte_chunks, cut, kept, lean, restrict, text_bytes
 from quarrystone.llm.components import components
 
 SHINGLE = 3
@@ -204,8 +204,8 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def sketch(docs: DataFrame) -> tuple[np.ndarray, int]:
     """The sketch over all documents and the number of those with words."""
-    parts = docs.select("text").mapInArrow(_sketch, "block int, counts binary")
-    rows = parts.repartition(F.col("block")).mapInArrow(_add, "block int, counts binary").toArrow()
+    parts = docs.select("text").mapInArrow(lean(_sketch), "block int, counts binary")
+    rows = parts.repartition(F.col("block")).mapInArrow(lean(_add), "block int, counts binary").toArrow()
     out, n = np.zeros(ROWS * WIDTH, np.uint32), 0
     for block, c in zip(rows.column("block").to_pylist(), rows.column("counts").to_pylist(), strict=True):
         if block < 0:
@@ -249,7 +249,7 @@ def frequencies(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     rare = min(1.0, max(RARE, occurrences / max(n, 1) / HEAVY_ROWS))
     least = max(1, int(np.ceil(rare * n)))
     shared = docs.sparkSession.sparkContext.broadcast(counts >= min(least, 0xFFFFFFFF))  # ROWS * WIDTH booleans
-    found = docs.select("text").mapInArrow(_heavy(shared), "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= least).toArrow()
+    found = docs.select("text").mapInArrow(lean(_heavy(shared)), "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= least).toArrow()
     h = found.column("h").to_numpy().view(np.uint64)
     order = np.argsort(h)
     idf = np.log(n / found.column("c").to_numpy()[order]) / np.log(1 / rare) if rare < 1 else np.zeros(len(h))
@@ -436,7 +436,7 @@ def _search(members: DataFrame, signed: DataFrame, tell: bool, partitions: int)
     """Links (u, v, band) of members (band, piece, id), with the samples of a kept table (id, halves)."""
     rows = members.join(signed.select("id", "halves"), "id")
     sorted_ = rows.repartition(partitions, "band", "piece").sortWithinPartitions("band", "piece", "id")
-    return sorted_.select("band", "piece", "id", "halves").mapInArrow(_buckets(tell), _LINKS)
+    return sorted_.select("band", "piece", "id", "halves").mapInArrow(lean(_buckets(tell)), _LINKS)
 
 
 def _hot_links(hot: DataFrame, signed: DataFrame, piece_rows: int, partitions: int) -> DataFrame:
@@ -550,7 +550,7 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, piece_rows: int = PIEC
     unique = restrict(d.select("id", "text").where("text is not null"), copies, ["id"], "left_anti")
     # 2. Frequencies over all documents, then samples of one document for each text.
     shared = spark.sparkContext.broadcast(frequencies(docs))  # HEAVY_ROWS rows at most
-    signed = cut(unique.mapInArrow(_signatures(shared, BANDS), "id bigint, bands array<bigint>, halves binary").dropDuplicates(["id"]))
+    signed = cut(unique.mapInArrow(lean(_signatures(shared, BANDS)), "id bigint, bands array<bigint>, halves binary").dropDuplicates(["id"]))
     links = cut(candidate_links(signed, n, piece_rows))
     # A pair may have come up from both sides: the pivot is the one that has more partners.
     degree = links.groupBy("u").agg(F.count(F.lit(1)).alias("k"))
@@ -560,7 +560,7 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, piece_rows: int = PIEC
     wanted = cut(chunked.unionByName(chunked.select("u", "chunk", F.lit(None).cast("bigint").alias("v")).distinct()).withColumn("id", F.coalesce("v", "u")))
     texts = restrict(unique, cut(wanted.select("id").distinct()), ["id"]).dropDuplicates(["id"])
     stream = wanted.join(texts, "id").select("u", "chunk", "v", "text").repartition(n, "u", "chunk").sortWithinPartitions("u", "chunk", F.col("v").asc_nulls_first())
-    held = stream.mapInArrow(_verify(shared, threshold), "u bigint, v bigint")
+    held = stream.mapInArrow(lean(_verify(shared, threshold)), "u bigint, v bigint")
     # 4. Components over near and equal ones.
     root = components(held.unionByName(equal.select(F.col("id").alias("u"), F.col("rep").alias("v"))))
     member = root.unionByName(root.select(F.col("root").alias("id"), "root").distinct())
