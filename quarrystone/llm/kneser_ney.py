@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrystone.llm.common import cut, kept, lean, restrict, shared_path, text_bytes
-from quarrystone.llm.words import BEGIN, BITS, before, mix, pack, pack_sorted, pair, spellings, unpack, unpack_sorted, words
+from quarrystone.llm.words import BEGIN, BITS, before, mix, pack, pack_repeated, pack_sorted, pair, spellings, unpack, unpack_repeated, unpack_sorted, words
 
 HELD = 5
 
@@ -173,7 +173,7 @@ def _count(shards: int):
         for k in range(shards):
             own = order[edges[k] : edges[k + 1]]
             if len(own):
-                out.append((PAIRS, k, len(own), pack_sorted(u[own]), pack(w[own]), pack(c[own])))
+                out.append((PAIRS, k, len(own), pack_sorted(u[own]), pack_repeated(w[own]), pack(c[own])))
             if len(out) >= 64:
                 yield _rows(out)
                 out = []
@@ -210,9 +210,9 @@ def _add_pairs(shards: int):
                 code, c = _sums(np.concatenate([unpack_sorted(r["k"], r["n"]) for r in rows]), np.concatenate([unpack(r["v0"], r["n"]) for r in rows]))
                 yield _rows([(SPELLING, shard, len(code), pack_sorted(code), pack(c))])
                 continue
-            u, w, c = (np.concatenate([f(r[x], r["n"]) for r in rows]) for x, f in (("k", unpack_sorted), ("v0", unpack), ("v1", unpack)))
+            u, w, c = (np.concatenate([f(r[x], r["n"]) for r in rows]) for x, f in (("k", unpack_sorted), ("v0", unpack_repeated), ("v1", unpack)))
             u, w, c = _pair_sums(u, w, c)
-            yield _rows([(PAIRS, shard, len(u), pack_sorted(u), pack(w), pack(c)), (TALLY, PAIRS, 6, pack(_tally(c)))])
+            yield _rows([(PAIRS, shard, len(u), pack_sorted(u), pack_repeated(w), pack(c)), (TALLY, PAIRS, 6, pack(_tally(c)))])
             one = np.ones(len(u), np.int64)
             context = _sums(u, c, (c == 1) * one, (c == 2) * one, (c > 2) * one)
             end, k = _sums(w, one)
@@ -367,7 +367,7 @@ def _shorten(bits: dict[int, int], shards: int):
             for r in b.to_pylist():
                 kind, n = r["kind"], r["n"]
                 if kind == PAIRS:
-                    keys = pair(unpack_sorted(r["k"], n), unpack(r["v0"], n)) >> (BITS - bits[kind])
+                    keys = pair(unpack_sorted(r["k"], n), unpack_repeated(r["v0"], n)) >> (BITS - bits[kind])
                     values = [unpack(r["v1"], n)]
                 else:
                     keys = unpack_sorted(r["k"], n) >> (BITS - bits[kind])

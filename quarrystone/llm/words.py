@@ -130,3 +130,17 @@ def pack_sorted(x: np.ndarray) -> bytes:
 
 def unpack_sorted(b: bytes, n: int) -> np.ndarray:
     return np.cumsum(unpack(b, n))
+
+
+def pack_repeated(x: np.ndarray) -> bytes:
+    """Numbers of which many are alike: the different ones, and which of them each is."""
+    own, which = np.unique(x, return_inverse=True)
+    keys = pack_sorted(own)
+    return len(own).to_bytes(8, "little") + len(keys).to_bytes(8, "little") + keys + pack(which)
+
+
+def unpack_repeated(b: bytes, n: int) -> np.ndarray:
+    if not n:
+        return np.zeros(0, np.int64)
+    size, at = int.from_bytes(b[:8], "little"), 16 + int.from_bytes(b[8:16], "little")
+    return unpack_sorted(b[16:at], size)[unpack(b[at:], n)]

@@ -346,3 +346,9 @@ def test_classifier_on_odd_rows(odd, labels, empty):
     assert K.classify(empty, labels).count() == 0 == K.keep_documents(empty, labels).count()
     none = K.classify(odd, labels.limit(0)).collect()
     assert all(r["keep"] for r in none if r["doc_id"] in (1, 2, 5)) and not any(r["keep"] for r in none if r["doc_id"] in (3, 4))
+
+
+def test_repeated_numbers_round_trip():
+    rng = np.random.default_rng(5)
+    for x in (np.zeros(0, np.int64), np.array([7]), np.zeros(9, np.int64), rng.integers(0, 1 << 44, 1000), rng.integers(0, 50, 1000) << 38):
+        assert np.array_equal(words.unpack_repeated(words.pack_repeated(x), len(x)), x)
