@@ -61,7 +61,7 @@ CAUTION = 3.0
 LEAST_HELD = 8
 
 #: Text that a block of asks covers at least; with what Arrow batches hold, a block is a batch of usual documents.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 
 #: Text for each shard, about; there are no fewer shards than shuffle partitions.
 SHARD_BYTES = 256 << 20
@@ -323,7 +323,10 @@ class Block:
             base += int(offsets[-1] - offsets[0])
         self.data, self.start, self.length, self.counts = (np.concatenate(x) for x in (data, start, length, counts))
         h = np.concatenate(h)
-        self.pair = pair(before(h, self.counts), h) >> (BITS - bits[PAIRS])
+        u = before(h, self.counts)
+        for i in range(0, len(h), STEP):  # in place: a pair's hash takes the place of its first word
+            u[i : i + STEP] = pair(u[i : i + STEP], h[i : i + STEP]) >> (BITS - bits[PAIRS])
+        self.pair = u
         self.h = h >> (BITS - bits[WORDS])
         self.begin = BEGIN >> (BITS - bits[WORDS])
         self.asks = {PAIRS: _distinct(self.pair), WORDS: _distinct(np.r_[self.h, np.int64(self.begin)])}
