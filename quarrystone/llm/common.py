@@ -26,6 +26,10 @@ BROADCAST_ROWS = 2_000_000
 #: Bytes of an Arrow batch: what a worker holds of its input, whatever the texts' lengths.
 BATCH_BYTES = 6 << 20
 
+#: Rows that a task reads from Parquet at once. Spark's 4,096 rows of texts are arrays of tens of MB, doubled again and again, which
+#: no young collection of the executor's heap moves, so that the heap grows to its limit.
+SCAN_ROWS = 256
+
 #: Bytes of text that a worker handles at once.
 CHUNK = 1 << 18
 
@@ -70,11 +74,14 @@ def _bytes(size: str) -> int:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Texts go to Python in batches of at most BATCH_BYTES: the session's setting is lowered, never raised, as it is read when
-    a result is computed, after the call that asked for it has returned."""
+    """Texts go to Python in batches of at most BATCH_BYTES, and are read from Parquet SCAN_ROWS at a time: the session's settings are
+    lowered, never raised, as they are read when a result is computed, after the call that asked for it has returned."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     if not 0 < _bytes(spark.conf.get(name)) <= BATCH_BYTES:
         spark.conf.set(name, str(BATCH_BYTES))
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    if int(spark.conf.get(name)) > SCAN_ROWS:
+        spark.conf.set(name, str(SCAN_ROWS))
 
 
 def restrict(df: DataFrame, ids: DataFrame, on: list[str], how: str = "left_semi", n: int | None = None) -> DataFrame:
@@ -136,10 +143,10 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), offsets
 
 
-def byte_chunks(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of documents with about CHUNK bytes, one document at least."""
+def byte_chunks(offsets: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
+    """Ranges of documents with about so many bytes, one document at least."""
     at, n = 0, len(offsets) - 1
     while at < n:
-        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, side="right")) - 1)
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1)
         yield at, end
         at = end

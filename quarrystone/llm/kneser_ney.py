@@ -34,6 +34,7 @@ conflicting label isn't trusted. An empty table gives no rows. Extra columns are
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import cut, kept, lean, restrict, shared_path, text_bytes
+from quarrystone.llm.common import byte_chunks, cut, kept, lean, restrict, shared_path, text_bytes
 from quarrystone.llm.words import BEGIN, BITS, before, mix, pack, pack_repeated, pack_sorted, pair, spellings, unpack, unpack_repeated, unpack_sorted, words
 
 HELD = 5
@@ -69,6 +70,9 @@ SHARD_BYTES = 256 << 20
 #: Counts that a training task gathers before it merges them.
 MERGE_ROWS = 1_000_000
 
+#: Text of a block whose words are held at once, about.
+SLICE_BYTES = 1 << 20
+
 #: Words that are scored at once.
 STEP = 1 << 18
 
@@ -307,29 +311,39 @@ _ASK_NAMES = ["kind", "shard", "block", *_NAMES[2:]]
 _ASK_TYPES = [pa.int32(), pa.int32(), pa.int64(), *_TYPES[2:]]
 
 
+class Slice(NamedTuple):
+    """The words of some documents of a block, under the keys that are asked for."""
+
+    data: np.ndarray
+    h: np.ndarray
+    pair: np.ndarray
+    start: np.ndarray
+    length: np.ndarray
+    counts: np.ndarray
+
+
 class Block:
-    """The words of some batches of documents."""
+    """The words of some batches of documents. Only what they ask for is held; the words are found again, slice by slice."""
 
     def __init__(self, batches: list[pa.RecordBatch], bits: dict[int, int]):
-        data, h, start, length, counts, base = [], [], [], [], [], 0
-        for b in batches:
-            d, offsets = text_bytes(b.column("text"))
-            x = words(d, offsets)
-            data.append(d[offsets[0] : offsets[-1]])
-            h.append(x[0])
-            start.append(x[1] + np.int32(base - int(offsets[0])))
-            length.append(x[2])
-            counts.append(x[3])
-            base += int(offsets[-1] - offsets[0])
-        self.data, self.start, self.length, self.counts = (np.concatenate(x) for x in (data, start, length, counts))
-        h = np.concatenate(h)
-        u = before(h, self.counts)
-        for i in range(0, len(h), STEP):  # in place: a pair's hash takes the place of its first word
-            u[i : i + STEP] = pair(u[i : i + STEP], h[i : i + STEP]) >> (BITS - bits[PAIRS])
-        self.pair = u
-        self.h = h >> (BITS - bits[WORDS])
+        self.texts = [text_bytes(b.column("text")) for b in batches]
+        self.bits = bits
         self.begin = BEGIN >> (BITS - bits[WORDS])
-        self.asks = {PAIRS: _distinct(self.pair), WORDS: _distinct(np.r_[self.h, np.int64(self.begin)])}
+        asks: dict[int, list[np.ndarray]] = {PAIRS: [np.zeros(0, np.int64)], WORDS: [np.array([self.begin])]}
+        for s in self.slices():
+            asks[PAIRS].append(_distinct(s.pair))
+            asks[WORDS].append(_distinct(s.h))
+        self.asks = {kind: _distinct(np.concatenate(x)) for kind, x in asks.items()}
+
+    def slices(self) -> Iterator[Slice]:
+        for data, offsets in self.texts:
+            for i, j in byte_chunks(offsets, SLICE_BYTES):
+                h, start, length, counts = words(data, offsets[i : j + 1])
+                u = before(h, counts)
+                for k in range(0, len(h), STEP):  # in place: a pair's hash takes the place of its first word
+                    u[k : k + STEP] = pair(u[k : k + STEP], h[k : k + STEP]) >> (BITS - self.bits[PAIRS])
+                h >>= BITS - self.bits[WORDS]
+                yield Slice(data, h, u, start, length, counts)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], bits: dict[int, int]) -> Iterator[tuple[int, list[pa.RecordBatch], Block]]:
@@ -427,42 +441,41 @@ def _answers(path: str, pid: int) -> dict[int, list[dict]]:
     return out
 
 
-def log_probabilities(block: Block, told: dict[int, list[np.ndarray]], parameters: tuple) -> np.ndarray:
-    """Of each word after the one before it; told: the values of what the block asks for. The block's arrays are used up."""
+def log_probabilities(block: Block, told: dict[int, list[np.ndarray]], parameters: tuple) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of each slice the number of words of each document, and of each word its log probability after the one before it; told: the
+    values of what the block asks for."""
     discount, total, below, spelling = parameters
     asked = block.asks[WORDS]
-    out = np.empty(len(block.h))
-    steps = range(0, len(out), STEP)
-    at = np.concatenate([np.zeros(0, np.int32), *(np.searchsorted(asked, block.h[i : i + STEP]).astype(np.int32) for i in steps)])
-    # Spellings of the different words, from one place of each.
-    place = np.full(len(asked), -1)
-    place[at] = np.arange(len(at))
-    spelt = np.flatnonzero(place >= 0)
-    p1 = _discounted(told[WORDS][4], discount[WORDS]) / total
-    for i in range(0, len(spelt), STEP // 8):
-        own = spelt[i : i + STEP // 8]
-        code, first = spellings(block.data, block.start[place[own]], block.length[place[own]])
-        p1[own] += below * np.exp(np.add.reduceat(spelling.log(code), first))
-    del place
-    block.h = block.start = block.length = None
-    context, once, twice, more, _ = told[WORDS]
+    context, once, twice, more, ends = told[WORDS]
     left = np.where(context > 0, (discount[PAIRS][0] * once + discount[PAIRS][1] * twice + discount[PAIRS][2] * more) / np.maximum(context, 1), 1.0)
-    u = before(at, block.counts, np.searchsorted(asked, block.begin))
-    # Counts of the pairs: in their order, then back.
-    order = np.argsort(block.pair)
-    keys = block.pair[order]
-    which = np.zeros(len(order), np.int32)
-    np.cumsum(keys[1:] != keys[:-1], out=which[1:])
-    del keys
-    count = np.empty(len(order), np.int64)
-    count[order] = told[PAIRS][0][which]
-    del order, which
-    for i in steps:
-        x = u[i : i + STEP]
-        c = np.minimum(count[i : i + STEP], context[x])
-        p2 = _discounted(c, discount[PAIRS]) / np.maximum(context[x], 1) + left[x] * p1[at[i : i + STEP]]
-        out[i : i + STEP] = np.log(np.maximum(p2, 1e-300))
-    return out
+    p1 = _discounted(ends, discount[WORDS]) / total
+    spelt = np.zeros(len(asked), bool)
+    begin = np.searchsorted(asked, block.begin)
+    for s in block.slices():
+        steps = range(0, len(s.h), STEP)
+        at = np.concatenate([np.zeros(0, np.int32), *(np.searchsorted(asked, s.h[i : i + STEP]).astype(np.int32) for i in steps)])
+        # Spellings of the words that no slice before had, from one place of each.
+        place = np.full(len(asked), -1)
+        place[at] = np.arange(len(at))
+        place[spelt] = -1
+        new = np.flatnonzero(place >= 0)
+        for i in range(0, len(new), STEP // 8):
+            own = new[i : i + STEP // 8]
+            code, first = spellings(s.data, s.start[place[own]], s.length[place[own]])
+            p1[own] += below * np.exp(np.add.reduceat(spelling.log(code), first))
+        spelt[new] = True
+        # Counts of the pairs: in their order, as sorted keys are found faster, then back.
+        order = np.argsort(s.pair)
+        count = np.empty(len(order), np.int64)
+        count[order] = told[PAIRS][0][np.searchsorted(block.asks[PAIRS], s.pair[order])]
+        u = before(at, s.counts, begin)
+        out = np.empty(len(at))
+        for i in steps:
+            x = u[i : i + STEP]
+            c = np.minimum(count[i : i + STEP], context[x])
+            p2 = _discounted(c, discount[PAIRS]) / np.maximum(context[x], 1) + left[x] * p1[at[i : i + STEP]]
+            out[i : i + STEP] = np.log(np.maximum(p2, 1e-300))
+        yield s.counts, out
 
 
 def _score(shared, path: str, bits: dict[int, int]):
@@ -478,17 +491,21 @@ def _score(shared, path: str, bits: dict[int, int]):
                     raise RuntimeError("the documents were read in another order the second time: write them to a table first")
                 told[kind] = [np.concatenate([np.zeros(0, np.int64), *(unpack(r[v], r["n"]) for r in rows)]) for v in _VALUES[:width]]
             answers.pop(number, None)
-            x = -log_probabilities(block, told, shared.value)
-            first = np.cumsum(block.counts) - block.counts
-            some = block.counts > 0
-            total, squares = np.zeros(len(some)), np.zeros(len(some))
-            if len(x):
-                total[some] = np.add.reduceat(x, first[some])
-                squares[some] = np.add.reduceat(np.square(x, out=x), first[some])
+            sums = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0))]
+            for counts, x in log_probabilities(block, told, shared.value):
+                np.negative(x, out=x)
+                first = np.cumsum(counts) - counts
+                some = counts > 0
+                total, squares = np.zeros(len(some)), np.zeros(len(some))
+                if len(x):
+                    total[some] = np.add.reduceat(x, first[some])
+                    squares[some] = np.add.reduceat(np.square(x, out=x), first[some])
+                sums.append((counts, total, squares))
+            sums = [np.concatenate(v) for v in zip(*sums, strict=True)]
             at = 0
             for b in parts:
                 own = slice(at, at + b.num_rows)
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "lang", "key", "fold")), *(pa.array(v[own]) for v in (block.counts, total, squares))], names=["doc_id", "lang", "key", "fold", "size", "total", "squares"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "lang", "key", "fold")), *(pa.array(v[own]) for v in sums)], names=["doc_id", "lang", "key", "fold", "size", "total", "squares"])
                 at += b.num_rows
 
     return run

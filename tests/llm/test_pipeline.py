@@ -4,7 +4,7 @@ import importlib.util
 
 import pytest
 
-from quarrystone.llm.common import TOKENIZER, count_tokens
+from quarrystone.llm.common import BATCH_BYTES, SCAN_ROWS, TOKENIZER, count_tokens
 from quarrystone.llm.packing import CAPACITY
 
 if importlib.util.find_spec("corpus_pipeline") is None:
@@ -95,3 +95,21 @@ def test_odd_rows_and_nothing(odd, empty, spark, tmp_path):
             if stage != "packing":
                 assert docs.columns == odd.columns
         assert (docs.count() > 0) == (name == "odd")
+
+
+def test_stages_read_texts_in_bounded_batches(spark, odd):
+    """The session's settings are lowered to the stages' bounds, and never raised."""
+    names = {"spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES, "spark.sql.parquet.columnarReaderBatchSize": SCAN_ROWS}
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        for n in names:
+            spark.conf.unset(n)
+        P.dedup_lines(spark, odd, SF)
+        assert {n: spark.conf.get(n) for n in names} == {n: str(v) for n, v in names.items()}
+        for n in names:
+            spark.conf.set(n, "100")
+        P.dedup_lines(spark, odd, SF)
+        assert {spark.conf.get(n) for n in names} == {"100"}
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)

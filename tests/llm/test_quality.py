@@ -2,6 +2,7 @@
 
 import math
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -352,3 +353,36 @@ def test_repeated_numbers_round_trip():
     rng = np.random.default_rng(5)
     for x in (np.zeros(0, np.int64), np.array([7]), np.zeros(9, np.int64), rng.integers(0, 1 << 44, 1000), rng.integers(0, 50, 1000) << 38):
         assert np.array_equal(words.unpack_repeated(words.pack_repeated(x), len(x)), x)
+
+
+def _block(n):
+    rng = np.random.default_rng(5)
+    texts = [" ".join("w" + format(x, "x") for x in rng.zipf(1.3, 600) % 100_000) for _ in range(n)]
+    return pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+
+
+def test_a_block_is_scored_in_slices():
+    """What scoring holds beside the text is a slice of its words and what the block asks for; the slices don't change the results."""
+    batch = _block(2000)
+    bits = {K.PAIRS: 44, K.WORDS: 44}
+    code = np.unique(words.spellings(*(lambda d, o: (d, *words.words(d, o)[1:3]))(*text_bytes(batch.column("text"))))[0])
+    parameters = {K.PAIRS: (0.5, 1.0, 1.5), K.WORDS: (0.5, 1.0, 1.5)}, 10_000, 0.1, K.Spelling(code, np.ones(len(code), np.int64))
+
+    def score(batch):
+        block = K.Block([batch], bits)
+        told = {k: [1 + block.asks[k] % m for m in own] for k, own in {K.PAIRS: (3,), K.WORDS: (50, 3, 5, 7, 9)}.items()}
+        return list(K.log_probabilities(block, told, parameters))
+
+    score(batch.slice(0, 2))
+    tracemalloc.start()
+    try:
+        got = score(batch)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    n = int(sum(c.sum() for c, _ in got))
+    assert n > 1_000_000 and len(got) > 1
+    assert peak - 8 * n < 45 * n  # bytes a word beside the results, which this test alone keeps
+    some = score(batch.slice(700, 3))
+    start = int(np.concatenate([c for c, _ in got])[:700].sum())
+    assert np.concatenate([x for _, x in got])[start : start + sum(len(x) for _, x in some)] == pytest.approx(np.concatenate([x for _, x in some]))
