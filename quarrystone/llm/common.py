@@ -6,6 +6,7 @@ import base64
 import ctypes
 import re
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -16,7 +17,7 @@ from pyspark.sql.types import IntegerType
 
 from quarrystone.sources.shared import cut, shared_path
 
-__all__ = ["BROADCAST_ROWS", "CHUNK", "TOKENIZER", "bounded_batches", "byte_chunks", "count_tokens", "cut", "kept", "lean", "n_tokens", "restrict", "shared_path", "table", "text_bytes"]
+__all__ = ["BROADCAST_ROWS", "CHUNK", "TOKENIZER", "bounded_batches", "byte_chunks", "count_tokens", "cut", "kept", "lean", "n_tokens", "restrict", "shared_path", "spent_shuffles_go", "table", "text_bytes"]
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
@@ -43,6 +44,19 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def spent_shuffles_go(spark: SparkSession) -> Iterator[None]:
+    """For queries that write a table and are done: inside, their shuffle files go as soon as the table is written. Else these
+    stay until the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _give_back() -> None:
     """Freed memory goes back to the system, so that a worker that waits holds little. Nothing happens where libc can't."""
     pa.default_memory_pool().release_unused()

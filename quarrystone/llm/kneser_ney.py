@@ -11,7 +11,7 @@ Counts and scores are joined in shards, and what moves grows with the text, not
 1. Tasks count pairs and send them to shards of the first word (a word's pairs go over SPLIT shards, so that no frequent word is one
    task's). Shards add up, and tell of each word what it needs as context and as continuation; these go to shards of words.
 2. Tasks ask for the different pairs and words of a block of documents; shards look them up in their sorted counts, and the answers are
-   written by the task that asked. Keys are sorted and packed as differences; a pair is asked for by the first bits of its hash, SPARE more than
+   written by the task that asked, once the asks are gone. Keys are sorted and packed as differences; a pair is asked for by the first bits of its hash, SPARE more than
    the number of pairs needs, so an unseen pair is taken for a seen one with chance 2^-SPARE.
 3. Tasks read their answers, and score their documents. Texts never move. The scan must be repeatable (files are):
    a block whose answers don't fit what it asks raises an error.
@@ -43,8 +43,9 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import byte_chunks, cut, kept, lean, restrict, shared_path, text_bytes
+from quarrystone.llm.common import byte_chunks, cut, kept, lean, restrict, shared_path, spent_shuffles_go, text_bytes
 from quarrystone.llm.words import BEGIN, BITS, before, mix, pack, pack_repeated, pack_sorted, pair, spellings, unpack, unpack_repeated, unpack_sorted, words
+from quarrystone.sources.shared import remove
 
 HELD = 5
 
@@ -283,8 +284,9 @@ class Model:
 def train(trusted: DataFrame, shards: int, spare: int = SPARE) -> Model | None:
     """The model of a table (text); None if there is no word in it."""
     counted = _by_shard(trusted.select("text").mapInArrow(lean(_count(shards)), _STORE), shards)
-    pairs = kept(counted.mapInArrow(lean(_add_pairs(shards)), _STORE), "pairs")
-    told = kept(_by_shard(pairs.where(F.col("kind") == WORDS), shards).mapInArrow(lean(_add_words), _STORE), "words")
+    with spent_shuffles_go(trusted.sparkSession):
+        pairs = kept(counted.mapInArrow(lean(_add_pairs(shards)), _STORE), "pairs")
+        told = kept(_by_shard(pairs.where(F.col("kind") == WORDS), shards).mapInArrow(lean(_add_words), _STORE), "words")
     tally = {PAIRS: np.zeros(6, np.int64), WORDS: np.zeros(6, np.int64)}
     number = {}
     for kind, t in ((PAIRS, pairs), (WORDS, told)):
@@ -540,9 +542,12 @@ def perplexities(docs: DataFrame, labels: DataFrame, spare: int = SPARE, shards:
     counts = model.pairs.unionByName(model.words).mapInArrow(lean(_shorten(bits, shards)), _ASK)
     asks = d.mapInArrow(lean(_ask(bits, shards)), _ASK)  # of the same columns as below, so that batches end at the same rows
     met = counts.unionByName(asks).repartitionById(2 * shards, F.col("kind") * shards + F.col("shard")).sortWithinPartitions("kind", "shard", "block")
-    path = shared_path(spark, "answers")
+    served, path = shared_path(spark, "served"), shared_path(spark, "answers")
     answers = met.mapInArrow(lean(_serve), _ASK).drop("k").withColumn("pid", F.shiftright("block", 20))
-    answers.repartition("pid").sortWithinPartitions("pid").write.partitionBy("pid").parquet(path)
+    with spent_shuffles_go(spark):  # two tables, so that asks and answers are never both shuffle files
+        answers.write.parquet(served)
+        spark.read.schema(answers.schema).parquet(served).repartition("pid").sortWithinPartitions("pid").write.partitionBy("pid").parquet(path)
+    remove(spark, served)
     shared = spark.sparkContext.broadcast(model.parameters)
     scored = cut(d.mapInArrow(lean(_score(shared, path, bits)), "doc_id bigint, lang string, key bigint, fold int, size bigint, total double, squares double"))
     mean = F.when(F.col("size") > 0, F.col("total") / F.col("size"))

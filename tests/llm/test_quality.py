@@ -2,18 +2,21 @@
 
 import math
 import re
+import time
 import tracemalloc
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+from pyspark.sql import DataFrameWriter
 
 from quarrystone.llm import kneser_ney as K
 from quarrystone.llm import quality_rules as Q
 from quarrystone.llm import queries, words
-from quarrystone.llm.common import text_bytes
+from quarrystone.llm.common import spent_shuffles_go, text_bytes
 
 
 def test_exact_binomial_bound():
@@ -386,3 +389,39 @@ def test_a_block_is_scored_in_slices():
     some = score(batch.slice(700, 3))
     start = int(np.concatenate([c for c, _ in got])[:700].sum())
     assert np.concatenate([x for _, x in got])[start : start + sum(len(x) for _, x in some)] == pytest.approx(np.concatenate([x for _, x in some]))
+
+
+def _shuffled(spark):
+    """Bytes of shuffle files, by path."""
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {str(f): f.stat().st_size for d in folders for f in Path(d).rglob("shuffle_*.data") if f.exists()}
+
+
+def test_spent_shuffle_files_go(spark, tmp_path):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting, before = spark.conf.get(name), _shuffled(spark)
+    with spent_shuffles_go(spark):
+        spark.range(300_000).repartition(4, "id").write.parquet(str(tmp_path / "t"))
+    left = lambda: {f for f, size in _shuffled(spark).items() if size > 10_000} - set(before)
+    for _ in range(50):  # they are removed in the background
+        if not left():
+            break
+        time.sleep(0.2)
+    assert not left() and spark.conf.get(name) == setting
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 300_000
+
+
+def test_no_table_of_the_classifier_leaves_shuffle_files(spark, sf, monkeypatch):
+    """Asks and answers are written one after the other, and the first table goes."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    written, write = {}, DataFrameWriter.parquet
+
+    def parquet(self, path, *args, **kwargs):
+        written[path.rsplit("/", 1)[1].split("-")[0]] = path, spark.conf.get(name)
+        return write(self, path, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    K.perplexities(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    assert list(written) == ["pairs", "words", "served", "answers"]
+    assert {x for _, x in written.values()} == {"true"}
+    assert not Path(written["served"][0].removeprefix("file://")).exists() and Path(written["answers"][0].removeprefix("file://")).exists()
