@@ -2,6 +2,11 @@
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from quarrystone.operators import vector as S
 from quarrystone.plans import ORACLES, QUERIES
 from tests.oracle import connect
 
@@ -13,3 +18,91 @@ def test_normalize_keeps_the_sign_of_zero(spark, tmp_path):
     want = {r[0]: r[2] for r in connect(str(tmp_path)).execute(ORACLES["v5_normalize"]).fetchall()}
     assert got == want
     assert {k: [math.copysign(1, x) for x in v] for k, v in got.items()} == {k: [math.copysign(1, x) for x in v] for k, v in want.items()}
+
+
+def _key(r):
+    return r["src"], r["dst"], r["score"], r["rank"]
+
+
+def _brute(asks, items, k, metric, least=-2.0):
+    """By definition: rounded scores, ties to the least id."""
+    rows = []
+    for q, a in asks:
+        scored = []
+        for i, b in items:
+            if i == q or b is None or a is None or len(a) != len(b):
+                continue
+            x, y = np.array(a), np.array(b)
+            if metric == "euclidean":
+                s = 1 / (1 + np.sqrt(((x - y) ** 2).sum()))
+            else:
+                n = np.sqrt(x @ x) * np.sqrt(y @ y)
+                s = x @ y if metric == "dot" else x @ y / n if n else math.nan
+            if not math.isnan(s) and round(s, 6) >= least:
+                scored.append((-round(float(s), 6), i))
+        rows += [(q, i, -s, r) for r, (s, i) in enumerate(sorted(scored)[:k], 1)]
+    return rows
+
+
+def _odd_vectors():
+    rng = np.random.default_rng(11)
+    x = np.round(rng.standard_normal((260, 6)), 1)
+    x[40:80] = x[:40]  # copies: ties
+    x[90] = 0  # no direction
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    rows[100] = (100, None)
+    rows[101] = (101, [1.0, 2.0, 3.0])
+    rows[102] = (102, [0.5, 2.0, 3.5])
+    rows[103] = (103, [])
+    rows[104] = (104, [math.nan] * 6)
+    rows[105] = (105, (x[3] * 1e-9).tolist())
+    return rows
+
+
+@pytest.mark.parametrize("metric", ["cosine", "dot", "euclidean"])
+def test_blocks_find_what_all_pairs_find(spark, monkeypatch, metric):
+    """Many small blocks, odd vectors and ties, a table with itself and two tables."""
+    monkeypatch.setattr(S, "BLOCK_ROWS", 48)
+    monkeypatch.setattr(S, "PART_ROWS", 96)
+    rows = _odd_vectors()
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    same = lambda got, want: sorted((a, b, pytest.approx(s, abs=2e-6), r) for a, b, s, r in want) == sorted(map(_key, got.collect()))
+    assert same(S.knn_join(df, df, 2, metric), _brute(rows, rows, 2, metric))
+    few = df.where("id % 9 = 0")
+    assert same(S.knn_join(few, df, 4, metric), _brute([r for r in rows if r[0] % 9 == 0], rows, 4, metric))
+    assert S.knn_join(df, df, 0, metric).count() == 0
+
+
+@pytest.mark.parametrize("metric", ["cosine", "dot", "euclidean"])
+def test_tiles_keep_the_best(monkeypatch, metric):
+    """Tiles that know what was found before leave out nothing, among ties and vectors without an end too."""
+    monkeypatch.setattr(S, "TILE_ROWS", 300)
+    monkeypatch.setattr(S, "PAIRS", 50)
+    rng = np.random.default_rng(8)
+    x = np.round(rng.standard_normal((1700, 5)), 1) + 3
+    x[200:400] = x[:200]
+    for odd in (False, True):
+        if odd:
+            x[700, 2], x[20, 1] = math.inf, 1e200
+        batch = pa.RecordBatch.from_pydict({f"a_{k}": [v] for k, v in {"block": 0, "dim": 5, "ids": np.arange(1700).tobytes(), "vectors": x.tobytes(), "marks": b""}.items()})
+        a = S._Side(batch, 0, "a_", np.float64, np.uint8, metric)
+        best = S._Best(len(a.ids), 6)
+        with np.errstate(all="ignore"):
+            for rows, columns, met in S._all(a, a):
+                S._tile(a, a, rows, columns, best, metric, -np.inf, None, met)
+            for i in (0, 17, 20, 999):
+                row = np.flatnonzero(a.ids == i)
+                if len(row):
+                    s = S._scores(a, a, np.full(len(a.ids), row[0]), np.arange(len(a.ids)), metric)
+                    want = np.lexsort((a.ids, -s))[:6]
+                    assert best.dst[row[0]].tolist() == a.ids[want].tolist()
+
+
+def test_search_shuffles_no_copies_of_a_table(spark, tmp_path, monkeypatch):
+    """Each side of a search is kept once, whatever the number of blocks that meet."""
+    monkeypatch.setattr(S, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(S, "PART_ROWS", 128)
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.standard_normal((1000, 32)))], "id long, vector array<double>")
+    plan = S.knn_join(df, df, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "FlatMapGroups" not in plan
