@@ -106,3 +106,18 @@ def test_search_shuffles_no_copies_of_a_table(spark, tmp_path, monkeypatch):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.standard_normal((1000, 32)))], "id long, vector array<double>")
     plan = S.knn_join(df, df, 3)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" in plan and "FlatMapGroups" not in plan
+    hashes, turns, tables = S.lsh_layout(1000, 0.5, 0.95)
+    index = S.lsh_index(df, 32, tables, hashes)
+    plan = S.lsh_join(index.where("id % 50 = 0"), index, 3, 0.5, hashes, turns)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Generate" not in plan and "SortMergeJoin" not in plan
+
+
+def test_hashed_search_is_that_of_its_tables(spark):
+    """Pairs that meet in a table, and no others."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((300, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>")
+    index = S.lsh_index(df, 8, 3, 9)
+    keys = {r["id"]: r["keys"] for r in index.collect()}
+    got = {(r["src"], r["dst"]) for r in S.lsh_join(index.where("id < 30"), index, 300, -1.0, 9, 1).collect()}
+    assert got == {(i, j) for i in range(30) for j in range(300) if i != j and any((a ^ b).bit_count() <= 1 for a, b in zip(keys[i], keys[j], strict=True))}
