@@ -121,3 +121,16 @@ def test_hashed_search_is_that_of_its_tables(spark):
     keys = {r["id"]: r["keys"] for r in index.collect()}
     got = {(r["src"], r["dst"]) for r in S.lsh_join(index.where("id < 30"), index, 300, -1.0, 9, 1).collect()}
     assert got == {(i, j) for i in range(30) for j in range(300) if i != j and any((a ^ b).bit_count() <= 1 for a, b in zip(keys[i], keys[j], strict=True))}
+
+
+def test_cell_index_scores_the_cells_that_are_asked_for(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((400, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>")
+    index = S.CellIndex.build(df)
+    cell = {r["id"]: r["cell"] for r in index.rows.collect()}
+    near = np.argsort(((x[:40, None] - index.centres[None]) ** 2).sum(2), axis=1)[:, :3]
+    got = {(r["src"], r["dst"]) for r in index.search(df.where("id < 40"), 400, ef=3).collect()}
+    assert got == {(i, j) for i in range(40) for j in range(400) if i != j and cell[j] in near[i]}
+    with pytest.raises(Exception, match="dimension"):
+        index.search(spark.createDataFrame([(1, [1.0] * 7), (2, [1.0] * 9)], "id long, vector array<double>"), 3).count()
