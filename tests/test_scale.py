@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 
 from quarrystone.operators import vector as S
+from quarrystone.operators.graph import Graph, _Adjacency
 from quarrystone.plans import ORACLES, QUERIES
 from tests.oracle import connect
 
@@ -134,3 +135,62 @@ def test_cell_index_scores_the_cells_that_are_asked_for(spark):
     assert got == {(i, j) for i in range(40) for j in range(400) if i != j and cell[j] in near[i]}
     with pytest.raises(Exception, match="dimension"):
         index.search(spark.createDataFrame([(1, [1.0] * 7), (2, [1.0] * 9)], "id long, vector array<double>"), 3).count()
+
+
+def _depths(near, source):
+    depth, queue = {source: 0}, [source]
+    for x in queue:
+        for y in near.get(x, ()):
+            if y not in depth:
+                depth[y] = depth[x] + 1
+                queue.append(y)
+    return depth
+
+
+@pytest.fixture(scope="module")
+def mixed(spark):
+    """A hub of 90 neighbours, random links, a path of its own, a node alone; loops and links given twice."""
+    rng = np.random.default_rng(6)
+    pairs = [(1000, i) for i in range(90)] + [tuple(p) for p in rng.integers(0, 200, (260, 2)).tolist()] + [(300 + i, 301 + i) for i in range(30)] + [(5, 5), (1000, 3), (3, 1000)]
+    nodes = sorted({x for p in pairs for x in p} | set(range(200)) | {2000})
+    near = {}
+    for a, b in pairs:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    graph = Graph(spark.createDataFrame([(i,) for i in nodes], "id long"), spark.createDataFrame([(a, b, "r", 1.0) for a, b in pairs], "src long, dst long, rel string, weight double"))
+    return graph, near, nodes
+
+
+@pytest.mark.parametrize("most", [None, 0])
+def test_closeness(mixed, monkeypatch, most):
+    """By bits without a row for each pair of nodes; by joins where the links are too many."""
+    graph, near, nodes = mixed
+    if most is None:
+        monkeypatch.setattr(Graph, "bfs", lambda *_, **__: pytest.fail("rows of node pairs"))
+    else:
+        monkeypatch.setattr("quarrystone.operators.graph.ADJACENCY_LINKS", most)
+    depths = {i: _depths(near, i) for i in nodes}
+    got = {r["id"]: r["value"] for r in graph.closeness_centrality().collect()}
+    assert got == pytest.approx({i: (len(d) - 1) / sum(d.values()) if len(d) > 1 else 0.0 for i, d in depths.items()})
+    if most is None:
+        none = Graph(graph.nodes, graph.edges.limit(0))
+        assert {r["value"] for r in none.closeness_centrality().collect()} == {0.0}
+
+
+def test_shares_of_sources_add_up(mixed, monkeypatch):
+    """Whatever the number of tasks and of sources at once, each source is followed once."""
+    _, near, _ = mixed
+    a, b = np.array([(x, y) for x, ys in near.items() for y in ys]).T
+    row = next(_Adjacency.pack(iter([pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])])))
+    g = _Adjacency({x: row.column(x)[0] for x in ("ids", "start", "near")})
+    want = {i: sum(_depths(near, i).values()) for i in near}
+    for matrix, part in ((1, 1), (3 * len(near), 100)):
+        monkeypatch.setattr("quarrystone.operators.graph.MATRIX", matrix)
+        monkeypatch.setattr("quarrystone.operators.graph.PART", part)
+        for tasks in (1, 3):
+            total = np.zeros(len(near), np.int64)
+            for t in range(tasks):
+                for depth, new in g.levels(t, tasks):
+                    total += depth * np.bitwise_count(new).sum(axis=1, dtype=np.int64)
+            assert dict(zip(g.ids.tolist(), total.tolist(), strict=True)) == want
