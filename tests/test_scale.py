@@ -163,7 +163,7 @@ def mixed(spark):
 
 
 @pytest.mark.parametrize("most", [None, 0])
-def test_closeness(mixed, monkeypatch, most):
+def test_closeness_and_diameter(mixed, monkeypatch, most):
     """By bits without a row for each pair of nodes; by joins where the links are too many."""
     graph, near, nodes = mixed
     if most is None:
@@ -173,9 +173,12 @@ def test_closeness(mixed, monkeypatch, most):
     depths = {i: _depths(near, i) for i in nodes}
     got = {r["id"]: r["value"] for r in graph.closeness_centrality().collect()}
     assert got == pytest.approx({i: (len(d) - 1) / sum(d.values()) if len(d) > 1 else 0.0 for i, d in depths.items()})
+    assert [r["diameter"] for r in graph.diameter().collect()] == [30]
     if most is None:
         none = Graph(graph.nodes, graph.edges.limit(0))
         assert {r["value"] for r in none.closeness_centrality().collect()} == {0.0}
+        assert none.diameter().first()[0] == 0
+        assert Graph(graph.nodes.limit(0), graph.edges.limit(0)).diameter().first()[0] is None
 
 
 def test_shares_of_sources_add_up(mixed, monkeypatch):
