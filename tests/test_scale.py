@@ -181,6 +181,35 @@ def test_closeness_and_diameter(mixed, monkeypatch, most):
         assert Graph(graph.nodes.limit(0), graph.edges.limit(0)).diameter().first()[0] is None
 
 
+def _brandes(near, nodes):
+    score = dict.fromkeys(nodes, 0.0)
+    for s in near:
+        depth, paths, order = {s: 0}, {s: 1}, [s]
+        for x in order:
+            for y in near[x]:
+                if y not in depth:
+                    depth[y], paths[y] = depth[x] + 1, 0
+                    order.append(y)
+                if depth[y] == depth[x] + 1:
+                    paths[y] += paths[x]
+        delta = dict.fromkeys(order, 0.0)
+        for y in reversed(order):
+            for x in near[y]:
+                if depth[x] == depth[y] - 1:
+                    delta[x] += paths[x] / paths[y] * (1 + delta[y])
+            score[y] += delta[y] if y != s else 0
+    return score
+
+
+def test_betweenness_of_a_hub(mixed, monkeypatch):
+    """No component is gathered in a row of links for each of several tasks."""
+    graph, near, nodes = mixed
+    monkeypatch.setattr(Graph, "components", lambda *_: pytest.fail("components aren't needed"))
+    n = len(nodes)
+    got = {r["id"]: r["value"] for r in graph.betweenness_centrality().collect()}
+    assert got == pytest.approx({i: s * 2 / ((n - 1) * (n - 2)) for i, s in _brandes(near, nodes).items()})
+
+
 def test_shares_of_sources_add_up(mixed, monkeypatch):
     """Whatever the number of tasks and of sources at once, each source is followed once."""
     _, near, _ = mixed
