@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -27,6 +28,10 @@ _COMPARE = {
 }
 
 
+#: Pairs of rows that a task of few_keys_join makes, about.
+TASK_PAIRS = 1 << 22
+
+
 def predicate(column: str | Column, op: str, value: object = None) -> Column:
     """A comparison by name. Three-valued logic: a comparison with null is null, so `where` drops the row."""
     c = F.col(column) if isinstance(column, str) else column
@@ -85,6 +90,27 @@ def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high:
     return p.join(r, "_bucket").where((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))).drop("_bucket")
 
 
+def few_keys_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Inner join by a column of few values with many rows each, whose pairs are the bulk of the work.
+
+    Both sides of each value are cut into pieces, by a hash of the row, of which each of the left meets each of the right: as many as
+    leave a task about TASK_PAIRS pairs, however many there are of one value. A row is sent as often as the other side has pieces,
+    the square root of a value's pairs over TASK_PAIRS. The pairs are counted first.
+    """
+    many = lambda df, name: df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias(name))
+    pairs = F.col("_left") * F.col("_right")
+    most, total = many(left, "_left").join(many(right, "_right"), key).agg(F.max(pairs), F.sum(pairs)).first()
+    pieces = max(1, math.ceil(math.sqrt((most or 0) / TASK_PAIRS)))
+    parts = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(total or 0) // TASK_PAIRS))
+
+    def cut(df: DataFrame, own: str, other: str) -> DataFrame:
+        piece = F.pmod(F.xxhash64(*df.columns), F.lit(pieces)).cast("int")
+        df = df.where(F.col(key).isNotNull()).withColumn(own, piece).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
+        return df.repartition(parts, key, "_i", "_j")
+
+    return cut(left, "_i", "_j").join(cut(right, "_j", "_i").hint("merge"), [key, "_i", "_j"]).drop("_i", "_j")
+
+
 @dataclass(frozen=True)
 class AggSpec:
     """function: count, sum, avg, min, max, count_distinct, stddev, median; column None counts rows."""

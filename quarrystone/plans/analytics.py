@@ -8,6 +8,7 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructField, Str
 
 from quarrystone.engine import Connection
 from quarrystone.operators import dml
+from quarrystone.operators import relational as R
 from quarrystone.operators.dml import ForeignKey, TableSchema
 from quarrystone.plans.registry import query, statement
 from quarrystone.sources.catalog import Catalog, ConflictError
@@ -132,8 +133,18 @@ statement("q23_json_pipeline", """
 SELECT event_type, get_json_object(props, '$.k') AS k, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY event_type, get_json_object(props, '$.k')""", """
 SELECT event_type, json_extract_string(props, '$.k') AS k, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY event_type, json_extract_string(props, '$.k')""")
 statement("q24_text_search", "SELECT doc_id, lang FROM documents WHERE lower(text) LIKE '%license%' OR lower(text) LIKE '%rights reserved%'")
-statement("q25_geo_ranking", """
+
+
+@query("""
 SELECT a.s_suppkey, b.s_suppkey AS near, round(sqrt(power(a.s_acctbal - b.s_acctbal, 2) + power(a.s_nationkey - b.s_nationkey, 2)), 6) AS distance FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey""")
+def q25_geo_ranking(spark: SparkSession, sf: str) -> DataFrame:
+    """All pairs of a nation's suppliers, spread over tasks: there are 25 nations, however many suppliers."""
+    a = load(spark, sf, "supplier").select("s_nationkey", "s_suppkey", "s_acctbal")
+    b = a.withColumnsRenamed({"s_suppkey": "near", "s_acctbal": "near_acctbal"})
+    pairs = R.few_keys_join(a, b, "s_nationkey").where("s_suppkey <> near")
+    return pairs.select("s_suppkey", "near", F.expr("round(sqrt(power(s_acctbal - near_acctbal, 2) + power(s_nationkey - s_nationkey, 2)), 6)").alias("distance"))
+
+
 statement("q26_page_analytics", """
 WITH gaps AS (SELECT user_id, event_id, event_type, ts, value, CASE WHEN unix_micros(CAST(ts AS TIMESTAMP)) - unix_micros(CAST(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS TIMESTAMP)) < 1800000000 THEN 0 ELSE 1 END AS fresh FROM events),
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM gaps),

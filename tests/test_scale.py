@@ -1,11 +1,14 @@
 """What larger tables show: signs of zero, searches in blocks, all-pairs algorithms, joins by a key of few values."""
 
 import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from quarrystone.operators import relational as R
 from quarrystone.operators import vector as S
 from quarrystone.operators.graph import Graph, _Adjacency
 from quarrystone.plans import ORACLES, QUERIES
@@ -226,3 +229,24 @@ def test_shares_of_sources_add_up(mixed, monkeypatch):
                 for depth, new in g.levels(t, tasks):
                     total += depth * np.bitwise_count(new).sum(axis=1, dtype=np.int64)
             assert dict(zip(g.ids.tolist(), total.tolist(), strict=True)) == want
+
+
+def test_few_keys_join(spark, monkeypatch):
+    """Each pair once, nulls match nothing, and no task has a whole value's pairs."""
+    monkeypatch.setattr(R, "TASK_PAIRS", 100)
+    left = spark.createDataFrame([(i % 3 if i % 10 else None, i) for i in range(120)], "k int, a long")
+    right = spark.createDataFrame([(i % 3 if i % 7 else None, i) for i in range(90)] + [(9, 900)], "k int, b long")
+    got = R.few_keys_join(left, right, "k")
+    assert got.columns == ["k", "a", "b"]
+    rows = got.select("k", "a", "b", F.spark_partition_id().alias("p")).collect()
+    assert sorted((r["k"], r["a"], r["b"]) for r in rows) == sorted((i % 3, i, j) for i in range(120) for j in range(90) if i % 10 and j % 7 and i % 3 == j % 3)
+    assert max(Counter(r["p"] for r in rows).values()) < len(rows) / 8
+    assert R.few_keys_join(left.limit(0), right, "k").count() == 0
+
+
+def test_geo_ranking_is_spread(spark, tmp_path, monkeypatch):
+    """One nation's pairs are those of several tasks."""
+    monkeypatch.setattr(R, "TASK_PAIRS", 1000)
+    spark.createDataFrame([(i, "s", 4, float(i)) for i in range(200)], "s_suppkey long, s_name string, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    parts = QUERIES["q25_geo_ranking"](spark, str(tmp_path)).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert sum(r["count"] for r in parts) == 200 * 199 and max(r["count"] for r in parts) < 200 * 199 / 4
